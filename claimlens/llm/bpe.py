@@ -144,7 +144,7 @@ def with_bpe(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ke
 
         def columns(texts):
             rows = []
-            for ids in bpe.encode(texts):
+            for ids in bpe.encode(texts.to_pylist()):
                 digest = hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest()
                 row = (len(ids), digest, hashlib.sha256(bpe.decode(ids)).hexdigest())
                 rows.append((*row, ids) if keep_ids else row)

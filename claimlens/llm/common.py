@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,8 +18,8 @@ import claimlens
 # Tasks get the functions with the job, so that executors need not have this package installed.
 cloudpickle.register_pickle_by_value(claimlens)
 
-#: Characters of text that a task works on at once, besides at most one longer text.
-CHUNK_CHARS = 4_000_000
+#: Bytes of text that a task works on at once, besides at most one longer text.
+CHUNK_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def chunks(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+def chunks(lengths: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose lengths add up to limit at most, or of one row."""
     start = total = 0
     for i, n in enumerate(lengths):
@@ -59,12 +61,74 @@ def chunks(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batches cut into chunks of rows, each with its texts; null texts are empty."""
     for batch in batches:
-        texts = [x or "" for x in batch.column(text).to_pylist()]
-        for a, b in chunks([len(x) for x in texts]):
-            yield batch.slice(a, b - a), texts[a:b]
+        texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.string()), "")
+        for a, b in chunks(pc.binary_length(texts).to_pylist()):
+            yield batch.slice(a, b - a), texts.slice(a, b - a)
+
+
+class Tokens:
+    """The words of some texts (what lies between ASCII white space), each as an index of the distinct words.
+
+    sizes: words of each text; index: the words of all texts, in order; words: the distinct words, an Arrow array.
+    """
+
+    def __init__(self, texts: pa.Array | list[str], lower: bool = False):
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = split.flatten()
+        real = pc.not_equal(pc.binary_length(flat), 0)  # white space at either end makes empty words
+        on = real.to_numpy(zero_copy_only=False)
+        of = np.repeat(np.arange(len(counts)), counts)
+        self.sizes = np.bincount(of[on], minlength=len(counts)).astype(np.int64)
+        coded = flat.filter(real).dictionary_encode()
+        self.index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.words = coded.dictionary
+
+    def ends(self) -> np.ndarray:
+        return np.cumsum(self.sizes)
+
+    def texts(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
+def string_bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all strings in one array, and the end of each."""
+    lengths = pc.binary_length(strings).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    _, offsets, data = strings.buffers()
+    first = np.frombuffer(offsets, np.int32)[strings.offset] if len(strings) else 0
+    total = int(ends[-1]) if len(ends) else 0
+    return (np.frombuffer(data, np.uint8)[first : first + total] if total else np.zeros(0, np.uint8)), ends
+
+
+_BYTE_CODES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RADIX = 0x9E3779B97F4A7C15
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A well-spread 64-bit value of each 64-bit value, one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string that isn't empty; the same on every machine."""
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    data, ends = string_bytes(strings)
+    lengths = np.diff(ends, prepend=0)
+    first = ends - lengths
+    place = np.arange(len(data)) - np.repeat(first, lengths)
+    powers = np.ones(int(lengths.max()) + 1, np.uint64)
+    np.multiply.accumulate(np.full(len(powers) - 1, _RADIX, np.uint64), out=powers[1:])
+    sums = np.add.reduceat(_BYTE_CODES[data] * powers[place], first)
+    return mixed(sums + lengths.astype(np.uint64))
 
 
 def appended(batch: pa.RecordBatch, fields: list[pa.Field], columns: list) -> pa.RecordBatch:
@@ -82,10 +146,10 @@ def widened(df: DataFrame, added: str) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name.lower() not in new] + list(more))
 
 
-def with_columns(df: DataFrame, text: str, added: str, make: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+def with_columns(df: DataFrame, text: str, added: str, make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
     """df with columns that are computed from whole texts, in Arrow batches.
 
-    make() is called once a task and returns the function from a list of texts to a list of columns,
+    make() is called once a task and returns the function from an array of texts to a list of columns,
     in the order of the DDL string. Null texts count as empty. An empty table gives no rows.
     Columns of df that have the names of new ones are replaced.
     """

@@ -13,6 +13,7 @@ import wave
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
@@ -114,8 +115,7 @@ def wav_fingerprints(df: DataFrame, text: str = "text", keep_media: bool = False
     def make():
         def columns(texts):
             rows = []
-            for text in texts:
-                data = text.encode("utf-8", "surrogatepass")
+            for data in texts.cast(pa.binary()).to_pylist():
                 media = to_wav(padded(data))
                 payload = from_wav(media)
                 t, c, feature = features(payload)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import Tokens, with_columns
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -137,18 +137,14 @@ def union_length(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return (np.cumsum(edge[:-1]) > 0).astype(np.int64)
 
 
-def repetition(words: list[list[bytes]], minimum: int) -> dict[str, np.ndarray]:
+def repetition(words: Tokens, minimum: int) -> dict[str, np.ndarray]:
     """For each text: words in repeated 3-word windows, words under repeats of minimum words or more, intervals, longest repeat."""
-    sizes = np.array([len(w) for w in words], np.int64)
-    n, docs = int(sizes.sum()), len(words)
+    sizes, ids, doc = words.sizes, words.index, words.texts()
+    n, docs = len(ids), len(sizes)
     zero = np.zeros(docs, np.int64)
     if not n:
         return {"repeat_words": zero, "covered": zero, "intervals": zero, "longest": zero}
-    table: dict[bytes, int] = {}
-    ids = np.fromiter((table.setdefault(w, len(table)) for ws in words for w in ws), np.int64, n)
-    doc = np.repeat(np.arange(docs), sizes)
-    ends = np.cumsum(sizes)
-    left = ends[doc] - np.arange(n)
+    left = words.ends()[doc] - np.arange(n)
     order, _ = suffix_array(ids, doc, left)
     lcp = common_prefixes(ids, order, doc, left)
     total = lambda x: np.bincount(doc, weights=x, minlength=docs).astype(np.int64)
@@ -198,11 +194,11 @@ def quality_rules(df: DataFrame, text: str = "text", limits: Limits = Limits())
 
     def make():
         def columns(texts):
-            words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+            words = Tokens(texts)
             found = repetition(words, limits.min_repeat)
             out = []
-            for i, (t, ws) in enumerate(zip(texts, words)):
-                n, repeated = len(ws), int(found["repeat_words"][i])
+            for i, (t, n) in enumerate(zip(texts.to_pylist(), words.sizes.tolist())):
+                repeated = int(found["repeat_words"][i])
                 failed = n < limits.min_words or 100 * repeated > limits.max_repeat_words_percent * n
                 covered, longest = int(found["covered"][i]), int(found["longest"][i])
                 bad = failed or covered > limits.max_covered * n or longest > limits.max_longest

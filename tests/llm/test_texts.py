@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from claimlens.llm import bpe, chat, media, quality, rollups, warc
-from claimlens.llm.common import scratch
+from claimlens.llm.common import Tokens, scratch
 
 ODD = [None, "", " ", "a", "a b c", "é中 \U0001f600 x", "tab\there\nand\x0bthere\x1c\x85\xa0end", "ab " * 5000, "x" * 70000, "same text twice", "same text twice"]
 DOCS = "doc_id long, text string, lang string, source string, kept string, n_words int"
@@ -80,7 +80,7 @@ def test_repetition_against_brute_force():
     r = random.Random(5)
     texts = [[r.choice([b"a", b"b", b"c"]) for _ in range(r.randrange(0, 40))] for _ in range(60)]
     texts += [[b"x"] * 30, [], [b"p", b"q"] * 12, [b"w%d" % i for i in range(20)] * 2]
-    got = quality.repetition(texts, 4)
+    got = quality.repetition(Tokens([b" ".join(t).decode() for t in texts]), 4)
     for k, words in enumerate(texts):
         tri, covered, longest = brute_repetition(words, 4)
         assert (got["repeat_words"][k], got["covered"][k], got["longest"][k]) == (tri, covered, longest), words
