@@ -1,7 +1,62 @@
-"""The corpus pipeline: quality rules, toxicity, near duplicates, packing."""
-STAGES = []
+"""The corpus pipeline: quality rules, toxicity, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all the rows its predecessor kept, and returns a DataFrame, which is
+written as Parquet and read again before the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimlens.llm import ngram_join, packing, quality, toxicity
+from claimlens.llm.common import stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Null and empty texts go."""
+    return quality.kept_only(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, fitted on labelled documents of this stage's input, doesn't predict as toxic."""
+    net = toxicity.trained(docs, table(spark, sf_dir, "labels"))
+    marked = toxicity.with_toxicity(docs.select(F.struct("*").alias("row"), "text"), net)
+    return marked.where("predicted = 0").select("row.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar documents the one with the smallest doc_id; a repeated row stays once.
+
+    A row without a doc_id stays, unless a similar document has one.
+    """
+    classes = ngram_join.similar_texts(docs.select("doc_id", "text"))
+    firsts = classes.where("doc_id = class_id").select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if not docs.where("doc_id is null").isEmpty() and not classes.where("doc_id is null and class_id is null").isEmpty():
+        kept = kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return kept.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin of each document, or of each piece of a long one."""
+    rows = packing.words_and_cluster(docs.select("doc_id", "source", "lang", "text"))
+    return packing.packed(rows, keep=("source", "lang"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: Suffix arrays, a trained network and greedy packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
