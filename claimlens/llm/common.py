@@ -61,11 +61,11 @@ def chunks(lengths: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """The batches cut into chunks of rows, each with its texts; null texts are empty."""
     for batch in batches:
         texts = pc.fill_null(batch.column(batch.schema.get_field_index(text)).cast(pa.string()), "")
-        for a, b in chunks(pc.binary_length(texts).to_pylist()):
+        for a, b in chunks(pc.binary_length(texts).to_pylist(), limit):
             yield batch.slice(a, b - a), texts.slice(a, b - a)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, ngram_join, packing, quality, rollups, toxicity, warc
+from . import bpe, chat, language_model, media, ngram_join, packing, quality, rollups, toxicity, warc
 from .common import scratch, stored, table
 
 
@@ -40,6 +40,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(packing.words_and_cluster(docs).select("doc_id", "source", "n_tokens", "cluster"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.with_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = scratch(spark, "warc")
@@ -73,7 +77,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(fixed)))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op8_warc, op9_token_rollups, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, op10_chat_format)}
 
 
 def _escapes(column: str) -> str:
