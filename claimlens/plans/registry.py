@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit
+from . import admin, audit
 
-MODULES = [audit]
+MODULES = [audit, admin]
 
 
 def queries() -> dict:
