@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admin, audit
+from . import admin, audit, rules
 
-MODULES = [audit, admin]
+MODULES = [audit, admin, rules]
 
 
 def queries() -> dict:
