@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admin, audit, rules
+from . import admin, audit, calibration, rules
 
-MODULES = [audit, admin, rules]
+MODULES = [audit, admin, rules, calibration]
 
 
 def queries() -> dict:
