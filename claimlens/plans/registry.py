@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admin, audit, calibration, rules
+from . import admin, audit, calibration, crossfile, rules, texts
 
-MODULES = [audit, admin, rules, calibration]
+MODULES = [audit, admin, rules, calibration, crossfile, texts]
 
 
 def queries() -> dict:
