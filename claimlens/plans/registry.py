@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from claimlens.streaming import audit as stream
+
 from . import admin, audit, calibration, crossfile, rules, texts
 
-MODULES = [audit, admin, rules, calibration, crossfile, texts]
+MODULES = [audit, admin, rules, calibration, crossfile, texts, stream]
 
 
 def queries() -> dict:
