@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def nearest_rank(values: str | Column, p: float) -> Column:
     """The element at floor(n p), at most the last, of the sorted values of a group; null without values."""
     a = F.array_sort(F.collect_list(values))
-    return F.try_element_at(a, F.least(F.floor(F.size(a) * F.lit(p)), F.size(a) - 1).cast("int") + 1)
+    return F.try_element_at(a, F.greatest(F.least(F.floor(F.size(a) * F.lit(p)), F.size(a) - 1).cast("int") + 1, F.lit(1)))
 
 
 def rounded_rank(values: str | Column, q: float) -> Column:
     """The element at round(q (n - 1)), half to even, of the sorted values of a group."""
     a = F.array_sort(F.collect_list(values))
-    return F.try_element_at(a, F.bround(F.lit(q) * (F.size(a) - 1)).cast("int") + 1)
+    return F.try_element_at(a, F.greatest(F.bround(F.lit(q) * (F.size(a) - 1)).cast("int") + 1, F.lit(1)))
 
 
 def clamp01(x: Column) -> Column:
