@@ -33,7 +33,7 @@ class Join:
     trees: int = 32
     deepest: int = 9
     shallowest: int = 6
-    target_recall: float = 0.995
+    target_recall: float = 0.999
     block_rows: int = 300
     block_shingles: int = 400_000
     seed: int = 11
