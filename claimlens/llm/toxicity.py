@@ -28,7 +28,8 @@ class Settings:
 
     window: int = 48
     stride: int = 40
-    word_buckets: int = 8192
+    word_buckets: int = 65536
+    least_texts: int = 4
     trigram_buckets: int = 4096
     dim: int = 12
     hidden: int = 8
@@ -82,6 +83,7 @@ class Network:
         draw = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
         self.p = params or {
             "word": draw(s.word_buckets, s.dim, scale=0.01),
+            "known": np.ones(s.word_buckets, np.float32),
             "char": draw(s.trigram_buckets, s.dim, scale=0.3),
             "in": draw(2 * s.dim, 6 * h, scale=0.4),
             "in_b": np.zeros(6 * h, np.float32),
@@ -97,7 +99,7 @@ class Network:
         if not len(w.bucket):
             return np.zeros((1, 2 * self.s.dim), np.float32)
         char = np.add.reduceat(self.p["char"][w.trigram], w.first, axis=0) / w.trigrams[:, None].astype(np.float32)
-        return np.concatenate((self.p["word"][w.bucket], char), axis=1)
+        return np.concatenate((self.p["word"][w.bucket] * self.p["known"][w.bucket, None], char), axis=1)
 
     def forward(self, projected: np.ndarray, index: np.ndarray, count: np.ndarray, keep: list | None = None):
         """Logits of windows given as indexes (lanes, window) and word counts.
@@ -135,7 +137,7 @@ class Network:
         logit = self.forward(projected, index, count, keep)
         states, live, kept, a, pooled = keep
         width = len(states)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g = {k: np.zeros_like(v) for k, v in p.items() if k != "known"}
         dl = ((1 / (1 + np.exp(-logit)) - target) * weight / max(weight.sum(), 1e-9)).astype(np.float32)
         g["out"] = (pooled @ dl)[:, None]
         g["out_b"] = np.array([dl.sum()], np.float32)
@@ -159,7 +161,7 @@ class Network:
         g["in"], g["in_b"] = x.T @ dp, dp.sum(axis=0)
         used = np.flatnonzero(np.bincount(flat, minlength=len(x)))
         dinput = dp @ p["in"].T
-        g["word"] = summed_by(w.bucket[used], dinput[used, : self.s.dim], self.s.word_buckets)
+        g["word"] = summed_by(w.bucket[used], dinput[used, : self.s.dim] * p["known"][w.bucket[used], None], self.s.word_buckets)
         share = dinput[:, self.s.dim :] / w.trigrams[:, None].astype(np.float32)
         which = np.repeat(np.arange(len(x)), w.trigrams)
         on = np.zeros(len(x), bool)
@@ -201,9 +203,12 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
     r = np.random.default_rng(s.seed)
     w = Words(texts, s)
     text, start, count = windows(w.sizes, s)
-    adam = Adam(net.p, s.rate)
+    # Words of a few texts only would tell these texts apart instead of the classes.
+    pairs = np.unique(np.repeat(np.arange(len(w.sizes)), w.sizes) * s.word_buckets + w.bucket[w.index]) if len(w.index) else np.zeros(0, np.int64)
+    net.p["known"] = (np.bincount(pairs % s.word_buckets, minlength=s.word_buckets) >= s.least_texts).astype(np.float32)
+    adam = Adam({k: v for k, v in net.p.items() if k != "known"}, s.rate)
     offsets = np.arange(s.window)
-    epochs = max(s.epochs, -(-s.least_updates * s.batch // (3 * len(texts) + 1)))
+    epochs = max(s.epochs, -(-s.least_updates * 64 // (3 * len(texts) + 1)))
     for epoch in range(min(epochs, 10 * s.epochs)):
         chosen = np.zeros(len(text), bool)
         key = r.random(len(text))
@@ -216,8 +221,9 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
         place = np.arange(len(text)) - np.repeat(np.cumsum(np.bincount(text)) - np.bincount(text), np.bincount(text))
         chosen[order[(place < 3) & (key[order] < 2)]] = True
         at = r.permutation(np.flatnonzero(chosen))
-        for i in range(0, len(at), s.batch):
-            b = at[i : i + s.batch]
+        size = int(np.clip(len(at) // 60, 64, s.batch))
+        for i in range(0, len(at), size):
+            b = at[i : i + size]
             index = w.index[np.minimum(start[b, None] + offsets, max(0, len(w.index) - 1))] if len(w.index) else np.zeros((len(b), s.window), np.int64)
             words, index = local(w, index, count[b])
             adam.update(net.gradients(words, net.inputs(words), index, count[b], y[text[b]], np.ones(len(b), np.float32)))
