@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from claimlens.streaming import audit as stream
 
-from . import admin, audit, calibration, crossfile, rules, texts
+from . import admin, audit, calibration, crossfile, findings, rules, texts
 
-MODULES = [audit, admin, rules, calibration, crossfile, texts, stream]
+MODULES = [audit, admin, rules, calibration, crossfile, texts, findings, stream]
 
 
 def queries() -> dict:
