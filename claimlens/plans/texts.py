@@ -175,7 +175,7 @@ ORACLES = {
         WITH g AS (SELECT l_orderkey, list(l_extendedprice) AS i, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE * [1.0, 1.02, 1.10][l_orderkey % 3 + 1] AS total FROM lineitem GROUP BY l_orderkey),
         k AS (SELECT l_orderkey, total, list_filter(i, lambda x: x >= 0.01 AND x < total) AS i FROM g),
         r AS (SELECT l_orderkey % 3 AS kind, len(i) AS n_items, round(abs(coalesce(list_sum(i), 0) - total) / total, 8) AS d FROM k)
-        SELECT kind, CASE WHEN n_items >= 3 THEN CASE WHEN d > 0.05 THEN 0.75 WHEN d > 0.01 THEN 0.50 END END AS risk, count(*) AS n, sum(n_items)::BIGINT AS items FROM r GROUP BY ALL""",
+        SELECT kind, CASE WHEN n_items >= 3 THEN CASE WHEN d > 0.05 THEN 0.75 WHEN d > 0.01 THEN 0.50 END END::DOUBLE AS risk, count(*) AS n, sum(n_items)::BIGINT AS items FROM r GROUP BY ALL""",
     "hidden_chars": "SELECT doc_id, (3 * (doc_id % 5) + len(regexp_extract_all(coalesce(text, ''), '[​-‏﻿‪-‮⁦-⁩]')))::INT AS n_hidden FROM documents",
     "homoglyph_lines": """
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, '') || repeat('а', (doc_id % 5)::INT), chr(10))) AS s FROM documents),
