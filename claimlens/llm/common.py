@@ -2,53 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-import claimlens
+from claimlens.sources.scratch import scratch, stored
+from claimlens.sources.tables import table
 
-# Tasks get the functions with the job, so that executors need not have this package installed.
-cloudpickle.register_pickle_by_value(claimlens)
+__all__ = ["Tokens", "chunks", "mixed", "scratch", "stored", "string_bytes", "string_hashes", "table", "text_batches", "with_columns"]
 
 #: Bytes of text that a task works on at once, besides at most one longer text.
 CHUNK_BYTES = 4_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors share.
-
-    It lies under spark.checkpoint.dir. Where that is unset (tests), a local folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: its lineage ends there and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def chunks(lengths: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose lengths add up to limit at most, or of one row."""
     start = total = 0
