@@ -229,7 +229,8 @@ def round_of(docs: DataFrame, reps: DataFrame, depth: int, j: Join, text: str) -
     shared = entries.groupBy("key").agg(F.min("rep").alias("root"), F.count("*").alias("m")).where("m > 1").select("key", "root")
     edges = entries.join(shared, "key").where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
     groups = components(edges, "forest")
-    members = groups.join(reps.select("rep", "copies", "n"), F.col("v") == F.col("rep")).select("rep", F.col("root").alias("grp"), "copies", "n")
+    sizes = reps.select("rep", "set_a", "set_b", "copies", "n")
+    members = groups.join(sizes, F.col("v") == F.col("rep")).select("rep", "set_a", "set_b", F.col("root").alias("grp"), "copies", "n")
     members = stored(members, "members")
     sizes = members.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / j.block_rows, F.sum("n") / j.block_shingles)).cast("int").alias("blocks"))
     total = members.agg(F.count("*"), F.sum("n")).first()
@@ -240,11 +241,17 @@ def round_of(docs: DataFrame, reps: DataFrame, depth: int, j: Join, text: str) -
         for batch, texts in text_batches(batches, "text"):
             values, n = shingles(Tokens(texts), j.words)
             end = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[a:b].tobytes() for a, b in zip((end - n).tolist(), end.tolist())], pa.binary())], names=["rep", "members"])
+            a, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            if n.any():
+                a[n > 0], b[n > 0] = digests(values, (end - n)[n > 0])
+            held = pa.array([values[i:k].tobytes() for i, k in zip((end - n).tolist(), end.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), held], names=["rep", "set_a", "set_b", "members"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).join(members.select("rep"), "rep", "left_semi")
-    texts = texts.mapInArrow(sets, "rep long, members binary")
-    placed = placed.join(texts, "rep").where(F.octet_length("members") == 8 * F.col("n"))
+    texts = texts.mapInArrow(sets, "rep long, set_a long, set_b long, members binary")
+    # A repeated row brings its set again; one is kept.
+    one = ["rep", "set_a", "set_b"]
+    placed = placed.join(texts, one).dropDuplicates(one)
     # A small group goes with others into a bundle; of a large one, each pair of blocks is a cell.
     each = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))
     placed = placed.withColumn("other", F.explode(each))
@@ -280,7 +287,7 @@ def similar_texts(docs: DataFrame, text: str = "text", j: Join = Join()) -> Data
     reps = stored(reps, "reps")
     sigs = signs.where("n > 0").select(F.col("doc_id").cast("long").alias("rep"), "set_a", "set_b", "sig")
     # Copies of a text bring the same row; one per set is kept.
-    with_sig = reps.join(sigs, ["rep", "set_a", "set_b"]).dropDuplicates(["rep", "set_a", "set_b"]).select("rep", "copies", "n", "sig")
+    with_sig = reps.join(sigs, ["rep", "set_a", "set_b"]).dropDuplicates(["rep", "set_a", "set_b"]).select("rep", "set_a", "set_b", "copies", "n", "sig")
     with_sig = stored(with_sig, "rep-signatures")
     for depth in range(j.deepest, j.shallowest - 1, -1):
         links = round_of(docs, with_sig, depth, j, text)

@@ -65,6 +65,9 @@ def test_against_all_pairs(spark):
 
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
+    near = text.replace("w29", "zz")
+    twice = spark.createDataFrame([(1, text), (1, text), (4, near), (4, near), (5, text)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in nj.similar_texts(twice).collect()) == [(1, 1, 2), (4, 1, 2), (5, 1, 2)]
     rows = [(1, text), (1, text), (None, text), (2, None), (3, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id) for r in nj.similar_texts(df).collect()), key=str)
