@@ -32,7 +32,10 @@ def fused(df: DataFrame, scores: str = "scores", codes: str = "codes", meta: Col
     meta, if given, is blended in at a share of blend where it isn't null and the score is between .15 and .85.
     No module at all gives 0, 0, Low and null probabilities.
     """
-    s = {n: F.col(scores)[n] for n in ("clip", "organika", "pixel", "community", "dino", "ai_generation", "modification", "mesorch", "deep_modification", "text", "content")}
+    # Each score is looked up once; the rules then are over plain columns.
+    names = ("clip", "organika", "pixel", "community", "dino", "ai_generation", "modification", "mesorch", "deep_modification", "text", "content")
+    df = df.withColumns({f"_s_{n}": F.col(scores)[n] for n in names})
+    s = {n: F.col(f"_s_{n}") for n in names}
     has = lambda code: F.array_contains(codes, code)
 
     # The part of a lone detector is damped when the independent ones stay low.
@@ -89,7 +92,7 @@ def fused(df: DataFrame, scores: str = "scores", codes: str = "codes", meta: Col
         "p_ai": probability(0.4 * o, (1 - authentic) * share, 0.6 * o),
         "p_tampered": probability(0.6 * o * o, (1 - authentic) * (1 - share), 0.4 * o),
     }
-    return df.withColumns(out).drop("_m", "_core", "_t", "_o", "_h", "_n", "_low", "_ind", "_strong")
+    return df.withColumns(out).drop("_m", "_core", "_t", "_o", "_h", "_n", "_low", "_ind", "_strong", *(f"_s_{n}" for n in names))
 
 
 def module_rollup(risks: Column) -> Column:
