@@ -43,7 +43,8 @@ class Settings:
 
 
 PUNCTUATION = ".,;:!?\"'()[]"
-LANES = 1024
+#: Windows that are scored side by side, and words whose trigrams are gathered at once.
+LANES, WORDS = 1024, 20_000
 
 
 class Words:
@@ -98,8 +99,14 @@ class Network:
         """The inputs of each distinct word: its own embedding and its trigrams' mean."""
         if not len(w.bucket):
             return np.zeros((1, 2 * self.s.dim), np.float32)
-        char = np.add.reduceat(self.p["char"][w.trigram], w.first, axis=0) / w.trigrams[:, None].astype(np.float32)
-        return np.concatenate((self.p["word"][w.bucket] * self.p["known"][w.bucket, None], char), axis=1)
+        out = np.empty((len(w.bucket), 2 * self.s.dim), np.float32)
+        out[:, : self.s.dim] = self.p["word"][w.bucket] * self.p["known"][w.bucket, None]
+        for i in range(0, len(out), WORDS):
+            j = min(len(out), i + WORDS)
+            begin, end = int(w.first[i]), int(w.first[j - 1] + w.trigrams[j - 1])
+            sums = np.add.reduceat(self.p["char"][w.trigram[begin:end]], w.first[i:j] - begin, axis=0)
+            out[i:j, self.s.dim :] = sums / w.trigrams[i:j, None].astype(np.float32)
+        return out
 
     def forward(self, projected: np.ndarray, index: np.ndarray, count: np.ndarray, keep: list | None = None):
         """Logits of windows given as indexes (lanes, window) and word counts.
@@ -171,7 +178,8 @@ class Network:
         return g
 
     def logits(self, w: Words, text: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        projected = self.inputs(w) @ self.p["in"] + self.p["in_b"]
+        few = len(w.bucket) <= 10 * WORDS  # else each block of windows projects its own words
+        projected = self.inputs(w) @ self.p["in"] + self.p["in_b"] if few else None
         out = np.empty(len(text), np.float32)
         offsets = np.arange(self.s.window)
         last = max(0, len(w.index) - 1)
@@ -179,7 +187,11 @@ class Network:
         by_size = np.argsort(-count, kind="stable")  # windows of a like width side by side
         for i in range(0, len(text), LANES):
             lanes = by_size[i : i + LANES]
-            out[lanes] = self.forward(projected, index[np.minimum(start[lanes, None] + offsets, last)], count[lanes])
+            block = index[np.minimum(start[lanes, None] + offsets, last)]
+            if not few:
+                words, block = local(w, block, count[lanes])
+                projected = self.inputs(words) @ self.p["in"] + self.p["in_b"]
+            out[lanes] = self.forward(projected, block, count[lanes])
         return out
 
     def scores(self, texts: pa.Array | list[str]) -> np.ndarray:
@@ -191,7 +203,7 @@ class Network:
         return 1 / (1 + np.exp(-best.astype(np.float64)))
 
 
-def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Network:
+def fit(texts: pa.Array | list[str], labels: list[int], s: Settings = Settings()) -> Network:
     """A network trained on labelled texts; with no texts of one class it scores that class's rate."""
     net = Network(s)
     y = np.array(labels, np.float32)
@@ -204,8 +216,10 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Networ
     w = Words(texts, s)
     text, start, count = windows(w.sizes, s)
     # Words of a few texts only would tell these texts apart instead of the classes.
-    pairs = np.unique(np.repeat(np.arange(len(w.sizes)), w.sizes) * s.word_buckets + w.bucket[w.index]) if len(w.index) else np.zeros(0, np.int64)
-    net.p["known"] = (np.bincount(pairs % s.word_buckets, minlength=s.word_buckets) >= s.least_texts).astype(np.float32)
+    texts_of = np.zeros(s.word_buckets, np.int64)
+    for end, n in zip(np.cumsum(w.sizes).tolist(), w.sizes.tolist()):
+        texts_of[np.unique(w.bucket[w.index[end - n : end]])] += 1
+    net.p["known"] = (texts_of >= s.least_texts).astype(np.float32)
     adam = Adam({k: v for k, v in net.p.items() if k != "known"}, s.rate)
     offsets = np.arange(s.window)
     epochs = max(s.epochs, -(-s.least_updates * 64 // (3 * len(texts) + 1)))
@@ -264,10 +278,12 @@ def training_rows(documents: DataFrame, labels: DataFrame, s: Settings = Setting
 
 def trained(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Network:
     """A network fitted on the driver, on the bounded training_rows()."""
-    rows = sorted(training_rows(documents, labels, s).collect(), key=lambda r: (r.doc_id, r.text or ""))
-    seen: set = set()
-    rows = [r for r in rows if not (r.doc_id in seen or seen.add(r.doc_id))]  # repeated ids teach once
-    return fit([r.text or "" for r in rows], [r.toxic for r in rows], s)
+    rows = training_rows(documents, labels, s).toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    ids = rows.column("doc_id").to_numpy()
+    first = np.ones(len(ids), bool)
+    first[1:] = ids[1:] != ids[:-1]  # repeated ids teach once
+    rows = rows.filter(pa.array(first))
+    return fit(pc.fill_null(rows.column("text").combine_chunks(), ""), rows.column("toxic").to_pylist(), s)
 
 
 def with_toxicity(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
