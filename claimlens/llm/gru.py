@@ -52,7 +52,7 @@ def summed_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """The sum of the rows of each index below n."""
     out = np.zeros((n, rows.shape[1]), np.float32)
     if len(index):
-        order = np.argsort(index, kind="stable")
+        order = np.argsort(index.astype(np.uint16) if n <= 1 << 16 else index, kind="stable")
         s = index[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         out[s[first]] = np.add.reduceat(rows[order], first, axis=0)

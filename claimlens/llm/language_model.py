@@ -14,6 +14,7 @@ through whole documents.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,10 +42,10 @@ class Settings:
     dim: int = 16
     hidden: int = 20
     window: int = 32
-    lanes: int = 128
-    least_updates: int = 300
-    rate: float = 0.004
-    rounds: tuple[float, ...] = (0.05, 0.2, 0.75)
+    lanes: int = 256
+    least_updates: int = 150
+    rate: float = 0.008
+    rounds: tuple[float, ...] = (0.15, 0.85)
     chunk_bytes: int = 12_000_000
     seed: int = 3
 
@@ -55,6 +56,8 @@ class Settings:
 
 #: Output ids: the end of a document, and any word that isn't in the head. Head words follow by falling count.
 END, TAIL, FIRST = 0, 1, 2
+#: Columns that the softmax works on at once, so that its arrays stay in the cache.
+COLUMNS = 1024
 LN10 = float(np.log(10.0))
 HELD_OUT = 10
 
@@ -162,47 +165,54 @@ def _log_softmax_at(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray,
 
 def output_scores(p: dict, hs: np.ndarray, target: np.ndarray, s: Settings, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of each target, given states as columns; with grads, adds the gradients of minus their sum and returns the states' too."""
-    cls, within = np.divmod(target, s.per_class)
-    logits = p["class"] @ hs
-    logits += p["class_b"][:, None]
-    logp, soft = _log_softmax_at(logits, cls)
-    dh = None
-    if grads is not None:
-        soft[cls, np.arange(len(cls))] -= 1
-        grads["class"] += soft @ hs.T
-        grads["class_b"] += soft.sum(axis=1)
-        dh = p["class"].T @ soft
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(s.classes + 1))
+    order = np.argsort(target.astype(np.uint16) if s.outputs <= 1 << 16 else target, kind="stable")
+    hs = np.take(hs, order, axis=1)
+    cls, within = np.divmod(target[order], s.per_class)
+    logp = np.empty(len(order), hs.dtype)
+    dh = np.empty_like(hs) if grads is not None else None
+    for a in range(0, len(order), COLUMNS):
+        h, c = hs[:, a : a + COLUMNS], cls[a : a + COLUMNS]
+        logits = p["class"] @ h
+        logits += p["class_b"][:, None]
+        logp[a : a + COLUMNS], soft = _log_softmax_at(logits, c)
+        if grads is not None:
+            soft[c, np.arange(len(c))] -= 1
+            grads["class"] += soft @ h.T
+            grads["class_b"] += soft.sum(axis=1)
+            dh[:, a : a + COLUMNS] = p["class"].T @ soft
+    edges = np.searchsorted(cls, np.arange(s.classes + 1)).tolist()
     for c in range(s.classes):
-        at = order[edges[c] : edges[c + 1]]
-        if len(at):
-            h = hs[:, at]
+        for a in range(edges[c], edges[c + 1], COLUMNS):
+            b = min(edges[c + 1], a + COLUMNS)
+            h, w = hs[:, a:b], within[a:b]
             logits = p["word"][c] @ h
             logits += p["word_b"][c][:, None]
-            part, soft = _log_softmax_at(logits, within[at])
-            logp[at] += part
+            part, soft = _log_softmax_at(logits, w)
+            logp[a:b] += part
             if grads is not None:
-                soft[within[at], np.arange(len(at))] -= 1
+                soft[w, np.arange(b - a)] -= 1
                 grads["word"][c] += soft @ h.T
                 grads["word_b"][c] += soft.sum(axis=1)
-                dh[:, at] += p["word"][c].T @ soft
-    return logp, dh
+                dh[:, a:b] += p["word"][c].T @ soft
+    back_order = np.empty_like(order)
+    back_order[order] = np.arange(len(order))
+    return logp[back_order], None if dh is None else np.take(dh, back_order, axis=1)
 
 
-def train(p: dict, streams: list[tuple[np.ndarray, np.ndarray]], s: Settings) -> int:
+def train(p: dict, streams: list[tuple[np.ndarray, np.ndarray]], s: Settings, adam: Adam | None = None) -> int:
     """Trains p in place on documents given as (input ids, output ids); returns the number of tokens.
 
-    Documents are dealt to lanes, longest first to the shortest lane; the state starts anew with each document.
+    Documents are dealt to lanes, longest first to the shortest lane; the state starts anew with each document. A document
+    that is longer than a lane's share of the tokens goes on in another lane, and its state starts anew there too.
     """
     total = sum(len(x) for x, _ in streams)
     if not total:
         return 0
     lanes = int(max(4, min(s.lanes, total // (s.window * s.least_updates))))
+    share = max(s.window, -(-total // lanes))
+    streams = [(a[k : k + share], b[k : k + share]) for a, b in streams for k in range(0, len(a), share)]
     parts: list[list] = [[] for _ in range(lanes)]
     heap = [(0, i) for i in range(lanes)]
-    import heapq
-
     for k in sorted(range(len(streams)), key=lambda k: -len(streams[k][0])):
         n, i = heapq.heappop(heap)
         parts[i].append(k)
@@ -219,7 +229,7 @@ def train(p: dict, streams: list[tuple[np.ndarray, np.ndarray]], s: Settings) ->
             x[at : at + len(a), i], y[at : at + len(a), i] = a, b
             new[at, i] = True
             at += len(a)
-    adam = Adam(p, s.rate)
+    adam = adam or Adam(p, s.rate)
     state = np.zeros((s.hidden, lanes), np.float32)
     for t0 in range(0, longest, s.window):
         xs, ys, starts = x[t0 : t0 + s.window], y[t0 : t0 + s.window], new[t0 : t0 + s.window]
@@ -227,19 +237,22 @@ def train(p: dict, streams: list[tuple[np.ndarray, np.ndarray]], s: Settings) ->
         if not real.any():
             break
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        used, inverse = np.unique(xs, return_inverse=True)
-        inverse = inverse.reshape(xs.shape)
+        used = np.flatnonzero(np.bincount(xs.reshape(-1), minlength=len(p["embed"])))
+        place = np.empty(len(p["embed"]), np.int64)
+        place[used] = np.arange(len(used))
+        inverse = place[xs]
         projected = p["embed"][used] @ p["in"] + p["in_b"]
-        hs, kept = np.empty((len(xs), s.hidden, lanes), np.float32), []
+        hs, kept = np.empty((s.hidden, len(xs), lanes), np.float32), []
         for t in range(len(xs)):
             if starts[t].any():
                 state = np.where(starts[t], np.float32(0), state)
             state = step(np.ascontiguousarray(projected[inverse[t]].T), state, p["u"], kept)
-            hs[t] = state
-        flat = np.ascontiguousarray(hs.transpose(1, 0, 2).reshape(s.hidden, -1)[:, real.reshape(-1)])
-        _, dflat = output_scores(p, flat, ys[real], s, g)
-        dhs = np.zeros((s.hidden, real.size), np.float32)
-        dhs[:, real.reshape(-1)] = dflat
+            hs[:, t] = state
+        flat, every = hs.reshape(s.hidden, -1), bool(real.all())
+        _, dhs = output_scores(p, flat if every else flat[:, real.reshape(-1)], ys[real], s, g)
+        if not every:
+            some, dhs = dhs, np.zeros((s.hidden, real.size), np.float32)
+            dhs[:, real.reshape(-1)] = some
         dhs = dhs.reshape(s.hidden, len(xs), lanes)
         dh = np.zeros((s.hidden, lanes), np.float32)
         dx = np.empty((len(xs), lanes, 3 * s.hidden), np.float32)
@@ -327,21 +340,20 @@ def trained(docs: DataFrame, v: Vocabulary, s: Settings, text: str) -> dict[str,
     """Mean weights after the rounds. A round's aggregation has as many rows as there are weights, for each task."""
     spark = docs.sparkSession
     p = start_weights(v, s)
-    u = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1_000_000)) / 1_000_000.0
-    low = 0.0
-    for share in s.rounds:
-        part = docs.where(~held_out() & (u >= low) & (u < low + share + 1e-9)).select(text)
-        low += share
+    u = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(1_000_000))
+    cuts = [round(1_000_000 * sum(s.rounds[:k])) for k in range(len(s.rounds))] + [1_000_000]
+    for low, high in zip(cuts, cuts[1:]):
+        part = docs.where(~held_out() & (u >= low) & (u < high)).select(text)
         held = spark.sparkContext.broadcast((p, v))
 
         def run(batches):
             start, vocabulary = held.value
             mine = {k: w.copy() for k, w in start.items()}
-            done = 0
-            for _, texts in text_batches(batches, text, 4 * s.chunk_bytes):
+            done, adam = 0, Adam(mine, s.rate)
+            for _, texts in text_batches(batches, text, s.chunk_bytes):
                 t = Tokens(texts, lower=True)
                 _, out, into = coded(t, vocabulary, s)
-                done += train(mine, list(zip(*streams(t, into, out))), s)
+                done += train(mine, list(zip(*streams(t, into, out))), s, adam)
             if done:
                 flat = _flat(mine).astype(np.float64)
                 for a in range(0, len(flat), 10_000):
