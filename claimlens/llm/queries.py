@@ -10,6 +10,10 @@ from . import bpe, chat, language_model, media, ngram_join, packing, quality, ro
 from .common import scratch, stored, table
 
 
+#: Parts that the copies of one text are dealt to.
+SALTS = 32
+
+
 def op1_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return media.wav_fingerprints(docs).drop("text")
@@ -59,7 +63,9 @@ def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(rollups.counts(docs, keep=("digest", "revised")), "token-counts")
     now = F.when(F.col("tokenizer") == "letters-1", F.col("revised")).otherwise(F.col("tokens"))
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("last_id > first_id").select("digest", "first_id")
-    copies = rows.join(firsts, "digest").where("doc_id > first_id")
+    # A text's copies may be a third of all rows: they are dealt to salts, and each salt gets the few digests that occur again.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = salted.join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"]).where("doc_id > first_id")
     roll = rollups.Rollup(spark, scratch(spark, "rollup"))
     load, revise = rollups.inserts(rows), rollups.revisions(rows.where("tokenizer = 'letters-1'"), "tokens", "revised")
     roll.commit("1-load", load)
