@@ -7,9 +7,9 @@
 3. Nodes that overlap form candidate groups. Within each, similarities are computed exactly from the shingle sets. A
    large group is cut into blocks, and each pair of blocks is a task of its own, which counts links and returns a
    row per text, not per pair.
-4. From the similarities found, the recall at this length is estimated: a link of similarity s is in a node
-   with probability p(s) = 1 - (1 - s^length)^trees, so it stands for 1 / p(s) links. While the estimate is below the
-   target, all prefixes are shortened by one value and the join goes on from 2.
+4. A link of similarity s is in a node with probability p(s) = 1 - (1 - s^length)^trees. The join takes the longest
+   prefixes for which p(threshold) meets the target, so that it holds for each link, whatever the others are. Only if no
+   length does, prefixes are shortened from the longest until the recall of the least similar links found meets it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import Tokens, mixed, stored, string_hashes, text_batches
 
 @dataclass(frozen=True)
 class Join:
-    """block_rows and block_shingles bound what a task compares at once; target_recall is met by estimate or at `shallowest`."""
+    """block_rows and block_shingles bound what a task compares at once; target_recall is that of a link at the threshold itself."""
 
     words: int = 5
     threshold: float = 0.8
@@ -268,6 +268,17 @@ def recall(hist: list[int], depth: int, j: Join) -> float:
     return float(found.sum() / (found / share).sum()) if found.any() else 1.0
 
 
+def found_share(s: float, depth: int, j: Join) -> float:
+    """The probability that a link of similarity s is in a node at this depth."""
+    return 1 - (1 - s**depth) ** j.trees
+
+
+def least_recall(hist: list[int], depth: int, j: Join) -> float:
+    """The recall in the lowest bin of similarities that has links: large groups of closer copies don't hide it."""
+    low = next((i for i, n in enumerate(hist) if n), None)
+    return 1.0 if low is None else recall([n if i == low else 0 for i, n in enumerate(hist)], depth, j)
+
+
 def similar_texts(docs: DataFrame, text: str = "text", j: Join = Join()) -> DataFrame:
     """doc_id, class_id and n_links of each document of docs (doc_id, an integer, and a text column).
 
@@ -289,11 +300,13 @@ def similar_texts(docs: DataFrame, text: str = "text", j: Join = Join()) -> Data
     # Copies of a text bring the same row; one per set is kept.
     with_sig = reps.join(sigs, ["rep", "set_a", "set_b"]).dropDuplicates(["rep", "set_a", "set_b"]).select("rep", "set_a", "set_b", "copies", "n", "sig")
     with_sig = stored(with_sig, "rep-signatures")
-    for depth in range(j.deepest, j.shallowest - 1, -1):
+    depths = range(j.deepest, j.shallowest - 1, -1)
+    sure = [d for d in depths if found_share(j.threshold, d, j) >= j.target_recall]
+    for depth in sure[:1] or depths:
         links = round_of(docs, with_sig, depth, j, text)
         bins = [F.sum(F.element_at("hist", i + 1)).alias(f"h{i}") for i in range(BINS)]
         hist = [x or 0 for x in links.where("hist is not null").agg(*bins).first()]
-        if recall(hist, depth, j) >= j.target_recall:
+        if least_recall(hist, depth, j) >= j.target_recall:
             break
     classes = components(links.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))

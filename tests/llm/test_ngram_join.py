@@ -113,3 +113,22 @@ def test_prefixes_are_shortened_until_the_recall_is_met(spark, monkeypatch):
     df = spark.createDataFrame(corpus(), "doc_id long, text string")
     nj.similar_texts(df, j=nj.Join(trees=4, deepest=9, shallowest=3)).count()
     assert depths == list(range(9, depths[-1] - 1, -1)) and len(depths) > 1
+
+
+def test_a_large_group_of_near_copies_hides_no_borderline_pairs(spark, monkeypatch):
+    """Pairs at 0.80 (80 of 100 shingles) beside 200 near copies, whose many links are nearly all found at any depth."""
+    depths = []
+    real = nj.round_of
+    monkeypatch.setattr(nj, "round_of", lambda docs, reps, depth, j, text: depths.append(depth) or real(docs, reps, depth, j, text))
+    text = [f"g{i}" for i in range(204)]
+    rows = [" ".join(text[:-1] + [f"end{i}"]) for i in range(200)]
+    for i in range(500):
+        w = [f"p{i}x{n}" for n in range(94)]
+        rows += [" ".join(w), " ".join(w[:-10] + [f"q{i}x{n}" for n in range(10)])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nj.similar_texts(df).collect()}
+    assert all(got[i] == (0, 199) for i in range(200))
+    assert nj.found_share(0.8, depths[-1], nj.Join()) >= nj.Join().target_recall
+    # The target is a probability: one of 500 pairs may be lost.
+    lost = [i for i in range(200, 1200, 2) if (got[i], got[i + 1]) != ((i, 1), (i, 1))]
+    assert len(lost) <= 1, lost
