@@ -169,18 +169,18 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(rep: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: float):
+def linked(rep: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool):
     """Links of the sets of a group, or between two blocks of it: rows of (rep, links to other texts, root), and a histogram.
 
-    Where two blocks are present, only pairs across them count; the pairs within each are another task's. root is the
-    smallest id that a chain of these links leads to.
+    Where the sets are across two blocks, only pairs across them count, also if one block turns out to be empty; the pairs
+    within each are another task's. root is the smallest id that a chain of these links leads to.
     """
     size = np.array([len(s) for s in sets], np.float32)
     common = intersections(sets)
     similarity = common / np.maximum(size[:, None] + size - common, 1)
     link = (common > 0) & (similarity >= threshold - 1e-6)
     np.fill_diagonal(link, False)
-    if block.min() != block.max():
+    if across:
         link &= block[:, None] != block
     on = link.any(axis=1)
     hist = np.histogram(similarity[np.triu(link)], bins=BINS, range=(0, 1))[0]
@@ -198,7 +198,7 @@ def linked(rep: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np
 
 
 def verified(cells: DataFrame, j: Join) -> DataFrame:
-    """rep, links, root and hist for the rows of cells (cell, grp, block, rep, copies, members)."""
+    """rep, links, root and hist for the rows of cells (cell, grp, block, across, rep, copies, members)."""
     threshold = j.threshold
 
     def compare(table: pa.Table) -> pa.Table:
@@ -207,7 +207,7 @@ def verified(cells: DataFrame, j: Join) -> DataFrame:
         for _, part in rows.groupby("grp", sort=False):
             if len(part) > 1:
                 sets = [np.frombuffer(x, np.uint64) for x in part["members"]]
-                rep, links, root, hist = linked(part["rep"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy(), sets, threshold)
+                rep, links, root, hist = linked(part["rep"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy(), sets, threshold, bool(part["across"].iloc[0]))
                 for column, values in zip(found, (rep, links, root)):
                     column.extend(values.tolist())
                 found[3].extend([hist.tolist()] + [None] * (len(rep) - 1) if len(rep) else [])
@@ -256,7 +256,8 @@ def round_of(docs: DataFrame, reps: DataFrame, depth: int, j: Join, text: str) -
     each = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))
     placed = placed.withColumn("other", F.explode(each))
     cell = F.when(F.col("other") < 0, F.concat(F.lit("b"), F.pmod(F.xxhash64("grp"), F.lit(bundles)).cast("string"))).otherwise(F.concat_ws("-", "grp", F.least("block", "other"), F.greatest("block", "other")))
-    placed = placed.select(cell.alias("cell"), "grp", "block", "rep", "copies", "members")
+    across = (F.col("other") >= 0) & (F.col("other") != F.col("block"))
+    placed = placed.select(cell.alias("cell"), "grp", "block", across.alias("across"), "rep", "copies", "members")
     return stored(verified(placed, j), "links")
 
 

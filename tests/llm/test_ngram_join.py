@@ -132,3 +132,15 @@ def test_a_large_group_of_near_copies_hides_no_borderline_pairs(spark, monkeypat
     # The target is a probability: one of 500 pairs may be lost.
     lost = [i for i in range(200, 1200, 2) if (got[i], got[i + 1]) != ((i, 1), (i, 1))]
     assert len(lost) <= 1, lost
+
+
+def test_pairs_of_one_block_count_once_beside_an_empty_block(spark):
+    """Two long near copies in three blocks: where both fall into one block, the cells across hold that block alone."""
+    rows = []
+    for i in range(0, 24, 2):
+        w = [f"p{i}x{n}" for n in range(300)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-1] + ["end"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # 592 shingles in a group are over 2 * 250, so that there are 3 blocks.
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nj.similar_texts(df, j=nj.Join(block_shingles=250)).collect()}
+    assert got == {i: (i - i % 2, 1) for i, _ in rows}
