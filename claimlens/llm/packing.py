@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_join
 from .common import stored
 
 
@@ -25,7 +26,7 @@ class Packing:
     """capacity: tokens of a bin. shard_rows: pieces in a shard, on average.
 
     exclusive_sources: whether a bin may have two documents of one source. Off by default: with a third of all documents in
-    one source it would leave bins half empty; the bitmap then still says which sources a bin has.
+    one source it leaves bins filled to a quarter (README); the bitmap then still says which sources a bin has.
     """
 
     capacity: int = 2048
@@ -135,3 +136,15 @@ def words_and_cluster(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_tokens, the words of each whole text, and cluster, a digest of the text: exact copies are a cluster. Null texts have none."""
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns({"n_tokens": F.regexp_count(t, F.lit("[^ \\t\\n\\x0B\\f\\r]+")), "cluster": F.md5(F.col(text))})
+
+
+def words_and_class(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_tokens and cluster as by words_and_cluster, but near copies (ngram_join's classes) are a cluster as well.
+
+    Rows are told apart by a key of their own, so that null and repeated doc_ids do no harm.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "packing-rows")
+    classes = ngram_join.similar_texts(rows.select(F.col("_row").alias("doc_id"), text), text)
+    linked = classes.where("n_links > 0").select(F.col("doc_id").alias("_row"), F.col("class_id").cast("string").alias("_class"))
+    out = words_and_cluster(rows, text).join(linked, "_row", "left")
+    return out.withColumn("cluster", F.coalesce("_class", "cluster")).drop("_row", "_class")

@@ -41,7 +41,7 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return packing.packed(packing.words_and_cluster(docs).select("doc_id", "source", "n_tokens", "cluster"))
+    return packing.packed(packing.words_and_class(docs).select("doc_id", "source", "n_tokens", "cluster"))
 
 
 def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

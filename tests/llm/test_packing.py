@@ -66,3 +66,19 @@ def test_words_and_cluster(spark):
     got = {x.doc_id: (x.n_tokens, x.cluster) for x in pk.words_and_cluster(df).collect()}
     assert [got[i][0] for i in (1, 2, 3, 4)] == [3, 0, 0, 3]
     assert got[1][1] == got[4][1] and got[2][1] is None
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    """The registered query: near copies conflict, also with null and repeated ids."""
+    from claimlens.llm.queries import op6_best_fit_packing
+
+    w = [f"w{i}" for i in range(100)]
+    near = [" ".join(w[:-1] + [f"end{i}"]) for i in range(6)]
+    rows = [(i, "s", t) for i, t in enumerate(near)] + [(0, "s", near[0].replace(" ", "  ")), (None, "s", near[1] + " more")]
+    rows += [(100 + i, "t", " ".join(f"x{i}y{n}" for n in range(50))) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op6_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    copies = [x.bin_id for x in out if x.doc_id is None or x.doc_id < 100]
+    assert len(copies) == len(set(copies)) == 8
+    assert len({x.bin_id for x in out}) == 8
