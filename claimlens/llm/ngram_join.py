@@ -2,22 +2,24 @@
 
 1. Each text's set of shingles gets a digest and a signature of `trees` labels of `deepest` MinHash values. Texts with
    equal sets form one row from here on (similarity 1), however many they are.
-2. A tree sorts the labels into a prefix trie; texts that share a prefix of some length in a tree are in one node.
-   The join starts with long prefixes, which only very similar texts share.
-3. Nodes that overlap form candidate groups. Within each, similarities are computed exactly from the shingle sets. A
-   large group is cut into blocks, and each pair of blocks is a task of its own, which counts links and returns a
-   row per text, not per pair.
-4. A link of similarity s is in a node with probability p(s) = 1 - (1 - s^length)^trees. The join takes the longest
-   prefixes for which p(threshold) meets the target, so that it holds for each link, whatever the others are. Only if no
-   length does, prefixes are shortened from the longest until the recall of the least similar links found meets it.
+2. Each tree is a sorted prefix trie: the labels of all trees are sorted over range partitions, and the length of the prefix
+   that a label has in common with the one before it says in which nodes both are. A node's rows are linked to its first row.
+3. The join starts at the deepest nodes, which only very similar texts share, and shortens the prefixes step by step. At each
+   depth, nodes that overlap form candidate groups, and only pairs that were in no common group before are verified, exactly,
+   from the shingle sets. A large group is cut into blocks of rows that lie close together in the first trie, and each pair of
+   blocks that share a node is compared by itself; it counts links and returns a row per text, not per pair.
+4. A link of similarity s is in a node with probability p(s) = 1 - (1 - s^length)^trees. The prefixes are shortened until
+   p(threshold) meets the target, so that it is met for each link, whatever the others are.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +28,32 @@ from .common import Tokens, mixed, stored, string_hashes, text_batches
 
 @dataclass(frozen=True)
 class Join:
-    """block_rows and block_shingles bound what a task compares at once; target_recall is that of a link at the threshold itself."""
+    """block_rows and block_shingles bound what a task compares at once; target_recall is that of a link at the threshold itself.
+
+    deepest: values of a label, 8 at most (they are kept as two 64-bit numbers).
+    """
 
     words: int = 5
     threshold: float = 0.8
     trees: int = 32
-    deepest: int = 9
-    shallowest: int = 6
+    deepest: int = 8
+    shallowest: int = 5
     target_recall: float = 0.999
     block_rows: int = 300
     block_shingles: int = 400_000
     seed: int = 11
 
 
-BINS = 40
+def found_share(s: float, depth: int, j: Join) -> float:
+    """The probability that a link of similarity s is in a node at this depth."""
+    return 1 - (1 - s**depth) ** j.trees
+
+
+def depths(j: Join) -> list[int]:
+    """The depths of the join: from the deepest to the first that meets the target, or to the shallowest."""
+    all_of = range(j.deepest, j.shallowest - 1, -1)
+    enough = next((d for d in all_of if found_share(j.threshold, d, j) >= j.target_recall), j.shallowest)
+    return [d for d in all_of if d >= enough]
 
 
 def shingles(tokens: Tokens, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +110,8 @@ def signatures(values: np.ndarray, first: np.ndarray, j: Join) -> np.ndarray:
     return out
 
 
-def keys(signature: np.ndarray, depth: int, j: Join) -> np.ndarray:
-    """The node of each set in each tree at a depth: (sets, trees) 64-bit keys of tree and prefix."""
-    s = signature.reshape(len(signature), j.trees, j.deepest)[:, :, :depth].astype(np.uint64)
-    key = np.broadcast_to(mixed(np.arange(j.trees, dtype=np.uint64) + np.uint64(depth << 8)), s.shape[:2]).copy()
-    for i in range(depth):
-        key = mixed(key * np.uint64(31) + s[:, :, i])
-    return key.view(np.int64)
-
-
 def signed(docs: DataFrame, j: Join, text: str = "text") -> DataFrame:
-    """doc_id, set_a and set_b (the set's digests), n (its size) and sig; a text without words has n = 0."""
+    """doc_id, text_hash, set_a and set_b (the set's digests), n (its size) and sig; a text without words has n = 0."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -120,22 +125,139 @@ def signed(docs: DataFrame, j: Join, text: str = "text") -> DataFrame:
                 a[some], b[some] = digests(values, first)
                 for i, s in zip(np.flatnonzero(some).tolist(), signatures(values, first, j)):
                     sig[i] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(sizes.astype(np.int32)), pa.array(sig, pa.binary())], names=["doc_id", "set_a", "set_b", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a), pa.array(b), pa.array(sizes.astype(np.int32)), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "set_a", "set_b", "n", "sig"])
+
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text).mapInArrow(run, f"doc_id {kind}, text_hash long, set_a long, set_b long, n int, sig binary")
+
+
+def labels(sig: list[bytes], j: Join) -> np.ndarray:
+    """The labels of signatures as two numbers each: (sets, trees, 2); earlier values are in higher bits."""
+    s = np.frombuffer(b"".join(sig), np.uint16).reshape(-1, j.trees, j.deepest)
+    full = np.zeros((*s.shape[:2], 8), np.uint64)
+    full[:, :, : j.deepest] = s
+    full = full.reshape(*s.shape[:2], 2, 4)
+    return (full << np.array([48, 32, 16, 0], np.uint64)).sum(axis=3, dtype=np.uint64)
+
+
+def common_prefix(hi: np.ndarray, lo: np.ndarray, hi2: np.ndarray, lo2: np.ndarray) -> np.ndarray:
+    """How many values, of 8, two labels have in common from the start."""
+    out = np.zeros(len(hi), np.int32)
+    live = np.ones(len(hi), bool)
+    for x in (hi ^ hi2, lo ^ lo2):
+        for k in range(4):
+            live &= (x >> np.uint64(48 - 16 * k)) & np.uint64(0xFFFF) == 0
+            out += live
+    return out
+
+
+def prefixes(label: np.ndarray, depth: int) -> np.ndarray:
+    """The node of each label at a depth, as a 64-bit key (of the prefix alone)."""
+    hi, lo = label[..., 0], label[..., 1]
+    cut = lambda x, n: x >> np.uint64(16 * (4 - n)) if n > 0 else np.zeros_like(x)
+    return mixed(mixed(cut(hi, min(depth, 4))) * np.uint64(31) + cut(lo, depth - 4))
+
+
+class Nodes:
+    """Goes along sorted labels and keeps, for each depth, the first row of the node that the last label is in."""
+
+    def __init__(self, shallowest: int):
+        self.least, self.last, self.first = shallowest, None, np.zeros(9, np.int64)
+
+    def add(self, tree: np.ndarray, hi: np.ndarray, lo: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row that shares a node with the one before it: the first row of their deepest node, itself, and its depth."""
+        before = self.last or (-1, 0, 0, 0)
+        shift = lambda x, first: np.concatenate((np.array([first], x.dtype), x[:-1]))
+        common = common_prefix(hi, lo, shift(hi, before[1]), shift(lo, before[2]))
+        common[shift(tree, before[0]) != tree] = 0
+        center = np.empty(len(rep), np.int64)
+        at = np.arange(len(rep))
+        for d in range(self.least, 9):
+            start = np.maximum.accumulate(np.where(common < d, at, -1))
+            first = np.where(start >= 0, rep[start], self.first[d])
+            on = common == d
+            center[on] = first[on]
+            self.first[d] = first[-1]
+        self.last = (tree[-1], hi[-1], lo[-1], rep[-1])
+        on = common >= self.least
+        return center[on], rep[on], common[on]
+
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, set_a long, set_b long, n int, sig binary")
+def tries(signs: DataFrame, least: int, j: Join) -> DataFrame:
+    """The edges (a, b, depth) that hold the nodes of all tries together, down to the depth least. signs: rep and sig.
+
+    The edges of depth d or more connect the rows of each node at depth d. Range partitions cut nodes where they like, so no node
+    is too large for a task; the first and last rows of the partitions, a few numbers each, meet on the driver.
+    """
+    spark = signs.sparkSession
+
+    def entries(batches):
+        for batch in batches:
+            both = labels(batch.column(1).to_pylist(), j).view(np.int64)
+            n = batch.num_rows
+            tree = np.tile(np.arange(j.trees, dtype=np.int32), n)
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(both[:, :, 0].reshape(-1)), pa.array(both[:, :, 1].reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), j.trees))], names=["tree", "hi", "lo", "rep"])
+
+    names = ["a", "b", "depth", "part", "tree", "hi", "lo", "firsts"]
+
+    def edges(batches):
+        nodes, part, opened = Nodes(least), TaskContext.get().partitionId(), False
+
+        def edge_of(kind: int, row: tuple):
+            firsts = pa.array([nodes.first.tolist()], pa.list_(pa.int64()))
+            tree, hi, lo, rep = row
+            return pa.RecordBatch.from_arrays([pa.array([int(rep)], pa.int64()), pa.array([None], pa.int64()), pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([int(tree)], pa.int32()), pa.array([hi], pa.uint64()).view(pa.int64()), pa.array([lo], pa.uint64()).view(pa.int64()), firsts], names=names)
+
+        for batch in batches:
+            if batch.num_rows:
+                tree, hi, lo, rep = (batch.column(k).to_numpy() for k in range(4))
+                hi, lo = hi.view(np.uint64), lo.view(np.uint64)
+                if not opened:
+                    yield edge_of(-1, (tree[0], hi[0], lo[0], rep[0]))
+                    opened = True
+                a, b, depth = nodes.add(tree, hi, lo, rep)
+                n = len(a)
+                none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(depth), *none], names=names)
+        if opened:
+            yield edge_of(-2, nodes.last)
+
+    key = ["tree", "hi", "lo", "rep"]
+    rows = signs.select("rep", "sig").mapInArrow(entries, "tree int, hi long, lo long, rep long")
+    rows = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    found = stored(rows.mapInArrow(edges, "a long, b long, depth int, part int, tree int, hi long, lo long, firsts array<long>"), "tries")
+    ends = found.where("depth < 0").orderBy("part", F.desc("depth")).collect()
+    one = lambda r: (np.array([r.hi], np.int64).view(np.uint64), np.array([r.lo], np.int64).view(np.uint64))
+    over, centers, before = [], np.zeros(9, np.int64), None
+    for first, last in zip(ends[::2], ends[1::2]):
+        shared = int(common_prefix(*one(before), *one(first))[0]) if before and before.tree == first.tree else 0
+        if shared >= least:
+            over.append((int(centers[shared]), first.a, shared))
+        # A node that the partition's first row is in may have begun further back.
+        own = np.array(last.firsts)
+        centers = np.where((own == first.a) & (np.arange(9) <= shared), centers, own)
+        before = last
+    pairs = found.where("depth > 0").select("a", "b", "depth")
+    if over:
+        pairs = pairs.unionByName(spark.createDataFrame(over, "a long, b long, depth int"))
+    return stored(pairs.groupBy("a", "b").agg(F.max("depth").alias("depth")), "forest")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """v and root, the smallest id of its component, for each end of the edges (a, b); by repeated contraction.
+    """v and root, one id of its component, for each end of the edges (a, b); by repeated contraction.
 
-    Each round maps every vertex to its smallest neighbour or itself and keeps the edges between different images, so
-    that the graph shrinks; only aggregates and joins are used, and each round is stored.
+    Each round orders the vertices anew by a hash, maps each to the first of its neighbours and itself and on to where that one
+    is mapped, and keeps the edges between different images. Whatever the ids and the shape of the graph (chains, stars), it
+    shrinks by a constant factor on average, so the rounds grow with the logarithm of its size. Only aggregates and joins are
+    used, and each round is stored.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(both(edges.where("a != b")).distinct(), f"{name}-edges")
-    roots = None
+    roots, turn = None, 0
     while not edges.isEmpty():
-        step = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), f"{name}-step")
+        place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
+        first = edges.groupBy("a").agg(F.min(place("b")).alias("b")).select("a", F.least(F.col("b"), place("a"))["id"].alias("to"))
+        first = stored(first, f"{name}-step")
+        step = stored(first.join(first.select(F.col("a").alias("to"), F.col("to").alias("on")), "to").select("a", F.col("on").alias("to")), f"{name}-step")
         if roots is None:
             roots = step.select(F.col("a").alias("v"), F.col("to").alias("root"))
         else:
@@ -143,6 +265,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             roots = stored(roots.join(on, "root", "left").select("v", F.coalesce("to", "root").alias("root")), f"{name}-roots")
         left, right = step.select("a", F.col("to").alias("ta")), step.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         edges = stored(edges.join(left, "a").join(right, "b").where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), f"{name}-edges")
+        turn += 1
     return roots if roots is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
 
 
@@ -169,21 +292,20 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked(rep: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool):
-    """Links of the sets of a group, or between two blocks of it: rows of (rep, links to other texts, root), and a histogram.
+def linked(rep: np.ndarray, copies: np.ndarray, block: np.ndarray, seen: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool):
+    """Links of the sets of a group, or between two blocks of it: rows of (rep, links to other texts, root).
 
-    Where the sets are across two blocks, only pairs across them count, also if one block turns out to be empty; the pairs
-    within each are another task's. root is the smallest id that a chain of these links leads to.
+    Pairs that were seen in one group before don't count. Where the sets are across two blocks, only pairs across them count,
+    also if one block turns out to be empty; the pairs within each are another task's. root is the smallest rep that a chain of
+    these links leads to.
     """
     size = np.array([len(s) for s in sets], np.float32)
     common = intersections(sets)
     similarity = common / np.maximum(size[:, None] + size - common, 1)
-    link = (common > 0) & (similarity >= threshold - 1e-6)
-    np.fill_diagonal(link, False)
+    link = (common > 0) & (similarity >= threshold - 1e-6) & (seen[:, None] != seen)
     if across:
         link &= block[:, None] != block
     on = link.any(axis=1)
-    hist = np.histogram(similarity[np.triu(link)], bins=BINS, range=(0, 1))[0]
     root = rep.copy()
     if on.any():
         inner, label = link[np.ix_(on, on)], rep[on]
@@ -194,127 +316,142 @@ def linked(rep: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np
                 break
             label = new
         root[on] = label
-    return rep[on], (link @ copies.astype(np.float64))[on].astype(np.int64), root[on], hist
+    return rep[on], (link @ copies.astype(np.float64))[on].astype(np.int64), root[on]
 
 
 def verified(cells: DataFrame, j: Join) -> DataFrame:
-    """rep, links, root and hist for the rows of cells (cell, grp, block, across, rep, copies, members)."""
+    """rep, links and root for the rows of cells (bundle, cell, block, across, seen, rep, copies, members)."""
     threshold = j.threshold
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.to_pandas().sort_values(["grp", "rep"], kind="stable")
-        found: tuple[list, list, list, list] = ([], [], [], [])
-        for _, part in rows.groupby("grp", sort=False):
+        rows = table.to_pandas().sort_values(["cell", "rep"], kind="stable")
+        found: tuple[list, list, list] = ([], [], [])
+        for _, part in rows.groupby("cell", sort=False):
             if len(part) > 1:
                 sets = [np.frombuffer(x, np.uint64) for x in part["members"]]
-                rep, links, root, hist = linked(part["rep"].to_numpy(), part["copies"].to_numpy(), part["block"].to_numpy(), sets, threshold, bool(part["across"].iloc[0]))
-                for column, values in zip(found, (rep, links, root)):
-                    column.extend(values.tolist())
-                found[3].extend([hist.tolist()] + [None] * (len(rep) - 1) if len(rep) else [])
-        return pa.table(list(map(pa.array, found, [pa.int64()] * 3 + [pa.list_(pa.int64())])), names=["rep", "links", "root", "hist"])
+                column = lambda name: part[name].to_numpy()
+                for held, values in zip(found, linked(column("rep"), column("copies"), column("block"), column("seen"), sets, threshold, bool(part["across"].iloc[0]))):
+                    held.extend(values.tolist())
+        return pa.table([pa.array(x, pa.int64()) for x in found], names=["rep", "links", "root"])
 
-    return cells.groupBy("cell").applyInArrow(compare, "rep long, links long, root long, hist array<long>")
+    return cells.groupBy("bundle").applyInArrow(compare, "rep long, links long, root long")
 
 
-def round_of(docs: DataFrame, reps: DataFrame, depth: int, j: Join, text: str) -> DataFrame:
-    """The verified links of all texts that share a node at this depth."""
+def blocks_of(members: DataFrame, signs: DataFrame, depth: int, j: Join) -> tuple[DataFrame, DataFrame]:
+    """members (rep, grp, seen, copies, n) of large groups with their blocks, and the pairs of blocks (grp, low, high) that share a node.
+
+    Rows that share a node of the first trie go to one block, but for nodes of many rows, which are dealt out.
+    """
 
     def nodes(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-            key = keys(sig, depth, j)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), j.trees)), pa.array(key.reshape(-1))], names=["rep", "key"])
-
-    entries = reps.select("rep", "sig").mapInArrow(nodes, "rep long, key long")
-    shared = entries.groupBy("key").agg(F.min("rep").alias("root"), F.count("*").alias("m")).where("m > 1").select("key", "root")
-    edges = entries.join(shared, "key").where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
-    groups = components(edges, "forest")
-    sizes = reps.select("rep", "set_a", "set_b", "copies", "n")
-    members = groups.join(sizes, F.col("v") == F.col("rep")).select("rep", "set_a", "set_b", F.col("root").alias("grp"), "copies", "n")
+            key = prefixes(labels(batch.column(1).to_pylist(), j), depth)
+            key = mixed(key + np.arange(j.trees, dtype=np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(key), pa.list_(pa.int64()))], names=["rep", "nodes"])
+
+    keyed = members.join(signs.select("rep", "sig").mapInArrow(nodes, "rep long, nodes array<long>"), "rep")
+    keyed = stored(keyed.withColumn("node", F.element_at("nodes", 1)), "large-groups")
+    rows_of = keyed.groupBy("grp", "node").agg(F.count("*").alias("in_node"))
+    part = F.pmod(F.xxhash64("rep"), F.ceil(6 * F.col("in_node") / j.block_rows))
+    keyed = keyed.join(rows_of, ["grp", "node"]).withColumn("block", F.pmod(F.xxhash64("node", part), F.col("blocks")).cast("int"))
+    keyed = stored(keyed.drop("node", "in_node"), "blocks")
+    in_node = keyed.select("grp", "block", F.explode("nodes").alias("node")).distinct()
+    low, high = in_node.withColumnRenamed("block", "low"), in_node.withColumnRenamed("block", "high")
+    pairs = low.join(high, ["grp", "node"]).where("low <= high").select("grp", "low", "high").distinct()
+    return keyed.drop("nodes"), pairs
+
+
+def round_of(groups: DataFrame, before: DataFrame | None, reps: DataFrame, sets: DataFrame, last_depth: int, j: Join) -> DataFrame:
+    """The verified links of rows that share a group (v, root) and shared none before, at the depth above it.
+
+    In a large group, what doesn't even share a node at the last depth is left out from the start; so what was seen is verified.
+    """
+    members = groups.select(F.col("v").alias("rep"), F.col("root").alias("grp")).join(reps.select("rep", "copies", "n"), "rep")
+    if before is None:
+        members = members.withColumn("seen", F.col("rep"))
+    else:
+        members = members.join(before.select(F.col("v").alias("rep"), F.col("root").alias("seen")), "rep", "left").withColumn("seen", F.coalesce("seen", "rep"))
     members = stored(members, "members")
-    sizes = members.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / j.block_rows, F.sum("n") / j.block_shingles)).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count("*") / j.block_rows, F.sum("n") / j.block_shingles)).cast("int")
+    sizes = members.groupBy("grp").agg(blocks.alias("blocks"), F.min("seen").alias("one"), F.max("seen").alias("other"))
+    sizes = sizes.where("one != other").drop("one", "other")  # else every pair has been seen
+    members = stored(members.join(sizes, "grp"), "members")
     total = members.agg(F.count("*"), F.sum("n")).first()
     bundles = int(max(1, total[0] // j.block_rows, (total[1] or 0) // j.block_shingles))
-    placed = members.join(sizes, "grp").withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0).cast("int"))
+    small = members.where("blocks = 1").select(F.pmod(F.xxhash64("grp"), F.lit(bundles)).cast("string").alias("bundle"), F.col("grp").cast("string").alias("cell"), F.lit(0).alias("block"), F.lit(False).alias("across"), "seen", "rep", "copies")
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        placed, pairs = blocks_of(large, reps, last_depth, j)
+        pairs = stored(pairs.withColumn("cell", F.concat_ws("/", "grp", "low", "high")), "cells")
+        ends = pairs.select("grp", F.col("low").alias("block"), "cell", (F.col("low") != F.col("high")).alias("across"))
+        ends = ends.union(pairs.where("low != high").select("grp", F.col("high").alias("block"), "cell", F.lit(True).alias("across")))
+        placed = placed.join(ends, ["grp", "block"]).select(F.col("cell").alias("bundle"), "cell", "block", "across", "seen", "rep", "copies")
+        small = small.unionByName(placed)
+    return stored(verified(small.join(sets, "rep"), j), "links")
+
+
+def shingle_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, j: Join, text: str) -> DataFrame:
+    """rep and members, the stored shingle set, of the reps in wanted; each is read from the one document that stands for it."""
+    carriers = reps.join(wanted, "rep", "left_semi").select("rep", F.col("doc_id").alias("_id"), "text_hash")
+    rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
+    rows = rows.join(carriers, (F.col("_hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "text")
 
-    def sets(batches):
+    def run(batches):
         for batch, texts in text_batches(batches, "text"):
             values, n = shingles(Tokens(texts), j.words)
             end = np.cumsum(n)
-            a, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-            if n.any():
-                a[n > 0], b[n > 0] = digests(values, (end - n)[n > 0])
             held = pa.array([values[i:k].tobytes() for i, k in zip((end - n).tolist(), end.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), held], names=["rep", "set_a", "set_b", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["rep", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text")).join(members.select("rep"), "rep", "left_semi")
-    texts = texts.mapInArrow(sets, "rep long, set_a long, set_b long, members binary")
     # A repeated row brings its set again; one is kept.
-    one = ["rep", "set_a", "set_b"]
-    placed = placed.join(texts, one).dropDuplicates(one)
-    # A small group goes with others into a bundle; of a large one, each pair of blocks is a cell.
-    each = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(-1)))
-    placed = placed.withColumn("other", F.explode(each))
-    cell = F.when(F.col("other") < 0, F.concat(F.lit("b"), F.pmod(F.xxhash64("grp"), F.lit(bundles)).cast("string"))).otherwise(F.concat_ws("-", "grp", F.least("block", "other"), F.greatest("block", "other")))
-    across = (F.col("other") >= 0) & (F.col("other") != F.col("block"))
-    placed = placed.select(cell.alias("cell"), "grp", "block", across.alias("across"), "rep", "copies", "members")
-    return stored(verified(placed, j), "links")
-
-
-def recall(hist: list[int], depth: int, j: Join) -> float:
-    """The estimated share of links that are in a node at this depth; 1 without links."""
-    found = np.array(hist, float)
-    s = (np.arange(BINS) + 0.5) / BINS
-    share = np.maximum(1 - (1 - s**depth) ** j.trees, 1e-9)
-    return float(found.sum() / (found / share).sum()) if found.any() else 1.0
-
-
-def found_share(s: float, depth: int, j: Join) -> float:
-    """The probability that a link of similarity s is in a node at this depth."""
-    return 1 - (1 - s**depth) ** j.trees
-
-
-def least_recall(hist: list[int], depth: int, j: Join) -> float:
-    """The recall in the lowest bin of similarities that has links: large groups of closer copies don't hide it."""
-    low = next((i for i, n in enumerate(hist) if n), None)
-    return 1.0 if low is None else recall([n if i == low else 0 for i, n in enumerate(hist)], depth, j)
+    return stored(rows.mapInArrow(run, "rep long, members binary").dropDuplicates(["rep"]), "shingle-sets")
 
 
-def similar_texts(docs: DataFrame, text: str = "text", j: Join = Join()) -> DataFrame:
+def similar_texts(docs: DataFrame, text: str = "text", j: Join = Join(), class_key: bool = False) -> DataFrame:
     """doc_id, class_id and n_links of each document of docs (doc_id, an integer, and a text column).
 
     Two documents are linked if the Jaccard similarity of their sets of shingles of j.words words is j.threshold or more.
     n_links is the number of other documents that a document is linked with; class_id is the smallest doc_id that a
     chain of links leads to. Words are what lies between ASCII white space; a text of fewer than j.words words is one
     shingle. Texts without words (null and empty ones too) are linked with nothing and are classes of their own.
-    Rows with equal doc_id and text are one document; rows with one doc_id but different texts get a row each, all in
-    one class. A null doc_id is linked like any other, but names no class: a class of such rows only has a null class_id.
+    Rows with equal doc_id and text are one document; rows with one doc_id but different texts get a row each.
+    A null doc_id is linked like any other, but names no class: a class of such rows only has a null class_id.
+    With class_key, a column of that name has a number of the class that depends on its texts alone, null for texts without words.
     An empty table gives no rows; further columns are not used.
     """
     signs = stored(signed(docs.select("doc_id", text), j, text), "signatures")
-    names = signs.select(F.col("doc_id").cast("long").alias("doc_id"), "set_a", "set_b", "n").distinct()
-    named = stored(names, "sets")
-    wordy = named.where("n > 0 and doc_id is not null")
-    reps = wordy.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"))
-    reps = stored(reps, "reps")
-    sigs = signs.where("n > 0").select(F.col("doc_id").cast("long").alias("rep"), "set_a", "set_b", "sig")
-    # Copies of a text bring the same row; one per set is kept.
-    with_sig = reps.join(sigs, ["rep", "set_a", "set_b"]).dropDuplicates(["rep", "set_a", "set_b"]).select("rep", "set_a", "set_b", "copies", "n", "sig")
-    with_sig = stored(with_sig, "rep-signatures")
-    depths = range(j.deepest, j.shallowest - 1, -1)
-    sure = [d for d in depths if found_share(j.threshold, d, j) >= j.target_recall]
-    for depth in sure[:1] or depths:
-        links = round_of(docs, with_sig, depth, j, text)
-        bins = [F.sum(F.element_at("hist", i + 1)).alias(f"h{i}") for i in range(BINS)]
-        hist = [x or 0 for x in links.where("hist is not null").agg(*bins).first()]
-        if least_recall(hist, depth, j) >= j.target_recall:
-            break
-    classes = components(links.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
-    counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
+    signs = signs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = stored(signs.select("doc_id", "set_a", "set_b", "n").distinct(), "sets")
+    one = ["set_a", "set_b"]
+    copies = named.where("n > 0").groupBy(*one).agg(F.count("*").alias("copies"))
+    carrier = F.min(F.struct("doc_id", "text_hash")).alias("c")
+    reps = signs.where("n > 0").groupBy(*one).agg(carrier, F.first("n").alias("n")).join(copies, one)
+    reps = reps.select(*one, "n", "copies", "c.doc_id", "c.text_hash")
+    # One document stands for each set; of its repeated rows, one brings the signature.
+    sigs = signs.where("n > 0").select(*one, F.col("doc_id").alias("_id"), "sig")
+    with_sig = reps.join(sigs, (reps.set_a == sigs.set_a) & (reps.set_b == sigs.set_b) & reps.doc_id.eqNullSafe(sigs._id)).drop(sigs.set_a).drop(sigs.set_b).drop("_id")
+    reps = stored(with_sig.dropDuplicates(one).withColumn("rep", F.monotonically_increasing_id()), "reps")
+    steps = depths(j)
+    edges = tries(reps, steps[-1], j)
+    sets = shingle_sets(docs, reps, edges.select(F.col("a").alias("rep")).union(edges.select("b")).distinct(), j, text)
+    links, groups = [], None
+    for depth in steps:
+        new = edges.where(F.col("depth") == depth).select("a", "b")
+        before, groups = groups, components(new.union(groups.select("v", "root")) if groups else new, f"depth-{depth}")
+        links.append(round_of(groups, before, reps, sets, steps[-1], j))
+    found = reduce(DataFrame.unionByName, links)
+    classes = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
+    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_set = (
-        reps.join(counts, "rep", "left")
+        reps.select(*one, "rep", "copies")
+        .join(counts, "rep", "left")
         .join(classes.withColumnRenamed("v", "rep"), "rep", "left")
-        .select("set_a", "set_b", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select(*one, F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    out = named.withColumn("wordy", F.col("n") > 0).join(per_set.withColumn("wordy", F.lit(True)), ["wordy", "set_a", "set_b"], "left")
-    return out.select("doc_id", F.when(F.col("wordy"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    per_set = stored(per_set, "per-set")
+    ids = named.where("n > 0").groupBy(*one).agg(F.min("doc_id").alias("least"))
+    smallest = ids.join(per_set, one).groupBy("root").agg(F.min("least").alias("class_id"), F.min("set_a").alias("class_key"))
+    per_set = per_set.join(smallest, "root").select(*one, "class_id", "class_key", "n_links", F.lit(True).alias("wordy"))
+    out = named.withColumn("wordy", F.col("n") > 0).join(per_set, ["wordy", *one], "left")
+    own = ["class_key"] if class_key else []
+    return out.select("doc_id", F.when(F.col("wordy"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *own)
