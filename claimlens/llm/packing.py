@@ -4,7 +4,8 @@ Documents are dealt at random to shards of a bounded number of rows, and each sh
 document first. A shard's open bins are ordered by what room they have left. For a document, the search starts at the
 smallest room that is enough and goes on to the next larger ones until a bin has no conflict: a bin carries
 a bitmap of the sources and one of the duplicate clusters in it, and a document doesn't go where its cluster,
-or its source if that is exclusive, already is. With no such bin, a new one is opened.
+or its source if that is exclusive, already is. With no such bin, a new one is opened. A source is exclusive unless it has
+so large a share of the pieces that it can't be kept apart.
 """
 
 from __future__ import annotations
@@ -25,20 +26,21 @@ from .common import stored
 class Packing:
     """capacity: tokens of a bin. shard_rows: pieces in a shard, on average.
 
-    exclusive_sources: whether a bin may have two documents of one source. Off by default: with a third of all documents in
-    one source it leaves bins filled to a quarter (README); the bitmap then still says which sources a bin has.
+    exclusive_share: a bin has at most one document of a source that has this share of all pieces or less. Larger sources (there
+    are at most 1 / exclusive_share) may repeat in a bin: with a third of all documents in one source, bins would stay
+    three quarters empty.
     """
 
     capacity: int = 2048
     shard_rows: int = 4000
-    exclusive_sources: bool = False
+    exclusive_share: float = 0.1
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, exclusive_sources: bool = False) -> tuple[list[int], list[int], list[int]]:
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, common: frozenset = frozenset()) -> tuple[list[int], list[int], list[int]]:
     """The bin of each item, and each bin's source and cluster bitmaps (bit numbers in the order of first use).
 
-    Items are taken by falling size, ties by their order. Null sources and clusters conflict with nothing. Every size is at most
-    the capacity. Of bins with equal room, the one opened first is tried first.
+    Items are taken by falling size, ties by their order. Null sources, those in common, and null clusters conflict with nothing.
+    Every size is at most the capacity. Of bins with equal room, the one opened first is tried first.
     """
     again = {c for c, k in Counter(c for c in clusters if c is not None).items() if k > 1}
     bits: dict = {}
@@ -51,10 +53,11 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, exc
         c, s = clusters[i], sources[i]
         cluster_bit = 1 << bits.setdefault(c, len(bits)) if c in again else 0
         source_bit = 1 << source_bits.setdefault(s, len(source_bits)) if s is not None else 0
+        barred_source = 0 if s in common else source_bit
         at = bisect_left(rooms, (sizes[i], -1))
         while at < len(rooms):
             b = rooms[at][1]
-            if not (bin_clusters[b] & cluster_bit or exclusive_sources and bin_sources[b] & source_bit):
+            if not (bin_clusters[b] & cluster_bit or bin_sources[b] & barred_source):
                 break
             at += 1
         if at < len(rooms):
@@ -82,24 +85,29 @@ def packed(docs: DataFrame, n_tokens: str = "n_tokens", cluster: str = "cluster"
     is a document of its own, and conflicts with its twin if they have a cluster. An empty table gives no rows. Columns of
     docs of other names are not used.
 
-    Shards are dealt by a hash of the row, so a hot source or cluster is spread over all of them.
+    Shards are dealt by a hash of the row's values and its number among equal rows, so a hot source or cluster is spread over all
+    of them, and bins don't depend on the order or the partitions of docs.
     """
     tokens = F.coalesce(F.col(n_tokens), F.lit(0)).cast("long")
     own = ["doc_id", *keep]
     rows = docs.select(*own, F.col("source").cast("string").alias("_source"), tokens.alias("_tokens"), F.col(cluster).cast("string").alias("_cluster"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("_times")).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     n = F.greatest(F.ceil(F.col("_tokens") / p.capacity), F.lit(1)).cast("int")
     rows = rows.withColumn("n_pieces", n).withColumn("piece", F.explode(F.sequence(F.lit(0), n - 1)))
     size = F.least(F.lit(p.capacity), F.col("_tokens") - F.col("piece") * p.capacity)
-    rows = stored(rows.withColumn("piece_tokens", size.cast("int")), "pieces")
+    rows = rows.withColumn("piece_tokens", size.cast("int")).withColumn("_order", F.xxhash64(*own, "_source", "_cluster", "piece", "_again"))
+    rows = stored(rows.drop("_times", "_tokens"), "pieces")
     # A full piece is a bin by itself; only the others are packed.
-    shards = max(1, round(rows.where(F.col("piece_tokens") < p.capacity).count() / p.shard_rows))
-    salt = F.xxhash64("doc_id", "piece", "_cluster", F.monotonically_increasing_id())
-    rows = stored(rows.withColumn("shard", F.pmod(salt, F.lit(shards)).cast("int")).withColumn("_order", salt), "pieces")
+    of_source = rows.where(F.col("piece_tokens") < p.capacity).groupBy("_source").agg(F.count("*").alias("n"))
+    total = of_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = frozenset(r["_source"] for r in of_source.where(F.col("n") > p.exclusive_share * total).collect())
+    shards = max(1, round(total / p.shard_rows))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("_order"), F.lit(shards)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_order", "ascending")])
         sizes = table.column("piece_tokens").to_pylist()
-        placed, sources, _ = best_fit(sizes, table.column("_source").to_pylist(), table.column("_cluster").to_pylist(), p.capacity, p.exclusive_sources)
+        placed, sources, _ = best_fit(sizes, table.column("_source").to_pylist(), table.column("_cluster").to_pylist(), p.capacity, common)
         total, items = [0] * len(sources), [0] * len(sources)
         for s, b in zip(sizes, placed):
             total[b] += s
@@ -141,10 +149,10 @@ def words_and_cluster(docs: DataFrame, text: str = "text") -> DataFrame:
 def words_and_class(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_tokens and cluster as by words_and_cluster, but near copies (ngram_join's classes) are a cluster as well.
 
-    Rows are told apart by a key of their own, so that null and repeated doc_ids do no harm.
+    Rows are told apart by a key of their own, so that null and repeated doc_ids do no harm; clusters are named by their texts.
     """
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "packing-rows")
-    classes = ngram_join.similar_texts(rows.select(F.col("_row").alias("doc_id"), text), text)
-    linked = classes.where("n_links > 0").select(F.col("doc_id").alias("_row"), F.col("class_id").cast("string").alias("_class"))
+    classes = ngram_join.similar_texts(rows.select(F.col("_row").alias("doc_id"), text), text, class_key=True)
+    linked = classes.where("n_links > 0").select(F.col("doc_id").alias("_row"), F.col("class_key").cast("string").alias("_class"))
     out = words_and_cluster(rows, text).join(linked, "_row", "left")
     return out.withColumn("cluster", F.coalesce("_class", "cluster")).drop("_row", "_class")

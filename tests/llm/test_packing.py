@@ -5,13 +5,13 @@ import random
 from claimlens.llm import packing as pk
 
 
-def plain(sizes, sources, clusters, capacity, exclusive):
+def plain(sizes, sources, clusters, capacity, common):
     bins, placed = [], [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         fits = [
             (room, b)
             for b, (room, ss, cs) in enumerate(bins)
-            if room > 0 and room >= sizes[i] and (clusters[i] is None or clusters[i] not in cs) and (not exclusive or sources[i] is None or sources[i] not in ss)
+            if room > 0 and room >= sizes[i] and (clusters[i] is None or clusters[i] not in cs) and (sources[i] is None or sources[i] in common or sources[i] not in ss)
         ]
         b = min(fits)[1] if fits else len(bins)
         if not fits:
@@ -29,16 +29,16 @@ def test_best_fit_is_the_tightest_compatible_bin():
         sizes = [r.randrange(0, 40) for _ in range(n)]
         sources = [r.choice(["a", "b", "c", None]) for _ in range(n)]
         clusters = [r.choice(["x", "y", None, str(r.random())]) for _ in range(n)]
-        for exclusive in (False, True):
-            placed, bin_sources, _ = pk.best_fit(sizes, sources, clusters, 50, exclusive)
-            assert placed == plain(sizes, sources, clusters, 50, exclusive)
+        for common in (frozenset(), frozenset("a"), frozenset("abc")):
+            placed, bin_sources, _ = pk.best_fit(sizes, sources, clusters, 50, common)
+            assert placed == plain(sizes, sources, clusters, 50, common)
             for b, bitmap in enumerate(bin_sources):
                 assert bitmap.bit_count() == len({s for s, at in zip(sources, placed) if at == b and s is not None})
 
 
 def test_packed_rows(spark):
     r = random.Random(1)
-    rows = [(i, r.choice(["s1", "s1", None]), r.randrange(0, 300), r.choice(["c", None, str(i)]), "clash") for i in range(300)]
+    rows = [(i, r.choice(["s1", "s1", None, f"few{i % 30}"]), r.randrange(0, 300), r.choice(["c", None, str(i)]), "clash") for i in range(300)]
     rows += [(300, "s", 1000, "z", "c"), (301, "s", 250, None, "c"), (302, "s", None, "c", "c"), (302, "s", None, "c", "c"), (None, None, 5, None, "c")]
     df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens int, cluster string, shard string")
     out = pk.packed(df, p=pk.Packing(capacity=300, shard_rows=80), keep=("n_tokens", "cluster", "source")).collect()
@@ -52,6 +52,8 @@ def test_packed_rows(spark):
         clusters = [x.cluster for x in items if x.cluster]
         assert len(clusters) == len(set(clusters))
         assert items[0].bin_sources == len({x.source for x in items} - {None})
+        few = [x.source for x in items if x.source and x.source != "s1"]
+        assert len(few) == len(set(few))  # sources of at most a tenth of the pieces are exclusive
     whole: dict = {}
     for x in out:
         whole.setdefault(x.doc_id, []).append(x)
@@ -59,6 +61,8 @@ def test_packed_rows(spark):
     assert len(out) == len(rows) + 3
     assert sum(x.piece_tokens for x in out) == sum(t or 0 for _, _, t, _, _ in rows)
     assert pk.packed(df.limit(0)).count() == 0
+    again = pk.packed(df.repartition(7, "n_tokens"), p=pk.Packing(capacity=300, shard_rows=80), keep=("n_tokens", "cluster", "source")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
 
 
 def test_words_and_cluster(spark):
