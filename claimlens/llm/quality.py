@@ -3,7 +3,8 @@
 The suffix array of a text's words is built by prefix doubling, for all texts of a batch at once: a round
 sorts the suffixes that are still tied by their ranks at twice the length. Of the longest common prefixes of
 neighbours, long ones come by Kasai's rule. Maximal repeated substrings are the intervals of the LCP
-array, and their spans are united. A text is rejected if the spans cover too large a part of it, or
+array (no longer to the right) whose suffixes aren't all preceded by one word (no longer to the left). The
+spans of all their occurrences are united. A text is rejected if the spans cover too large a part of it, or
 if the longest repeat is too long.
 """
 
@@ -129,6 +130,45 @@ def lcp_intervals(lcp: np.ndarray, minimum: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def maximal_repeats(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, begins: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length, first and last place (in the suffix array) of the repeats of minimum words or more that can't be made longer at either end.
+
+    begins: whether a text begins at each position, where nothing is before it.
+    """
+    found = np.array(lcp_intervals(lcp, minimum), np.int64).reshape(-1, 3)
+    before = np.where(begins, -1 - np.arange(len(ids)), np.append(0, ids[:-1]))[order]
+    changes = np.cumsum(np.append(0, before[1:] != before[:-1]))
+    length, first, last = found[changes[found[:, 2]] > changes[found[:, 1]]].T
+    return length, first, last
+
+
+def spans(order: np.ndarray, length: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of the longest of these repeats at each position that has one; inner intervals come before outer ones.
+
+    A position's shorter repeats lie within its longest, so that the union of all occurrences is that of these spans, and
+    the work is linear in the intervals' places.
+    """
+    place, size, after = [], [], {}
+
+    def free(k: int) -> int:
+        path = []
+        while k in after:
+            path.append(k)
+            k = after[k]
+        for x in path:
+            after[x] = k
+        return k
+
+    for n, a, b in zip(length.tolist(), first.tolist(), last.tolist()):
+        k = free(a)
+        while k <= b:
+            place.append(k)
+            size.append(n)
+            after[k] = k + 1
+            k = free(k + 1)
+    return order[np.array(place, np.int64)], np.array(size, np.int64)
+
+
 def union_length(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """1 at each of n positions that some span covers."""
     edge = np.zeros(n + 1, np.int64)
@@ -138,7 +178,7 @@ def union_length(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def repetition(words: Tokens, minimum: int) -> dict[str, np.ndarray]:
-    """For each text: words in repeated 3-word windows, words under repeats of minimum words or more, intervals, longest repeat."""
+    """For each text: words in repeated 3-word windows; words under maximal repeats of minimum words or more, how many these are, and the longest."""
     sizes, ids, doc = words.sizes, words.index, words.texts()
     n, docs = len(ids), len(sizes)
     zero = np.zeros(docs, np.int64)
@@ -149,19 +189,13 @@ def repetition(words: Tokens, minimum: int) -> dict[str, np.ndarray]:
     lcp = common_prefixes(ids, order, doc, left)
     total = lambda x: np.bincount(doc, weights=x, minlength=docs).astype(np.int64)
 
-    def covered(least: int, span: np.ndarray | None = None) -> np.ndarray:
-        """Every suffix that shares least words with a neighbour covers that many, or the longer of both common prefixes."""
-        nearest = np.maximum(lcp, np.concatenate((lcp[1:], [0])))
-        hit = nearest >= least
-        starts = order[hit]
-        return union_length(starts, starts + (least if span is None else nearest[hit]), n)
-
-    longest = zero.copy()
-    np.maximum.at(longest, doc[order], lcp)
-    count = zero.copy()
-    firsts = [first for _, first, _ in lcp_intervals(lcp, minimum)]
-    np.add.at(count, doc[order[np.array(firsts, np.int64)]], 1)
-    return {"repeat_words": total(covered(3)), "covered": total(covered(minimum, lcp)), "intervals": count, "longest": longest}
+    windows = order[np.maximum(lcp, np.append(lcp[1:], 0)) >= 3]
+    length, first, last = maximal_repeats(ids, order, lcp, left == sizes[doc], minimum)
+    starts, size = spans(order, length, first, last)
+    count, longest = zero.copy(), zero.copy()
+    np.add.at(count, doc[order[first]], 1)
+    np.maximum.at(longest, doc[order[first]], length)
+    return {"repeat_words": total(union_length(windows, windows + 3, n)), "covered": total(union_length(starts, starts + size, n)), "intervals": count, "longest": longest}
 
 
 def dup_lines(text: str) -> int:
@@ -183,9 +217,9 @@ RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 def quality_rules(df: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
     """df with the counts of the base rules, the repetition of each whole text, and kept.
 
-    Words are what lies between ASCII white space. n_repeats counts the LCP intervals,
-    that is the repeated substrings of min_repeat words or more that can't be made longer to the right, covered_words the words under any of them, longest_repeat the words of the longest
-    repeated substring. kept is false if a base rule fails, if covered_words is more than max_covered of the words,
+    Words are what lies between ASCII white space. n_repeats counts the maximal repeats, that is the repeated substrings of
+    min_repeat words or more that can't be made longer at either end, covered_words the words under any of their occurrences,
+    longest_repeat the words of the longest (0 if there is none). kept is false if a base rule fails, if covered_words is more than max_covered of the words,
     or longest_repeat is over max_longest.
 
     A null text counts as empty: it has no words, fails the base rules and isn't kept. Repeated rows get the same
