@@ -33,6 +33,8 @@ HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nConte
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes inflated at first in the search of the end of the headers.
 HEAD_BYTES = 2048
+#: Parts that the pages of one payload are dealt to where repeated digests are joined.
+SALTS = 16
 #: Bytes that a writing task holds before it begins a new archive.
 ARCHIVE_BYTES = 128 << 20
 
@@ -238,9 +240,11 @@ def records(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
     rows = pages.select(F.col("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     large = F.col("bytes") >= min_revisit_bytes
-    # Only digests that occur again are joined back; they and a count are all that this shuffle has.
+    # Only digests that occur again are joined back, a copy for each salt: one payload may be that of a third of all pages.
     again = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "first_id")
-    rows = rows.join(again, large & (F.col("digest") == F.col("again")), "left")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = F.pmod(F.xxhash64("page_id", "target_uri"), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("dealt", dealt).join(again, large & (F.col("digest") == F.col("again")) & (F.col("dealt") == F.col("salt")), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return rows.select(
