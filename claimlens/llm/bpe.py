@@ -104,6 +104,15 @@ class ByteBpe:
         for (p, _), ids in zip(rest, self.model.encode([m for _, m in rest], num_threads=1)):
             self.cache[p] = tuple(ids)
 
+    def lengths(self, pretokens: list[str]) -> list[int]:
+        """How many tokens each pre-token has."""
+        data = [p.encode("utf-8", "replace") for p in pretokens]
+        out = [1] * len(data)
+        rest = [i for i, b in enumerate(data) if b not in self.whole]
+        for i, ids in zip(rest, self.model.encode([mapped(data[i]) for i in rest], num_threads=1)):
+            out[i] = len(ids)
+        return out
+
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         for text in texts:
             pretokens = self.split.findall(text)

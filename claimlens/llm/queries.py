@@ -55,27 +55,44 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read(spark, path))
 
 
-def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents, revises the letter counts to runs of two letters or more, deletes exact copies, and repeats two batches."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select("doc_id", "source", "lang", "text", F.md5(text).alias("digest"), F.regexp_count(text, F.lit("[A-Za-z][A-Za-z]+")).cast("long").alias("revised"))
-    rows = stored(rollups.counts(docs, keep=("digest", "revised")), "token-counts")
-    now = F.when(F.col("tokenizer") == "letters-1", F.col("revised")).otherwise(F.col("tokens"))
+def _rolled_up(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Totals after four batches, two of them repeated: estimates are loaded, revised to real counts, and exact copies deleted.
+
+    rows: doc_id, source, lang, digest (of the text), estimate, tokenizer and tokens. Of equal texts the smallest doc_id stays,
+    and so does each row of it and each one without a doc_id.
+    """
+    rows = stored(rows, "token-counts")
     firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("last_id > first_id").select("digest", "first_id")
     # A text's copies may be a third of all rows: they are dealt to salts, and each salt gets the few digests that occur again.
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     copies = salted.join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["digest", "salt"]).where("doc_id > first_id")
     roll = rollups.Rollup(spark, scratch(spark, "rollup"))
-    load, revise = rollups.inserts(rows), rollups.revisions(rows.where("tokenizer = 'letters-1'"), "tokens", "revised")
+    load, revise = rollups.inserts(rows.withColumn("tokens", F.col("estimate"))), rollups.revisions(rows, "estimate", "tokens")
     roll.commit("1-load", load)
     roll.commit("2-revise", revise)
-    roll.commit("3-copies", rollups.deletes(copies.withColumn("tokens", now)))
+    roll.commit("3-copies", rollups.deletes(copies))
     roll.commit("2-revise", revise)
     roll.commit("1-load", load)
     return roll.totals()
 
 
+def _documents_to_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.md5(text).alias("digest"), F.floor(F.octet_length(text) / 4).alias("estimate"))
+
+
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and version of a byte-level BPE tokenizer; texts without a first copy don't count twice."""
+    versions = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
+    files = {name: public_tokenizers.path(file) for name, file in versions.items()}
+    return _rolled_up(spark, rollups.token_counts(_documents_to_count(spark, sf_dir), files, public_tokenizers.PATTERN, keep=("digest", "estimate")))
+
+
+def rollups_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches with words for tokens, which SQL can count."""
+    return _rolled_up(spark, rollups.word_counts(_documents_to_count(spark, sf_dir), keep=("digest", "estimate")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = "</s>[INST] ok [/INST]"
@@ -83,7 +100,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(fixed)))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, rollups_of_words, op10_chat_format)}
 
 
 def _escapes(column: str) -> str:
@@ -99,11 +116,10 @@ ORACLES = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
         FROM d""",
-    "op9_token_rollups": r"""
-        WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
-             c AS (SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) AS n FROM d WHERE doc_id = first_id
-                   UNION ALL SELECT source, lang, 'letters-1', len(regexp_extract_all(t, '[A-Za-z][A-Za-z]+')) FROM d WHERE doc_id = first_id)
-        SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM c GROUP BY ALL""",
+    "rollups_of_words": r"""
+        WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents)
+        SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')))::BIGINT AS n_tokens
+        FROM d WHERE doc_id = first_id OR doc_id IS NULL GROUP BY ALL""",
     "op10_chat_format": f"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')

@@ -1,5 +1,6 @@
 """Media, quality, BPE, chat, WARC and rollups against brute force and round trips."""
 
+import base64
 import hashlib
 import os
 import random
@@ -62,17 +63,18 @@ def brute_repetition(words, minimum):
     return len(tri), len(covered), longest
 
 
-def brute_intervals(words, minimum):
-    """Repeated substrings of minimum words or more whose occurrences don't all go on with the same word."""
-    from collections import Counter
-
-    n, found = len(words), 0
+def brute_repeats(words, minimum):
+    """Spans of the repeated substrings of minimum words or more whose occurrences don't all have one word before or behind them."""
+    n, found = len(words), {}
     for h in range(minimum, n):
-        at = Counter(tuple(words[i : i + h]) for i in range(n - h + 1))
-        longer = Counter(tuple(words[i : i + h + 1]) for i in range(n - h))
-        for s, c in at.items():
-            if c > 1 and max((m for t, m in longer.items() if t[:h] == s), default=0) < c:
-                found += 1
+        at = {}
+        for i in range(n - h + 1):
+            at.setdefault(tuple(words[i : i + h]), []).append(i)
+        for s, places in at.items():
+            left = {words[i - 1] if i else ("begin", i) for i in places}
+            right = {words[i + h] if i + h < n else ("end", i) for i in places}
+            if len(places) > 1 and len(left) > 1 and len(right) > 1:
+                found[s] = places
     return found
 
 
@@ -83,8 +85,16 @@ def test_repetition_against_brute_force():
     got = quality.repetition(Tokens([b" ".join(t).decode() for t in texts]), 4)
     for k, words in enumerate(texts):
         tri, covered, longest = brute_repetition(words, 4)
-        assert (got["repeat_words"][k], got["covered"][k], got["longest"][k]) == (tri, covered, longest), words
-        assert got["intervals"][k] == brute_intervals(words, 4), words
+        repeats = brute_repeats(words, 4)
+        under = {x for s, places in repeats.items() for i in places for x in range(i, i + len(s))}
+        assert len(under) == covered  # the maximal repeats cover what all repeats do
+        assert (got["repeat_words"][k], got["covered"][k], got["longest"][k]) == (tri, covered, longest if longest >= 4 else 0), words
+        assert got["intervals"][k] == len(repeats), words
+
+
+def test_repetition_of_a_long_text_is_linear():
+    got = quality.repetition(Tokens(["ab cd " * 40_000]), 8)
+    assert got["covered"][0] == 80_000 and got["longest"][0] == 79_998
 
 
 def test_quality_counts_and_verdict(spark):
@@ -212,19 +222,45 @@ def test_warc_pushes_predicates_and_skips(tmp_path):
 
 
 def test_rollup_is_idempotent_and_additive(spark):
-    rows = [(1, "a b c", "en", "s"), (2, "a b", "en", "s"), (3, None, None, None), (4, "x y1 zz", "de", "s")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    counts = rollups.counts(df)
+    rows = [(1, "a b c", "en", "s", "clash"), (2, "a b", "en", "s", "c"), (3, None, None, None, "c"), (4, "x y1 zz", "de", "s", "c"), (4, "x y1 zz", "de", "s", "c"), (None, "q", "de", "s", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tokens string")
+    counts = rollups.word_counts(df)
     roll = rollups.Rollup(spark, scratch(spark, "rollup"))
     assert roll.totals().count() == 0
     assert roll.commit("b1", rollups.inserts(counts))
     assert not roll.commit("b1", rollups.inserts(counts))
     assert roll.commit("b2", rollups.deletes(counts.where("doc_id = 2")))
     assert roll.commit("b3", rollups.revisions(counts.where("doc_id = 1"), "tokens", F.lit(10)))
+    assert roll.commit("b4", rollups.inserts(counts.limit(0)))
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in roll.totals().collect()}
-    assert got == {("s", "en", "words-1"): (1, 10), ("s", "en", "letters-1"): (1, 10), (None, None, "words-1"): (1, 0), (None, None, "letters-1"): (1, 0), ("s", "de", "words-1"): (1, 3), ("s", "de", "letters-1"): (1, 3)}
-    assert roll.batches() == ["b1", "b2", "b3"]
+    assert got == {("s", "en", "words-1"): (1, 10), (None, None, "words-1"): (1, 0), ("s", "de", "words-1"): (3, 7)}
+    assert roll.batches() == ["b1", "b2", "b3", "b4"]
     with pytest.raises(ValueError):
         roll.commit("../x", rollups.inserts(counts))
 
 
+def test_token_counts_are_those_of_tiktoken(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "CACHE", 50)
+    files = {n: public_tokenizers.path(f"{n}.tiktoken") for n in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    texts = [*ODD, "Zażółć gęślą jaźń 12345 <|endoftext|>", "word " * 30_000]
+    df = spark.createDataFrame([(i if i else None, t, None, "s", "clash") for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, lang string, source string, _counts string")
+    got: dict = {}
+    for r in rollups.token_counts(df, files, public_tokenizers.PATTERN).collect():
+        got.setdefault((r.doc_id, r.tokenizer), []).append(r.tokens)
+    for name, path in files.items():
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for i, t in enumerate(texts):
+            assert set(got[(i or None, name)]) == {len(own.encode_ordinary(t or ""))}
+    assert len(got) == 2 * (len(texts) + 1)
+    assert rollups.token_counts(df.limit(0), files, public_tokenizers.PATTERN).count() == 0
+
+
+def test_warc_null_and_repeated_pages(spark):
+    big = "x" * 1500
+    rows = [(None, "u", big, "c"), (3, "u", big, "c"), (3, "u", big, "c"), (None, "v", "y" * 1200, "c"), (None, "w", "y" * 1200, "c")]
+    path = scratch(spark, "warc")
+    warc.write(spark.createDataFrame(rows, PAGES), path)
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.resolved(warc.read(spark, path)).collect()), key=str)
+    assert got == sorted([(None, "revisit", 3), (3, "response", None), (3, "response", None), (None, "response", None), (None, "response", None)], key=str)
