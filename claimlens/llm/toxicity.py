@@ -24,7 +24,7 @@ from .gru import Adam, back, step, summed_by
 
 @dataclass(frozen=True)
 class Settings:
-    """max_toxic and max_clean bound the labelled rows that the network is fitted on."""
+    """max_toxic and max_clean bound the labelled rows that the network is fitted on, in so many updates of a batch of windows each."""
 
     window: int = 48
     stride: int = 40
@@ -35,10 +35,9 @@ class Settings:
     hidden: int = 8
     max_toxic: int = 1500
     max_clean: int = 3000
-    epochs: int = 4
-    least_updates: int = 100
+    updates: int = 400
     rate: float = 0.01
-    batch: int = 192
+    batch: int = 128
     seed: int = 7
 
 
@@ -222,8 +221,8 @@ def fit(texts: pa.Array | list[str], labels: list[int], s: Settings = Settings()
     net.p["known"] = (texts_of >= s.least_texts).astype(np.float32)
     adam = Adam({k: v for k, v in net.p.items() if k != "known"}, s.rate)
     offsets = np.arange(s.window)
-    epochs = max(s.epochs, -(-s.least_updates * 64 // (3 * len(texts) + 1)))
-    for epoch in range(min(epochs, 10 * s.epochs)):
+    done, epoch = 0, 0
+    while done < s.updates:
         chosen = np.zeros(len(text), bool)
         key = r.random(len(text))
         if epoch:
@@ -235,12 +234,13 @@ def fit(texts: pa.Array | list[str], labels: list[int], s: Settings = Settings()
         place = np.arange(len(text)) - np.repeat(np.cumsum(np.bincount(text)) - np.bincount(text), np.bincount(text))
         chosen[order[(place < 3) & (key[order] < 2)]] = True
         at = r.permutation(np.flatnonzero(chosen))
-        size = int(np.clip(len(at) // 60, 64, s.batch))
-        for i in range(0, len(at), size):
-            b = at[i : i + size]
+        for i in range(0, len(at), s.batch)[: s.updates - done]:
+            b = at[i : i + s.batch]
             index = w.index[np.minimum(start[b, None] + offsets, max(0, len(w.index) - 1))] if len(w.index) else np.zeros((len(b), s.window), np.int64)
             words, index = local(w, index, count[b])
             adam.update(net.gradients(words, net.inputs(words), index, count[b], y[text[b]], np.ones(len(b), np.float32)))
+            done += 1
+        epoch += 1
     return net
 
 
@@ -292,10 +292,11 @@ def with_toxicity(df: DataFrame, net: Network, text: str = "text") -> DataFrame:
     A null or empty text has one window of no words and so gets the network's prior. Equal texts get equal scores up to
     rounding, repeated rows stay, an empty table gives no rows, and columns of these names are replaced.
     """
-    held = df.sparkSession.sparkContext.broadcast((net.s, net.p))
+    # Broadcasts are pickled by reference: only arrays go there, the classes go with the function.
+    held, settings = df.sparkSession.sparkContext.broadcast(net.p), net.s
 
     def make():
-        network = Network(*held.value)
+        network = Network(settings, held.value)
 
         def columns(texts):
             score = network.scores(texts)
