@@ -6,10 +6,11 @@ written as Parquet and read again before the next.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlens.llm import ngram_join, packing, quality, toxicity
+from claimlens.llm import bpe, ngram_join, packing, quality, toxicity
 from claimlens.llm.common import stored, table
 
 
@@ -19,7 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network, fitted on labelled documents of this stage's input, doesn't predict as toxic."""
+    """Documents that the network, fitted on labelled documents of this stage's input, doesn't predict as toxic.
+
+    Null and empty texts get the network's prior and so stay; repeated rows stay or go together; an empty table stays empty.
+    """
     net = toxicity.trained(docs, table(spark, sf_dir, "labels"))
     marked = toxicity.with_toxicity(docs.select(F.struct("*").alias("row"), "text"), net)
     return marked.where("predicted = 0").select("row.*")
@@ -28,20 +32,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of similar documents the one with the smallest doc_id; a repeated row stays once.
 
-    A row without a doc_id stays, unless a similar document has one.
+    Rows without a doc_id stand behind those with one; rows of one doc_id with different texts are told apart, and of those in
+    one class the one with the smallest hash of the row stays, so that reruns agree. Rows whose texts have no words are classes
+    of their own and stay. An empty table stays empty.
     """
-    classes = ngram_join.similar_texts(docs.select("doc_id", "text"))
-    firsts = classes.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if not docs.where("doc_id is null").isEmpty() and not classes.where("doc_id is null and class_id is null").isEmpty():
-        kept = kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return kept.select(*docs.columns)
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-duplicate-rows")
+    classes = ngram_join.similar_texts(rows.select(F.col("_row").alias("doc_id"), "text"))
+    ranked = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64(*docs.columns).alias("_hash"), "_row").alias("_rank"))
+    firsts = classes.select(F.col("doc_id").alias("_row"), "class_id").join(ranked, "_row").groupBy("class_id").agg(F.min("_rank").alias("_rank"))
+    return rows.join(firsts.select(F.col("_rank._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of each document, or of each piece of a long one."""
-    rows = packing.words_and_cluster(docs.select("doc_id", "source", "lang", "text"))
-    return packing.packed(rows, keep=("source", "lang"))
+    """The bin of each document, or of each piece of a long one, by its tokens of a byte-level BPE. Null texts have none."""
+    counted = bpe.with_bpe(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.packed(counted.withColumn("cluster", F.col("decoded_sha256")).drop("text"), keep=("source", "lang"))
 
 
 STAGES = [
