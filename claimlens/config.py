@@ -9,22 +9,57 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Bands of a fused score."""
+    """Thresholds of the fusion, and the bands of a fused score (risk_*)."""
 
-    critical: float = 0.85
-    high: float = 0.40
-    medium: float = 0.20
+    cnn_dampening_threshold: float = 0.35
+    cnn_dampening_floor: float = 0.30
+    independent_confirm: float = 0.25
+    detector_high: float = 0.45
+    detector_low: float = 0.15
+    risk_medium: float = 0.20
+    risk_high: float = 0.40
+    risk_critical: float = 0.85
+    boost_strong_floor: float = 0.75
+    boost_strong_min_high: int = 2
+    boost_moderate_floor: float = 0.65
+    boost_moderate_min_high: int = 1
+    deep_mod_min: float = 0.55
+    mesorch_min: float = 0.40
+    ela_min: float = 0.50
+    ela_scale: float = 0.80
+    single_tamp_min: float = 0.50
+    single_tamp_scale: float = 0.85
+    text_ai_min: float = 0.50
+    content_val_min: float = 0.40
 
     def overridden(self, values: dict) -> Thresholds:
         """A copy with the known keys of values; unknown ones are warned about and skipped."""
-        names = {f.name for f in dataclasses.fields(self)}
-        for k in values.keys() - names:
+        kinds = {f.name: type(f.default) for f in dataclasses.fields(self)}
+        for k in values.keys() - kinds.keys():
             warnings.warn(f"unknown threshold {k}", stacklevel=2)
-        return dataclasses.replace(self, **{k: float(v) for k, v in values.items() if k in names})
+        return dataclasses.replace(self, **{k: kinds[k](v) for k, v in values.items() if k in kinds})
+
+    @property
+    def critical(self) -> float:
+        return self.risk_critical
+
+    @property
+    def high(self) -> float:
+        return self.risk_high
+
+    @property
+    def medium(self) -> float:
+        return self.risk_medium
 
 
 DEFAULT = Thresholds()
-CALIBRATED = DEFAULT.overridden({"high": 0.34, "medium": 0.15})
+#: The profile derived from production rows (derived_thresholds gives that of a table of one's own).
+CALIBRATED = DEFAULT.overridden(
+    {
+        "cnn_dampening_threshold": 0.22, "cnn_dampening_floor": 0.30, "independent_confirm": 0.22, "detector_high": 0.50, "detector_low": 0.15,
+        "risk_medium": 0.15, "risk_high": 0.34, "risk_critical": 0.85, "boost_strong_floor": 0.75, "boost_strong_min_high": 2, "boost_moderate_floor": 0.55, "boost_moderate_min_high": 1,
+    }
+)
 
 #: Weights of the core modules of the fused score.
 CORE_WEIGHTS = {"dino": 0.20, "organika": 0.25, "community": 0.25, "clip": 0.20, "pixel": 0.10, "ai_generation": 0.0}

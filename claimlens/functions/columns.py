@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def nearest_rank(values: str | Column, p: float) -> Column:
-    """The element at floor(n p), at most the last, of the sorted values of a group; null without values."""
-    a = F.array_sort(F.collect_list(values))
-    return F.try_element_at(a, F.greatest(F.least(F.floor(F.size(a) * F.lit(p)), F.size(a) - 1).cast("int") + 1, F.lit(1)))
+def ranks_of(df: DataFrame, by: list[str], value: str, names: dict[str, float], nearest: bool = False) -> DataFrame:
+    """by and percentiles of the values that aren't null, each under its name.
 
+    The percentile q of n sorted values is the one at round(q (n - 1)), half to even; with nearest, the one at floor(n q), at
+    most the last. No group is gathered in one row: equal values are counted first, so that a hot group shuffles and sorts its
+    distinct values only.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_m"))
+    w = W.partitionBy(*by)
+    ranked = counts.withColumns({"_upto": F.sum("_m").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("_m").over(w)})
 
-def rounded_rank(values: str | Column, q: float) -> Column:
-    """The element at round(q (n - 1)), half to even, of the sorted values of a group."""
-    a = F.array_sort(F.collect_list(values))
-    return F.try_element_at(a, F.greatest(F.bround(F.lit(q) * (F.size(a) - 1)).cast("int") + 1, F.lit(1)))
+    def at(q: float) -> Column:
+        return F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1) if nearest else F.bround(F.lit(q) * (F.col("_n") - 1)).cast("long")
+
+    hit = lambda q: (F.col("_upto") - F.col("_m") <= at(q)) & (at(q) < F.col("_upto"))
+    return ranked.groupBy(*by).agg(*(F.max(F.when(hit(q), F.col(value))).alias(k) for k, q in names.items()))
 
 
 def clamp01(x: Column) -> Column:

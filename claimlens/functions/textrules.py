@@ -15,6 +15,9 @@ ENGLISH = (
 #: Invisible and direction-changing code points.
 INVISIBLE = "200B 200C 200D 200E 200F FEFF 202A 202B 202C 202D 202E 2066 2067 2068 2069"
 
+#: Of these, the ones that don't count.
+HARMLESS = "FEFF 200E 200F"
+
 #: Cyrillic letters that look like Latin ones.
 HOMOGLYPHS = "0410 0412 0421 0415 041D 041A 041C 041E 0420 0422 0425 0430 0435 043E 0440 0441 0443 0445"
 
@@ -33,27 +36,29 @@ def long_enough(text: Column, least: int = 300) -> Column:
     return F.length(F.trim(text)) >= least
 
 
-def likely_english(text: Column) -> Column:
-    """Four or more marker words among the first 2000 characters."""
-    return F.size(F.array_intersect(words(F.substring(text, 1, 2000)), F.array(*map(F.lit, ENGLISH)))) >= 4
+def likely_english(text: Column, first: int | None = None) -> Column:
+    """Four or more marker words in the text, or among its first characters."""
+    head = text if first is None else F.substring(text, 1, first)
+    return F.size(F.array_intersect(words(head), F.array(*map(F.lit, ENGLISH)))) >= 4
 
 
 def ngram_repetition(w: Column, n: int = 4) -> Column:
-    """Share of n-grams that repeat an earlier one; 0 for fewer than n words."""
+    """Share of n-grams that repeat an earlier one; 0 for fewer than n words. N-grams are told apart by 64-bit hashes."""
     total = F.size(w) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), total), lambda i: F.array_join(F.slice(w, i, n), " "))
+    shifted = [F.slice(w, i + 1, F.greatest(total, F.lit(0))).alias(f"g{i}") for i in range(n)]
+    grams = F.transform(F.arrays_zip(*shifted), lambda g: F.xxhash64(g))
     return F.when(total >= 1, (total - F.size(F.array_distinct(grams))) / total).otherwise(0.0)
 
 
-def type_token_ratio(w: Column, first: int = 1000) -> Column:
-    """Distinct words among the first ones; null for 50 words or fewer."""
-    head = F.slice(w, 1, first)
+def type_token_ratio(w: Column, first: int | None = None) -> Column:
+    """Share of distinct words, of all or of the first ones; null for 50 words or fewer."""
+    head = w if first is None else F.slice(w, 1, first)
     return F.when(F.size(w) > 50, F.size(F.array_distinct(head)) / F.size(head))
 
 
 def sentences(text: Column) -> Column:
     """Sentences of over 10 characters: cut behind . ! ? before a capital, and at blank lines."""
-    parts = F.flatten(F.transform(F.split(text, "(?<=[.!?])\\s+(?=[A-Z\\u00C0-\\u017F])"), lambda s: F.split(s, "\\n\\n")))
+    parts = F.flatten(F.transform(F.split(text, "(?<=[.!?])\\s+(?=[A-Z\\u0100-\\u024F])"), lambda s: F.split(s, "\\n\\n")))
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) > 10)
 
 
@@ -86,7 +91,8 @@ def text_band(score: Column) -> Column:
 
 
 def hidden_characters(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(_CLASS(INVISIBLE)))
+    """Invisible and format characters (category Cf), but for the byte order mark and the two direction marks that plain texts have too."""
+    return F.regexp_count(text, F.lit("[\\p{Cf}" + _CLASS(INVISIBLE)[1:-1] + "&&[^" + _CLASS(HARMLESS)[1:-1] + "]]"))
 
 
 def homoglyphs(line: Column) -> Column:
@@ -118,8 +124,8 @@ def invalid_ibans(text: Column) -> Column:
     return F.filter(found, lambda s: ~mod_97_iban(s))
 
 
-def word_chunks(w: Column, size: int = 500, stride: int = 372, most: int = 20, least_chars: int = 50) -> Column:
-    """Overlapping chunks of words as texts: at most so many, those of more than least_chars characters."""
-    starts = F.slice(F.filter(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(stride)), lambda i: F.lit(True)), 1, most * 2)
-    chunks = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    return F.slice(F.filter(chunks, lambda c: F.length(c) > least_chars), 1, most)
+def word_chunks(w: Column, size: int = 500, stride: int = 372, most: int | None = None, least_chars: int = 50) -> Column:
+    """Overlapping chunks of all words as texts, those of more than least_chars characters; with most, the first ones only."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(stride))
+    chunks = F.filter(F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " ")), lambda c: F.length(c) > least_chars)
+    return chunks if most is None else F.slice(chunks, 1, most)

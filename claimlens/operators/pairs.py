@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,22 @@ def cosine_pairs(df: DataFrame, group: str, order: str, vector: str, least: floa
     return p.where(F.col("similarity") >= least).select(group, f"{order}_i", f"{order}_j", "similarity")
 
 
-def bands(h: Column, most: int) -> Column:
-    """The most + 1 bands of a 64-bit value as numbers: values that differ in `most` bits or fewer share one at least."""
-    n = most + 1
+def bands(h: Column, most: int, agree: int = 3) -> Column:
+    """Keys of a 64-bit value, so that values that differ in `most` bits or fewer share one at least.
+
+    The bits are cut into most + agree blocks, of which `agree` are untouched by so few differences: a key is the choice of as
+    many blocks and their bits. With 8 differences these are 165 keys of 17 bits or more.
+    """
+    n = most + agree
     cuts = [64 * k // n for k in range(n + 1)]
-    parts = [F.shiftrightunsigned(h, a).bitwiseAND(F.lit(-1 if b - a >= 64 else (1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
-    return F.array(*(F.struct(F.lit(k).alias("k"), p.alias("v")) for k, p in enumerate(parts)))
+    part = lambda k: F.shiftrightunsigned(h, cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    keys = []
+    for chosen in combinations(range(n), agree):
+        v = F.lit(0).cast("long")
+        for k in chosen:
+            v = F.shiftleft(v, cuts[k + 1] - cuts[k]).bitwiseOR(part(k))
+        keys.append(v)
+    return F.array(*keys)
 
 
 def banded_hash_pairs(df: DataFrame, key: str, h: str, most: int = 8) -> DataFrame:
@@ -43,25 +55,20 @@ def banded_hash_pairs(df: DataFrame, key: str, h: str, most: int = 8) -> DataFra
     distinct = df.groupBy(h).agg(F.min(key).alias("key"))
     rows = distinct.select("key", F.col(h).alias("h"), F.posexplode(bands(F.col(h), most)).alias("pos", "band"))
     a, b = rows.alias("a"), rows.alias("b")
-    p = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key")))
+    p = a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key")))
     shared = F.arrays_zip(bands(F.col("a.h"), most).alias("x"), bands(F.col("b.h"), most).alias("y"))
     first = F.array_position(F.transform(shared, lambda z: z["x"] == z["y"]), True) - 1
     p = p.where((hamming(F.col("a.h"), F.col("b.h")) <= most) & (F.col("a.pos") == first))
     return p.select(F.col("a.key").alias("key_i"), F.col("b.key").alias("key_j"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
 
 
-def historical_duplicates(df: DataFrame, key: str, h: str, take: int = 20) -> DataFrame:
-    """For each row the other rows of an equal hash, the `take` smallest keys.
+def duplicate_classes(df: DataFrame, key: str, h: str) -> DataFrame:
+    """key, class_id (the smallest key of an equal hash) and n_others of each row whose hash occurs again.
 
-    The smallest take + 1 keys of each hash are enough, so a hot hash is cut before it is joined.
+    A group of copies is one row of counts and never becomes pairs. Null hashes are equal to nothing.
     """
-    from pyspark.sql import Window as W
-
-    rows = df.select(key, h)
-    first = rows.select(F.col(key).alias("match"), h, F.row_number().over(W.partitionBy(h).orderBy(key)).alias("r")).where(F.col("r") <= take + 1)
-    p = rows.join(first.drop("r"), h).where(F.col(key) != F.col("match"))
-    place = F.row_number().over(W.partitionBy(key).orderBy("match"))
-    return p.withColumn("place", place).where(F.col("place") <= take).select(key, "match")
+    again = df.where(F.col(h).isNotNull()).groupBy(h).agg(F.min(key).alias("class_id"), (F.count("*") - 1).alias("n_others")).where("n_others > 0")
+    return df.select(key, h).join(again, h).select(key, "class_id", "n_others")
 
 
 def greedy_dedup(df: DataFrame, group: str, order: str, h: str, least: int = 10) -> DataFrame:

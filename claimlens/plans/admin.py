@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from claimlens.functions.columns import ellipsis, extension, nearest_rank
+from claimlens.functions.columns import ellipsis, extension, ranks_of
 from claimlens.sources.tables import table
 
 
@@ -18,10 +18,9 @@ def admin_status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def admin_processing_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank percentiles of durations by event type, with mean (null as 0), least and largest."""
-    q = {f"p{round(p * 100)}": nearest_rank("value", p) for p in (0.5, 0.9, 0.95, 0.99)}
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("largest"), F.round(F.avg(F.coalesce("value", F.lit(0.0))), 6).alias("mean"), *(c.alias(k) for k, c in q.items())
-    )
+    rows = table(spark, sf_dir, "events").select("event_type", "value")
+    g = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("largest"), F.round(F.avg(F.coalesce("value", F.lit(0.0))), 6).alias("mean"))
+    return g.join(ranks_of(rows, ["event_type"], "value", {f"p{round(p * 100)}": p for p in (0.5, 0.9, 0.95, 0.99)}, nearest=True), "event_type", "left")
 
 
 def admin_file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def admin_users_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admin_error_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most frequent messages after they are cut to 12 characters; a null one has a default text."""
+    """The five most frequent messages after they are cut to 16 characters; a null one has a default text."""
     message = ellipsis(F.coalesce(F.when(F.col("event_type") == "error", F.concat(F.lit("failure of key "), F.get_json_object("props", "$.k"))), F.lit("Unknown")), 16)
     return table(spark, sf_dir, "events").groupBy(message.alias("message")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "message").limit(5)
 
@@ -152,10 +151,9 @@ def decision_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fair_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The order in which queued turns are served: single ones first, then users in turns, each by its own order.
+    """What decides the order in which queued turns are served: the lane (single ones first), then the round of each user.
 
-    Whole users rank by their first turn; the place is the order of (lane, round, user), kept as columns so that no sort of
-    everything in one task is needed.
+    Turns are served by (lane, round, user); no place is computed, so that nothing is sorted as a whole.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     n = F.count("*").over(W.partitionBy("conv_id"))
@@ -164,15 +162,10 @@ def fair_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seal of each source's documents: the SHA-256 of their hashes, sorted and joined by colons.
-
-    Hashes are grouped into 256 buckets by their first byte and sealed there, and the buckets' seals are sealed again, so
-    that no task gets all hashes of a hot source.
-    """
+    """The seal of each case's files: the SHA-256 of their hashes, sorted and joined by colons. Sixteen documents are the files of a case."""
     h = F.sha2(F.coalesce("text", F.lit("")), 256)
-    seal = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ":"), 256)
-    rows = table(spark, sf_dir, "documents").select("source", h.alias("h")).groupBy("source", F.substring("h", 1, 2).alias("b")).agg(seal("h").alias("h"))
-    return rows.groupBy("source").agg(seal("h").alias("seal"))
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 16).alias("case_id"), h.alias("h"))
+    return rows.groupBy("case_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ":"), 256).alias("seal"))
 
 
 QUERIES = {
@@ -235,7 +228,6 @@ ORACLES = {
         SELECT conv_id, turn, CASE WHEN count(*) OVER (PARTITION BY conv_id) = 1 THEN 0 ELSE 1 END AS lane,
                row_number() OVER (PARTITION BY conv_id ORDER BY turn, role)::INT AS round FROM conversations""",
     "evidence_seal": """
-        WITH h AS (SELECT source, sha256(coalesce(text, '')) AS h FROM documents),
-             b AS (SELECT source, sha256(string_agg(h, ':' ORDER BY h)) AS h FROM h GROUP BY source, left(h, 2))
-        SELECT source, sha256(string_agg(h, ':' ORDER BY h)) AS seal FROM b GROUP BY source""",
+        WITH h AS (SELECT doc_id // 16 AS case_id, sha256(coalesce(text, '')) AS h FROM documents)
+        SELECT case_id, sha256(string_agg(h, ':' ORDER BY h)) AS seal FROM h GROUP BY 1""",
 }

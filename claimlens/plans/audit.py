@@ -81,20 +81,18 @@ def audit_top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_top_referrers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most frequent hosts of the first 500 pages, own hosts left out."""
-    first = table(spark, sf_dir, "pages").select("page_id", "url").orderBy("page_id").limit(500)
-    host = first.select(url_host(F.col("url")).alias("host")).where(~F.col("host").contains("localhost") & ~F.col("host").contains("example.org"))
+    """The five most frequent hosts of all pages, own hosts left out."""
+    host = table(spark, sf_dir, "pages").select(url_host(F.col("url")).alias("host")).where(~F.col("host").contains("localhost") & ~F.col("host").contains("example.org"))
     return host.groupBy("host").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "host").limit(5)
 
 
 def audit_recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the newest 200 events, the 15 sessions seen first, with their newest event, their events among the 200, and the user's name."""
-    newest = table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200)
-    position = F.row_number().over(W.orderBy(F.desc("ts"), F.desc("event_id")))
-    rows = newest.withColumn("position", position)
-    sessions = rows.groupBy("user_id").agg(F.min("position").alias("position"), F.min_by("event_type", "position").alias("last_page"), F.max("ts").alias("last_seen"), F.count("*").alias("n_events"))
+    """The 15 sessions that were seen last, with their newest event, all their events, and the user's name."""
+    newest = F.max(F.struct("ts", "event_id", "event_type"))
+    sessions = table(spark, sf_dir, "events").groupBy("user_id").agg(newest.alias("x"), F.count("*").alias("n_events"))
+    sessions = sessions.orderBy(F.desc("x.ts"), F.desc("x.event_id")).limit(15).select("user_id", F.col("x.event_type").alias("last_page"), F.col("x.ts").alias("last_seen"), "n_events")
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("user_name"))
-    return sessions.orderBy("position").limit(15).join(names, "user_id", "left").select("user_id", "user_name", "last_page", "last_seen", "n_events")
+    return sessions.join(names, "user_id", "left").select("user_id", "user_name", "last_page", "last_seen", "n_events")
 
 
 def filtered_events(events: DataFrame, event_type: str | None = None, user_id: int | None = None, start: str | None = None, end: str | None = None, contains: str | None = None) -> DataFrame:
@@ -171,12 +169,11 @@ ORACLES = {
                count(DISTINCT user_id) AS sessions FROM events GROUP BY 1""",
     "audit_top_paths": f"SELECT {_PATH} AS path, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, path LIMIT 10",
     "audit_top_referrers": """
-        WITH f AS (SELECT url FROM pages ORDER BY page_id LIMIT 500), h AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM f)
+        WITH h AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages)
         SELECT host, count(*) AS n FROM h WHERE host NOT LIKE '%localhost%' AND host NOT LIKE '%example.org%' GROUP BY 1 ORDER BY n DESC, host LIMIT 5""",
     "audit_recent_sessions": """
-        WITH n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS position FROM events QUALIFY position <= 200),
-             s AS (SELECT user_id, min(position) AS position, arg_min(event_type, position) AS last_page, max(ts) AS last_seen, count(*) AS n_events FROM n GROUP BY 1),
-             t AS (SELECT * FROM s ORDER BY position LIMIT 15)
+        WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY user_id) AS n_events FROM events),
+             t AS (SELECT user_id, event_type AS last_page, ts AS last_seen, n_events FROM n WHERE r = 1 ORDER BY ts DESC, event_id DESC LIMIT 15)
         SELECT user_id, c_name AS user_name, last_page, last_seen, n_events FROM t LEFT JOIN customer ON c_custkey = user_id""",
     "audit_filtered_page": f"""
         SELECT event_id, ts, user_id, {_PATH} AS path FROM events

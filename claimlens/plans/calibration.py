@@ -1,7 +1,7 @@
 """The calibration loop over labelled rows: labels give the truth, and keys give made scores of modules.
 
-Row percentiles gather the sorted values of a class and module; for classes of unbounded size percentile_approx or exact
-percentiles by window ranks would take their place, which is what rank_percentiles() does.
+Percentiles are ranks over counts of distinct values, and orders within a class are cut by histograms or by limits before
+anything is sorted: there are only three classes, so a window over all rows of one would be a single task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from claimlens.functions.columns import rounded_rank
+from claimlens.functions.columns import ranks_of
 from claimlens.sources.tables import table
 
 MODULES = {"clip": (37, 11, 40), "pixel": (71, 29, 10), "mesorch": (53, 7, 25)}
@@ -38,26 +38,16 @@ def exploded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_module_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = {f"p{round(p * 100)}": rounded_rank("score", p) for p in (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)}
-    return exploded(spark, sf_dir).groupBy("truth", "module").agg(
-        F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.coalesce(F.try_divide(F.stddev_samp("score"), F.lit(1.0)), F.lit(0.0)), 4).alias("stdev"), F.min("score").alias("least"), F.max("score").alias("largest"), *(c.alias(k) for k, c in q.items())
+    rows = exploded(spark, sf_dir)
+    g = rows.groupBy("truth", "module").agg(
+        F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp("score"), F.lit(0.0)), 4).alias("stdev"), F.min("score").alias("least"), F.max("score").alias("largest")
     )
-
-
-def rank_percentiles(df: DataFrame, by: list[str], value: str, q: float) -> DataFrame:
-    """The element at round(q (n - 1)) of each group's sorted values, by ranks: no group is gathered in one row.
-
-    Equal values are counted first, so that a hot group shuffles its distinct values only.
-    """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("m"))
-    w = W.partitionBy(*by)
-    ranked = counts.withColumns({"below": F.sum("m").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)) - F.col("m"), "n": F.sum("m").over(w)})
-    at = F.bround(F.lit(q) * (F.col("n") - 1)).cast("long")
-    return ranked.where((F.col("below") <= at) & (at < F.col("below") + F.col("m"))).select(*by, value)
+    q = ranks_of(rows, ["truth", "module"], "score", {f"p{round(p * 100)}": p for p in (0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)})
+    return g.join(q, ["truth", "module"])
 
 
 def class_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_percentiles(exploded(spark, sf_dir), ["truth", "module"], "score", 0.5).withColumnRenamed("score", "median")
+    return ranks_of(exploded(spark, sf_dir), ["truth", "module"], "score", {"median": 0.5})
 
 
 def class_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,16 +104,21 @@ def metrics_three_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def auc_no_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area under the ROC curve over groups of equal scores, without the segment from the origin to the first point.
+    return auc(labelled(spark, sf_dir))
+
+
+def auc(rows: DataFrame) -> DataFrame:
+    """Area under the ROC curve over groups of equal scores, without the segment from the origin to the first point; .5 with one class only.
 
     Scores are thousandths, so that at most 1001 groups are left for the running sums.
     """
-    g = labelled(spark, sf_dir).groupBy("clip").agg(F.count_if(F.col("truth") == "ai_generated").alias("p"), F.count_if(F.col("truth") != "ai_generated").alias("q"))
+    g = rows.groupBy("clip").agg(F.count_if(F.col("truth") == "ai_generated").alias("p"), F.count_if(F.col("truth") != "ai_generated").alias("q"))
     w = W.orderBy(F.desc("clip"))
     run = g.select(F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"), F.sum("p").over(W.partitionBy(F.lit(1))).alias("np"), F.sum("q").over(W.partitionBy(F.lit(1))).alias("nq"), "clip")
     x, y = F.col("fp") / F.greatest("nq", F.lit(1)), F.col("tp") / F.greatest("np", F.lit(1))
-    pts = run.select(x.alias("x"), y.alias("y"), F.lag(x).over(w).alias("x0"), F.lag(y).over(w).alias("y0"))
-    return pts.agg(F.round(F.coalesce(F.sum((F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2), F.lit(0.0)), 6).alias("auc"))
+    pts = run.select(x.alias("x"), y.alias("y"), F.lag(x).over(w).alias("x0"), F.lag(y).over(w).alias("y0"), (F.least("np", "nq") > 0).alias("both"))
+    area = F.coalesce(F.sum((F.col("x") - F.col("x0")) * (F.col("y") + F.col("y0")) / 2), F.lit(0.0))
+    return pts.agg(F.round(F.when(F.bool_and("both"), area).otherwise(0.5), 6).alias("auc"))
 
 
 def module_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +138,12 @@ def swept(rows: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_threshold(labelled(spark, sf_dir))
+
+
+def best_threshold(rows: DataFrame) -> DataFrame:
     """The first threshold of .15 to .64 with the largest balanced accuracy."""
-    g = swept(labelled(spark, sf_dir), 15, 64)
+    g = swept(rows, 15, 64)
     ba = (F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)) + F.col("tn") / F.greatest(F.col("tn") + F.col("fp"), F.lit(1))) / 2
     g = g.withColumn("ba", F.round(ba, 9))
     return g.agg(F.max_by("t", F.struct(F.col("ba"), -F.col("t"))).alias("t"), F.max("ba").alias("ba")).select((F.when(F.col("ba") > 0, F.col("t")).otherwise(40) / 100).alias("threshold"), F.round("ba", 6).alias("balanced_accuracy"))
@@ -158,78 +157,146 @@ def kappa_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swept(labelled(spark, sf_dir), 0, 100).select("t", F.round(F.when(pe >= 1, 0.0).otherwise((po - pe) / (1 - pe)), 6).alias("kappa"))
 
 
-def ghost_calibration(spark: SparkSession, sf_dir: str, samples: int = 100, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Threshold by subsampling: kappa's median over stratified samples at each threshold, and its 5th and 95th percentiles.
+def _kappas(tp, fp, tn, fn):
+    """Cohen's kappa of confusion counts in numpy; where chance agrees wholly, 1 if all agree, else 0."""
+    import numpy as np
+
+    n = np.maximum(tp + fp + tn + fn, 1)
+    po, pe = (tp + tn) / n, ((tp + fp) * (tp + fn) + (tn + fn) * (tn + fp)) / (n * n)
+    return np.where(pe >= 1, np.where(po >= 1, 1.0, 0.0), (po - pe) / np.where(pe >= 1, 1, 1 - pe))
+
+
+def ghost(rows: DataFrame, samples: int = 100, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Threshold by subsampling: kappa's median, 5th and 95th percentile over stratified samples at each hundredth, and the first best one.
 
-    Samples are drawn by ranks of a seeded hash within class and sample, on counts by hundredth where possible: each row
-    is in a sample with its rank's share. The sampling is the operator; its random numbers are Spark's own.
+    A sample is drawn without replacement, from each class in proportion and one row at least. Rows are counted by class and
+    hundredth first, and samples are drawn from these 202 counts (which is the same distribution), each in a row of its own; the
+    counts are all that tasks get. The random numbers are numpy's own, by seed and sample.
     """
-    rows = labelled(spark, sf_dir).select("doc_id", "truth", "clip")
-    draws = rows.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples)))).where(F.pmod(F.xxhash64("doc_id", "s", F.lit(seed)), F.lit(1000)) < int(share * 1000))
+    import numpy as np
+    import pyarrow as pa
+
     h = F.least(F.floor(F.col("clip") * 100 + 1e-9), F.lit(100)).cast("int")
-    counts = draws.groupBy("s", h.alias("h")).agg(F.count_if(F.col("truth") == "ai_generated").alias("p"), F.count_if(F.col("truth") != "ai_generated").alias("q"))
-    grid = counts.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(100))))
-    hit = F.col("h") >= F.col("t")
-    s = lambda c, v: F.coalesce(F.sum(F.when(c, F.col(v))), F.lit(0))
-    g = grid.groupBy("s", "t").agg(s(hit, "p").alias("tp"), s(hit, "q").alias("fp"), s(~hit, "q").alias("tn"), s(~hit, "p").alias("fn"))
-    n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
-    po = (F.col("tp") + F.col("tn")) / n
-    pe = ((F.col("tp") + F.col("fn")) * (F.col("tp") + F.col("fp")) + (F.col("tn") + F.col("fp")) * (F.col("tn") + F.col("fn"))) / (n * n)
-    k = g.select("t", F.when(pe >= 1, 0.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
-    return k.groupBy("t").agg(F.median("kappa").alias("median"), F.percentile("kappa", 0.05).alias("p5"), F.percentile("kappa", 0.95).alias("p95"))
+    found = rows.groupBy(h.alias("h")).agg(F.count_if(F.col("truth") == "ai_generated").alias("p"), F.count_if(F.col("truth") != "ai_generated").alias("q")).collect()
+    counts = np.zeros((2, 101), np.int64)
+    for r in found:
+        counts[:, r.h] = r.p, r.q
+
+    def draw(batches):
+        totals = counts.sum(axis=1)
+        size = round(share * int(totals.sum()))
+        take = [min(int(n), max(1, round(size * int(n) / int(totals.sum())))) if n else 0 for n in totals]
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                rng = np.random.default_rng((seed, s))
+                p, q = (rng.multivariate_hypergeometric(c, k, method="marginals") for c, k in zip(counts, take))
+                # The rows at or above each hundredth are those predicted.
+                tp, fp = p[::-1].cumsum()[::-1], q[::-1].cumsum()[::-1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(101, dtype=np.int32)), pa.array(_kappas(tp, fp, take[1] - fp, take[0] - tp))], names=["t", "kappa"])
+
+    drawn = rows.sparkSession.range(1, samples + 1, numPartitions=8).mapInArrow(draw, "t int, kappa double")
+    g = drawn.groupBy("t").agg(F.median("kappa").alias("median"), F.percentile("kappa", 0.05).alias("p5"), F.percentile("kappa", 0.95).alias("p95"))
+    best = g.agg(F.max_by("t", F.struct(F.col("median"), -F.col("t"))).alias("best"))
+    return g.join(F.broadcast(best)).select("t", "median", "p5", "p95", (F.col("t") == F.col("best")).alias("optimal"))
+
+
+def ghost_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ghost(labelled(spark, sf_dir))
 
 
 def regression_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each class: mean, median, extremes, and the rate of wrong rows at the class's gate."""
-    wrong = F.when(F.col("truth") == "authentic", F.col("clip") >= 0.55).when(F.col("truth") == "ai_generated", F.col("clip") < 0.60).otherwise(F.col("clip") < 0.40)
+    wrong = F.when(F.col("truth") == "authentic", F.col("clip") >= 0.15).when(F.col("truth") == "ai_generated", F.col("clip") < 0.60).otherwise(F.col("clip") < 0.40)
     limit = F.when(F.col("truth") == "authentic", 0.10).when(F.col("truth") == "ai_generated", 0.15).otherwise(0.20)
     g = labelled(spark, sf_dir).groupBy("truth").agg(F.round(F.avg("clip"), 6).alias("mean"), F.round(F.median("clip"), 6).alias("median"), F.min("clip").alias("least"), F.max("clip").alias("largest"), F.round(F.avg(wrong.cast("int")), 6).alias("rate"))
     return g.withColumn("passed", F.col("rate") < limit)
 
 
+def coverage(rows: DataFrame, module: str, score: str, total: Column) -> DataFrame:
+    """Of each module: rows that have it, rows with a score above 0, mean and population deviation, and whether under half of all have it."""
+    g = rows.groupBy(module).agg(total.alias("_n"), F.count(score).alias("present"), F.count_if(F.col(score) > 0).alias("nonzero"), F.round(F.coalesce(F.avg(score), F.lit(0.0)), 6).alias("mean"), F.round(F.coalesce(F.stddev_pop(score), F.lit(0.0)), 6).alias("stdev"))
+    return g.withColumn("missing", F.col("present") < F.col("_n") * 0.5).drop("_n")
+
+
 def module_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of rows with a score above 0, mean and population deviation, and whether fewer than half have one."""
-    n = F.count_if(F.col("score") > 0.3) / F.count("*")
-    g = exploded(spark, sf_dir).groupBy("module").agg(F.round(n, 6).alias("coverage"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.stddev_pop("score"), 6).alias("stdev"))
-    return g.withColumn("low", F.col("coverage") < 0.5)
+    """Coverage of the labelled rows, of which clip has no score for most keys, and pixel a score of 0 for some."""
+    gone = (F.col("module") == "clip") & (F.col("doc_id") % 5 < 3)
+    value = F.when(~gone, F.when((F.col("module") == "pixel") & (F.col("doc_id") % 3 == 0), 0.0).otherwise(F.col("score")))
+    return coverage(exploded(spark, sf_dir).withColumn("score", value), "module", "score", F.count("*"))
+
+
+def overrides(rows: DataFrame) -> DataFrame:
+    """The fusion thresholds that rows (truth, clip, pixel, mesorch) give: percentiles of the authentic ones within bounds, and the best sweep."""
+    authentic = rows.where("truth = 'authentic'").withColumns({"one": F.lit(1), "top": F.greatest("clip", "pixel", "mesorch")})
+    top = ranks_of(authentic, ["one"], "top", {"p75_top": 0.75, "p90_top": 0.90})
+    pixel = ranks_of(authentic, ["one"], "pixel", {"p95_pixel": 0.95})
+    two = lambda c: F.bround(c + 1e-9, 2)
+    g = top.join(pixel, "one").join(best_threshold(rows).withColumn("one", F.lit(1)), "one")
+    return g.select(
+        "p75_top",
+        "p90_top",
+        "p95_pixel",
+        two(F.greatest(F.lit(0.20), "p75_top")).alias("cnn_dampening_threshold"),
+        two(F.greatest(F.lit(0.20), "p95_pixel")).alias("independent_confirm"),
+        two(F.least(F.lit(0.50), F.greatest(F.lit(0.40), "p90_top"))).alias("detector_high"),
+        two(F.greatest(F.lit(0.15), F.col("threshold") - 0.20)).alias("risk_medium"),
+        two(F.greatest(F.lit(0.30), "threshold")).alias("risk_high"),
+    )
 
 
 def derived_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the authentic rows' scores, and thresholds that they give within bounds."""
-    rows = labelled(spark, sf_dir).where("truth = 'authentic'").withColumn("top", F.greatest("clip", "pixel", "mesorch"))
-    g = rows.agg(rounded_rank("top", 0.75).alias("p75_top"), rounded_rank("pixel", 0.95).alias("p95_pixel"))
-    clamp = lambda x, a, b: F.round(F.greatest(F.lit(a), F.least(F.lit(b), x)) + 1e-9, 2)
-    return g.withColumns({"independent": clamp(F.col("p75_top") * 1.1, 0.15, 0.60), "pixel": clamp(F.col("p95_pixel") + 0.05, 0.20, 0.70)})
+    return overrides(labelled(spark, sf_dir))
 
 
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each class the newest max(1, round(n / 5)) rows are held out."""
+    """Of each class the newest max(1, round(n / 5)) rows are held out.
+
+    Rows are counted by class and a thousandth of the ids' range; only the rows of the thousandth that the cut falls into are
+    ranked. At most 3 x 1001 counts are broadcast.
+    """
+    rows = labelled(spark, sf_dir).select("doc_id", "truth")
+    ends = rows.groupBy("truth").agg(F.max("doc_id").alias("top"), (F.floor((F.max("doc_id") - F.min("doc_id")) / 1000) + 1).alias("width"))
+    back = F.floor((F.col("top") - F.col("doc_id")) / F.col("width"))
+    rows = rows.join(F.broadcast(ends), "truth").withColumn("part", back).drop("top", "width")
+    parts = rows.groupBy("truth", "part").agg(F.count("*").alias("m"))
     w = W.partitionBy("truth")
-    rows = labelled(spark, sf_dir).select("doc_id", "truth", F.row_number().over(w.orderBy(F.desc("doc_id"))).alias("back"), F.count("*").over(w).alias("n"))
-    held = F.col("back") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.2).cast("int"))
-    return rows.select("doc_id", F.when(held, "holdout").otherwise("train").alias("split"))
+    parts = parts.withColumns({"upto": F.sum("m").over(w.orderBy("part")), "n": F.sum("m").over(w)})
+    k = F.greatest(F.lit(1), F.bround(F.col("n") * 0.2).cast("long"))
+    parts = parts.select("truth", "part", (F.col("upto") <= k).alias("within"), (k - F.col("upto") + F.col("m")).alias("left"), ((F.col("upto") > k) & (F.col("upto") - F.col("m") < k)).alias("cut"))
+    placed = rows.join(F.broadcast(parts), ["truth", "part"])
+    place = F.row_number().over(W.partitionBy("truth").orderBy(F.desc("doc_id")))
+    ranked = placed.where("cut").withColumn("within", place <= F.col("left"))
+    both = placed.where("not cut").unionByName(ranked)
+    return both.select("doc_id", F.when(F.col("within"), "holdout").otherwise("train").alias("split"))
 
 
 def active_subset(spark: SparkSession, sf_dir: str, size: int = 30) -> DataFrame:
-    """Of each class: 60 % by disagreement and uncertainty, 20 % at the boundary, 20 % of the easy ones, filled up by the next best."""
+    """Of each class: 60 % by disagreement and uncertainty, 20 % at the boundary, 20 % of the easy ones, filled up by the next best.
+
+    Limits come first: twice size of the hardest rows of a class, and of the boundary and the easy ones as many as may be
+    chosen or be among the hardest, are all that can be chosen, and such limits are applied before the shuffle.
+    """
     values = F.array("clip", "pixel", "mesorch")
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / 3
     spread = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / 3
     rows = labelled(spark, sf_dir).select("doc_id", "truth", "clip", F.round(spread + 1 - 2 * F.abs(mean - 0.5), 9).alias("hard"))
-    order = W.partitionBy("truth").orderBy(F.desc("hard"), "doc_id")
-    rows = rows.withColumn("r1", F.row_number().over(order))
     boundary = (F.col("clip") >= 0.25) & (F.col("clip") <= 0.75)
-    rows = rows.withColumn("kind", F.when(F.col("r1") <= size * 6 // 10, "hard").when(boundary, "boundary").otherwise("easy"))
+    first_of = lambda df, n, *order: df.withColumn("r", F.row_number().over(W.partitionBy("truth").orderBy(*order))).where(F.col("r") <= n).drop("r")
+    hardest = [F.desc("hard"), F.col("doc_id")]
+    n_hard, n_other = size * 6 // 10, size * 2 // 10
+    rows = first_of(rows, 2 * size, *hardest).union(first_of(rows.where(boundary), n_hard + n_other, *hardest)).union(first_of(rows.where(~boundary), n_hard + n_other, "hard", "doc_id")).distinct()
+    rows = rows.withColumn("r1", F.row_number().over(W.partitionBy("truth").orderBy(*hardest)))
+    rows = rows.withColumn("kind", F.when(F.col("r1") <= n_hard, "hard").when(boundary, "boundary").otherwise("easy"))
     rows = rows.withColumn("r2", F.row_number().over(W.partitionBy("truth", "kind").orderBy(F.when(F.col("kind") == "easy", F.col("hard")), F.desc("hard"), "doc_id")))
-    first = (F.col("kind") == "hard") | (F.col("r2") <= size * 2 // 10)
+    first = (F.col("kind") == "hard") | (F.col("r2") <= n_other)
     rows = rows.withColumn("r3", F.row_number().over(W.partitionBy("truth").orderBy(F.when(first, 0).otherwise(1), "r1")))
     return rows.where(F.col("r3") <= size).select("doc_id", "truth", F.when(first, F.col("kind")).otherwise("fill").alias("why"))
 
 
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50, 25 and 25 rows of the classes by the ranks of a seeded hash."""
+    """50, 25 and 25 rows of the classes by the ranks of a seeded hash; the limit of 50 is applied before the shuffle."""
     n = F.when(F.col("truth") == "authentic", 50).otherwise(25)
-    rows = labelled(spark, sf_dir).select("doc_id", "truth").withColumn("r", F.row_number().over(W.partitionBy("truth").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
+    rows = labelled(spark, sf_dir).select("doc_id", "truth").withColumn("r", F.row_number().over(W.partitionBy("truth").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))).where(F.col("r") <= 50)
     return rows.where(F.col("r") <= n).select("doc_id", "truth")
 
 
@@ -274,7 +341,7 @@ ORACLES = {
     "auc_no_origin": _L + """, g AS (SELECT clip, count(*) FILTER (truth = 'ai_generated') AS p, count(*) FILTER (truth <> 'ai_generated') AS q FROM l GROUP BY 1),
         r AS (SELECT clip, sum(p) OVER w / greatest(sum(p) OVER (), 1) AS y, sum(q) OVER w / greatest(sum(q) OVER (), 1) AS x FROM g WINDOW w AS (ORDER BY clip DESC)),
         d AS (SELECT x, y, lag(x) OVER (ORDER BY clip DESC) AS x0, lag(y) OVER (ORDER BY clip DESC) AS y0 FROM r)
-        SELECT round(coalesce(sum((x - x0) * (y + y0) / 2), 0), 6) AS auc FROM d""",
+        SELECT round(CASE WHEN (SELECT count(DISTINCT truth = 'ai_generated') FROM l) < 2 THEN 0.5 ELSE coalesce(sum((x - x0) * (y + y0) / 2), 0) END, 6) AS auc FROM d""",
     "module_separation": _X + """ SELECT module, round(avg(((score >= 0.5) = (truth = 'ai_generated'))::INT), 6) AS accuracy, round(avg(score) FILTER (truth = 'ai_generated'), 6) AS mean_ai,
         round(avg(score) FILTER (truth <> 'ai_generated'), 6) AS mean_other FROM x GROUP BY 1""",
     "threshold_sweep": _L + _SWEEP.format(a=15, b=65) + """, b AS (SELECT t, round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 9) AS ba FROM g)
@@ -282,11 +349,14 @@ ORACLES = {
     "kappa_sweep": _L + _SWEEP.format(a=0, b=101) + """, p AS (SELECT t, (tp + tn) / (tp + fp + tn + fn) AS po, ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / ((tp + fp + tn + fn) * (tp + fp + tn + fn)) AS pe FROM g)
         SELECT t, round(CASE WHEN pe >= 1 THEN 0 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM p""",
     "regression_gates": _L + """, g AS (SELECT truth, round(avg(clip), 6) AS mean, round(median(clip), 6) AS median, min(clip) AS least, max(clip) AS largest,
-            round(avg((CASE WHEN truth = 'authentic' THEN clip >= 0.55 WHEN truth = 'ai_generated' THEN clip < 0.60 ELSE clip < 0.40 END)::INT), 6) AS rate FROM l GROUP BY 1)
+            round(avg((CASE WHEN truth = 'authentic' THEN clip >= 0.15 WHEN truth = 'ai_generated' THEN clip < 0.60 ELSE clip < 0.40 END)::INT), 6) AS rate FROM l GROUP BY 1)
         SELECT *, rate < CASE WHEN truth = 'authentic' THEN 0.10 WHEN truth = 'ai_generated' THEN 0.15 ELSE 0.20 END AS passed FROM g""",
-    "module_coverage": _X + ", g AS (SELECT module, round(count(*) FILTER (score > 0.3) / count(*), 6) AS coverage, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS stdev FROM x GROUP BY 1) SELECT *, coverage < 0.5 AS low FROM g",
-    "derived_thresholds": _L + f""", a AS (SELECT greatest(clip, pixel, mesorch) AS top, pixel FROM l WHERE truth = 'authentic'), g AS (SELECT {_Q('top', 0.75, 'p75_top')}, {_Q('pixel', 0.95, 'p95_pixel')} FROM a)
-        SELECT p75_top, p95_pixel, round(greatest(0.15, least(0.60, p75_top * 1.1)) + 1e-9, 2) AS independent, round(greatest(0.20, least(0.70, p95_pixel + 0.05)) + 1e-9, 2) AS pixel FROM g""",
+    "module_coverage": _X + """, y AS (SELECT module, CASE WHEN module = 'clip' AND doc_id % 5 < 3 THEN NULL WHEN module = 'pixel' AND doc_id % 3 = 0 THEN 0 ELSE score END AS score FROM x)
+        SELECT module, count(score) AS present, count(*) FILTER (score > 0) AS nonzero, round(coalesce(avg(score), 0), 6) AS mean, round(coalesce(stddev_pop(score), 0), 6) AS stdev, count(score) < count(*) * 0.5 AS missing FROM y GROUP BY 1""",
+    "derived_thresholds": _L + _SWEEP.format(a=15, b=65) + f""", b AS (SELECT t, round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 9) AS ba FROM g), s AS (SELECT CASE WHEN ba > 0 THEN t ELSE 40 END / 100 AS s FROM b ORDER BY ba DESC, t LIMIT 1),
+        a AS (SELECT greatest(clip, pixel, mesorch) AS top, pixel FROM l WHERE truth = 'authentic'), q AS (SELECT {_Q('top', 0.75, 'p75_top')}, {_Q('top', 0.90, 'p90_top')}, {_Q('pixel', 0.95, 'p95_pixel')} FROM a)
+        SELECT p75_top, p90_top, p95_pixel, round_even(greatest(0.20, p75_top) + 1e-9, 2) AS cnn_dampening_threshold, round_even(greatest(0.20, p95_pixel) + 1e-9, 2) AS independent_confirm,
+               round_even(least(0.50, greatest(0.40, p90_top)) + 1e-9, 2) AS detector_high, round_even(greatest(0.15, s - 0.20) + 1e-9, 2) AS risk_medium, round_even(greatest(0.30, s) + 1e-9, 2) AS risk_high FROM q, s""",
     "temporal_split": _L + """, r AS (SELECT doc_id, row_number() OVER (PARTITION BY truth ORDER BY doc_id DESC) AS back, count(*) OVER (PARTITION BY truth) AS n FROM l)
         SELECT doc_id, CASE WHEN back <= greatest(1, round_even(n * 0.2, 0)) THEN 'holdout' ELSE 'train' END AS split FROM r""",
     "active_subset": _L + """, v AS (SELECT *, (clip + pixel + mesorch) / 3 AS m FROM l),

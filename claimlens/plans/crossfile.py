@@ -39,8 +39,9 @@ def semantic_minus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def historical_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document with a copy: the smallest id of its copies and how many others there are, without a cap."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"))
-    return pairs.historical_duplicates(docs, "doc_id", "h", 20).withColumnRenamed("match", "match_id")
+    return pairs.duplicate_classes(docs, "doc_id", "h")
 
 
 def gps_first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,20 +53,23 @@ def gps_first_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.coalesce(made("pixel", F.col("l_orderkey") * 8 + F.col("l_linenumber")), F.lit(0.0))
+    """Files of cases with made scores: every seventh case is high throughout, and in another one file stands out."""
+    k = F.col("l_orderkey")
+    base = F.coalesce(made("pixel", k * 8 + F.col("l_linenumber")), F.lit(0.0))
+    s = F.when(k % 7 == 0, 0.5 + base / 2).when((k % 7 == 1) & (F.col("l_linenumber") == 1), 0.95).when(k % 7 == 1, base / 10).otherwise(base)
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("file"), "l_partkey", "l_suppkey", s.alias("s"))
 
 
 def group_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of cases of three or more whose score is over .5 and more than one and a half deviations off."""
+    """Files of cases of three or more whose score is over .5 and more than two deviations off, where the deviation is over .05."""
     w = W.partitionBy("case_id")
     r = case_scores(spark, sf_dir).withColumns({"mu": F.avg("s").over(w), "sigma": F.stddev_pop("s").over(w), "n": F.count("*").over(w)})
-    hit = (F.col("n") >= 3) & (F.col("sigma") > 0.05) & (F.col("s") > 0.5) & (F.abs(F.col("s") - F.col("mu")) > 1.5 * F.col("sigma") + 1e-9)
+    hit = (F.col("n") >= 3) & (F.col("sigma") > 0.05) & (F.col("s") > 0.5) & (F.abs(F.col("s") - F.col("mu")) > 2 * F.col("sigma") + 1e-9)
     return r.where(hit).select("case_id", "file", F.round("s", 6).alias("score"))
 
 
 def all_high_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = case_scores(spark, sf_dir).groupBy("case_id").agg(F.count("*").alias("n"), F.bool_and(F.col("s") >= 0.3).alias("high"))
+    g = case_scores(spark, sf_dir).groupBy("case_id").agg(F.count("*").alias("n"), F.bool_and(F.col("s") >= 0.5).alias("high"))
     return g.where("n >= 3 and high").select("case_id", "n")
 
 
@@ -102,23 +106,23 @@ _F = "WITH f AS (SELECT vec_id, vec_id // 8 AS case_id, embedding AS e FROM embe
 _H = f", h AS (SELECT i AS vec_id_i, j AS vec_id_j, list_sum([((x[k] > 0) <> (y[k] > 0))::INT for k in range(1, 65)])::INT AS distance FROM p), hp AS (SELECT *, CASE WHEN distance <= 23 THEN 0.85 ELSE 0.75 END::DOUBLE AS risk FROM h WHERE distance <= {BITS})"
 _DOT = lambda a, b: f"list_sum(list_transform(range(1, 65), lambda k: {a}[k]::DOUBLE * {b}[k]::DOUBLE))"
 _C = f", c AS (SELECT i AS vec_id_i, j AS vec_id_j, {_DOT('x', 'y')} / (sqrt({_DOT('x', 'x')}) * sqrt({_DOT('y', 'y')}) + 1e-8) AS s FROM p), cp AS (SELECT vec_id_i, vec_id_j, round(s, 5) AS similarity FROM c WHERE s >= {SIMILAR})"
-_S = f"WITH s AS (SELECT l_orderkey AS case_id, l_linenumber AS file, l_partkey, l_suppkey, coalesce({made_sql('pixel', '(l_orderkey * 8 + l_linenumber)')}, 0) AS s FROM lineitem)"
+_S = f"""WITH b AS (SELECT *, coalesce({made_sql('pixel', '(l_orderkey * 8 + l_linenumber)')}, 0) AS b FROM lineitem),
+    s AS (SELECT l_orderkey AS case_id, l_linenumber AS file, l_partkey, l_suppkey, CASE WHEN l_orderkey % 7 = 0 THEN 0.5 + b / 2 WHEN l_orderkey % 7 = 1 AND l_linenumber = 1 THEN 0.95 WHEN l_orderkey % 7 = 1 THEN b / 10 ELSE b END AS s FROM b)"""
 
 ORACLES = {
     "hamming_pairs": _F + _H + " SELECT * FROM hp",
     "cosine_pairs": _F + _C + " SELECT * FROM cp",
     "semantic_minus_hash": _F + _H + _C + " SELECT * FROM cp ANTI JOIN hp USING (vec_id_i, vec_id_j)",
     "historical_duplicates": """
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        p AS (SELECT a.doc_id, b.doc_id AS match_id, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) AS r FROM d a JOIN d b ON a.t = b.t AND a.doc_id <> b.doc_id)
-        SELECT doc_id, match_id FROM p WHERE r <= 20""",
+        WITH d AS (SELECT doc_id, min(doc_id) OVER c AS class_id, count(*) OVER c - 1 AS n_others FROM documents WINDOW c AS (PARTITION BY coalesce(text, '')))
+        SELECT doc_id, class_id, n_others FROM d WHERE n_others > 0""",
     "gps_first_mismatch": """
         WITH f AS (SELECT vec_id, vec_id // 8 AS case_id, vec_id * 37 % 11 AS lat, vec_id * 53 % 7 AS lon FROM embeddings),
         p AS (SELECT a.case_id, a.vec_id AS i, b.vec_id AS j, row_number() OVER (PARTITION BY a.case_id ORDER BY a.vec_id, b.vec_id) AS r FROM f a JOIN f b ON a.case_id = b.case_id AND a.vec_id < b.vec_id AND (abs(a.lat - b.lat) > 5 OR abs(a.lon - b.lon) > 5))
         SELECT case_id, i AS vec_id_i, j AS vec_id_j FROM p WHERE r = 1""",
     "group_outliers": _S + """, w AS (SELECT *, avg(s) OVER c AS mu, stddev_pop(s) OVER c AS sigma, count(*) OVER c AS n FROM s WINDOW c AS (PARTITION BY case_id))
-        SELECT case_id, file, round(s, 6) AS score FROM w WHERE n >= 3 AND sigma > 0.05 AND s > 0.5 AND abs(s - mu) > 1.5 * sigma + 1e-9""",
-    "all_high_cases": _S + " SELECT case_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 3 AND min(s) >= 0.3",
+        SELECT case_id, file, round(s, 6) AS score FROM w WHERE n >= 3 AND sigma > 0.05 AND s > 0.5 AND abs(s - mu) > 2 * sigma + 1e-9""",
+    "all_high_cases": _S + " SELECT case_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 3 AND min(s) >= 0.5",
     "same_source_mode": _S + """, g AS (SELECT case_id, l_suppkey % 3 AS source, count(*) AS n, min(file) AS first FROM s WHERE s >= 0.1 GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first, source) AS r FROM g WHERE n >= 2) SELECT case_id, source, n FROM r WHERE r = 1""",
     "group_modifier": _S + " SELECT case_id, round(round_even(least(0.30, max(s) * 0.15 * (1 + least(count(*) / 5, 1))), 4), 3) AS modifier FROM s GROUP BY 1 HAVING count(*) >= 2",

@@ -11,7 +11,7 @@ from claimlens.plans.rules import MADE, made, made_sql
 from claimlens.sources.tables import table
 
 #: The client's weights of the AI pillar.
-PILLAR_WEIGHTS = {"clip": 0.30, "organika": 0.35, "community": 0.15, "pixel": 0.10, "ai_generation": 0.08}
+PILLAR_WEIGHTS = {"clip": 0.30, "organika": 0.35, "community": 0.15, "pixel": 0.10, "dino": 0.02, "ai_generation": 0.08}
 #: The pillar of each other module.
 PILLAR_OF = {"modification": "modification", "mesorch": "modification", "deep_modification": "modification", "text": "document", "content": "document"}
 #: Document finding categories by the prefixes of codes.
@@ -36,13 +36,23 @@ def module_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pillar_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted mean for the AI pillar, the largest score of .40 or more for modification, the largest for others."""
+    """Weighted mean for the AI pillar, the largest score of .40 or more for modification, the largest for others.
+
+    Modules with an error don't count unless all of a pillar have one. A pillar is significant at .20, with a finding of .05 or
+    more, or with an error. Here a score stands for its module's finding, every eleventh order has no findings, and every
+    thirteenth an error of one module.
+    """
     weight = F.coalesce(*(F.when(F.col("module") == m, F.lit(w)) for m, w in PILLAR_WEIGHTS.items()))
     pillar = F.coalesce(F.when(weight.isNotNull(), "ai"), *(F.when(F.col("module") == m, F.lit(p)) for m, p in PILLAR_OF.items()))
-    rows = module_rows(spark, sf_dir).withColumns({"pillar": pillar, "w": weight}).where("pillar is not null")
-    g = rows.groupBy("o_orderkey", "pillar").agg(F.sum(F.col("score") * F.col("w")).alias("s"), F.sum("w").alias("sw"), F.max("score").alias("top"))
+    error = (F.col("o_orderkey") % 13 == 0) & F.col("module").isin("clip", "content")
+    finding = F.when(F.col("o_orderkey") % 11 != 0, F.col("score"))
+    rows = module_rows(spark, sf_dir).withColumns({"pillar": pillar, "w": weight, "error": error, "finding": finding}).where("pillar is not null")
+    of = lambda f, c: F.coalesce(f(F.when(~F.col("error"), c)), f(c))
+    g = rows.groupBy("o_orderkey", "pillar").agg(
+        of(F.sum, F.col("score") * F.col("w")).alias("s"), of(F.sum, F.col("w")).alias("sw"), of(F.max, F.col("score")).alias("top"), F.max("finding").alias("finding"), F.bool_or("error").alias("error")
+    )
     value = F.when(F.col("pillar") == "ai", F.col("s") / F.col("sw")).when((F.col("pillar") == "modification") & (F.col("top") < 0.40), 0.0).otherwise(F.col("top"))
-    return g.select("o_orderkey", "pillar", F.round(value, 6).alias("risk"), module_band(F.col("top")).alias("level"), (F.round(value, 6) >= 0.20).alias("significant"))
+    return g.select("o_orderkey", "pillar", F.round(value, 6).alias("risk"), module_band(F.col("top")).alias("level"), ((F.round(value, 6) >= 0.20) | F.coalesce(F.col("finding") >= 0.05, F.lit(False)) | F.col("error")).alias("significant"))
 
 
 def category_of(code: Column) -> Column:
@@ -54,12 +64,13 @@ _CODES = [p + "X" for ps in CATEGORIES.values() for p in ps][::2] + ["META_Y"]
 
 
 def finding_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings and largest risk of each category, empty categories too and last."""
+    """Findings and largest risk of each category and its place: those with findings first, by falling risk, empty ones last."""
     code = F.element_at(F.array(*map(F.lit, _CODES)), (F.col("l_partkey") % (len(_CODES) - 3) + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(category_of(code).alias("category"), F.col("l_discount").alias("risk"))
     g = rows.groupBy("category").agg(F.count("*").alias("n"), F.max("risk").alias("top"))
     spine = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    return spine.join(g, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), "top")
+    counted = spine.join(g, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), "top")
+    return counted.withColumn("place", F.row_number().over(W.orderBy(F.col("n") == 0, F.desc("top"), "category")))
 
 
 def consensus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +171,19 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One inspection for its owner or an administrator: the key reaches the scan as a pushed filter."""
-    return table(spark, sf_dir, "orders").where("o_orderkey = 7").select("o_orderkey", "o_custkey", "o_orderstatus").limit(1)
+    """One inspection as its owner, another user and an administrator see it: a row, none, and a row."""
+    orders = table(spark, sf_dir, "orders")
+    owner = F.col("o_custkey")
+    seen = [guarded(orders, 7, None).withColumn("viewer", F.lit("administrator")), guarded(orders, 7, -1).withColumn("viewer", F.lit("another user"))]
+    mine = orders.where("o_orderkey = 7").select(owner.alias("me"))
+    as_owner = guarded(orders, 7, None).join(mine, owner == F.col("me")).drop("me").withColumn("viewer", F.lit("owner"))
+    return seen[0].unionByName(seen[1]).unionByName(as_owner).select("viewer", "o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def guarded(orders: DataFrame, key: int, user: int | None) -> DataFrame:
+    """The inspection of a key for its owner, or for an administrator (no user); else no row. Key and user reach the scan as filters."""
+    rows = orders.where(F.col("o_orderkey") == key)
+    return (rows if user is None else rows.where(F.col("o_custkey") == user)).limit(1)
 
 
 def camel_or_snake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,12 +213,14 @@ _CODE = f"{_CODES}[l_partkey % {len(_CODES) - 3} + 1]"
 
 ORACLES = {
     "pillar_rollup": _M + f""", p AS (SELECT *, {_CASE('module', PILLAR_WEIGHTS)} AS w, CASE WHEN module IN {tuple(PILLAR_WEIGHTS)} THEN 'ai' ELSE {_CASE('module', PILLAR_OF)} END AS pillar FROM r),
-        g AS (SELECT o_orderkey, pillar, sum(score * w) / sum(w) AS s, max(score) AS top FROM p WHERE pillar IS NOT NULL GROUP BY 1, 2),
+        e AS (SELECT *, o_orderkey % 13 = 0 AND module IN ('clip', 'content') AS err FROM p WHERE pillar IS NOT NULL),
+        x AS (SELECT *, bool_and(err) OVER (PARTITION BY o_orderkey, pillar) OR NOT err AS live FROM e),
+        g AS (SELECT o_orderkey, pillar, sum(score * w) FILTER (live) / sum(w) FILTER (live) AS s, max(score) FILTER (live) AS top, max(score) FILTER (o_orderkey % 11 <> 0) AS finding, bool_or(err) AS err FROM x GROUP BY 1, 2),
         v AS (SELECT *, round(CASE WHEN pillar = 'ai' THEN s WHEN pillar = 'modification' AND top < 0.4 THEN 0 ELSE top END, 6) AS risk FROM g)
-        SELECT o_orderkey, pillar, risk, CASE WHEN top >= 0.75 THEN 'Critical' WHEN top >= 0.5 THEN 'High' WHEN top >= 0.25 THEN 'Medium' ELSE 'Low' END AS level, risk >= 0.20 AS significant FROM v""",
+        SELECT o_orderkey, pillar, risk, CASE WHEN top >= 0.75 THEN 'Critical' WHEN top >= 0.5 THEN 'High' WHEN top >= 0.25 THEN 'Medium' ELSE 'Low' END AS level, risk >= 0.20 OR coalesce(finding >= 0.05, false) OR err AS significant FROM v""",
     "finding_categories": "WITH c AS (SELECT unnest(" + str(list(CATEGORIES)) + ") AS category), f AS (SELECT l_discount AS risk, CASE "
     + " ".join(f"WHEN {' OR '.join(f'starts_with({_CODE}, {p!r})' for p in ps)} THEN {c!r}" for c, ps in CATEGORIES.items())
-    + " END AS category FROM lineitem) SELECT category, count(risk) AS n, max(risk) AS top FROM c LEFT JOIN f USING (category) GROUP BY 1",
+    + " END AS category FROM lineitem), g AS (SELECT category, count(risk) AS n, max(risk) AS top FROM c LEFT JOIN f USING (category) GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n = 0, top DESC, category) AS place FROM g",
     "consensus_counts": _M + " SELECT o_orderkey, count(*) FILTER (score >= 0.30) AS n_high, count(*) FILTER (score < 0.20) AS n_low FROM r GROUP BY 1",
     "top_module_category": _M + """, t AS (SELECT o_orderkey, module, row_number() OVER (PARTITION BY o_orderkey ORDER BY score DESC, i) AS k FROM r WHERE score >= 0.40), j AS (SELECT o.o_orderkey, module FROM orders o LEFT JOIN t ON t.o_orderkey = o.o_orderkey AND k = 1)
         SELECT CASE WHEN module IN ('clip', 'ai_generation') THEN 'AI generation' WHEN module IN ('modification', 'deep_modification') THEN 'digital manipulation' ELSE 'metadata anomaly' END AS category, count(*) AS n FROM j GROUP BY 1""",
@@ -225,7 +249,7 @@ ORACLES = {
         b AS (SELECT l_orderkey, l_returnflag AS c, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem WHERE l_linenumber > 4)
         SELECT l_orderkey, count(*) AS n, count(l_partkey) AS n_described, coalesce(sum(l_partkey), 0)::BIGINT AS "check" FROM a LEFT JOIN b USING (l_orderkey, c, i) GROUP BY 1""",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1",
-    "point_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 7 LIMIT 1",
+    "point_lookup": "SELECT v AS viewer, o_orderkey, o_custkey, o_orderstatus FROM orders, (SELECT unnest(['administrator', 'owner']) AS v) WHERE o_orderkey = 7",
     "camel_or_snake": "SELECT CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_id % 10 END::INT AS value, count(*) AS n FROM events GROUP BY 1",
     "skipped_modules": _M + " SELECT module, count(*) AS n FROM r WHERE module NOT IN ('pixel', 'clip', 'text', 'mesorch', 'deep_modification') GROUP BY 1",
 }

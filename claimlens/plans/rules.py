@@ -116,24 +116,60 @@ def label_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("(truth = 'authentic' and score >= 0.65) or (truth = 'ai_generated' and score < 0.20)").groupBy("truth").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
-META_MODULES = list(MADE)
+#: The modules of the meta features, in their order, by the names used here.
+META_MODULES = ["clip", "dino", "organika", "pixel", "safe", "bfree", "rine", "modification", "mesorch", "prnu", "metadata", "document", "office", "text", "content"]
 
 
-def meta_features(scores: Column) -> Column:
-    """An array: score, its presence and its high flag of each module, products of pairs, and squares; absent modules are 0."""
-    v = [F.coalesce(scores[m], F.lit(0.0)) for m in META_MODULES]
-    base = [x for m, s in zip(META_MODULES, v) for x in (s, scores[m].isNotNull().cast("double"), (s >= 0.5).cast("double"))]
+def meta_features(risks: Column, confidences: Column, counts: Column) -> Column:
+    """165 features from maps of modules: risk, mean confidence and findings (ten at most, in tenths) of each, products of the risks of each two, and squares.
+
+    Modules that are absent or failed are 0.
+    """
+    get = lambda m, name: F.coalesce(m[name], F.lit(0.0))
+    v = [get(risks, m) for m in META_MODULES]
+    base = [x for m, s in zip(META_MODULES, v) for x in (s, get(confidences, m), F.least(get(counts, m), F.lit(10.0)) / 10)]
     cross = [v[i] * v[j] for i in range(len(v)) for j in range(i + 1, len(v))]
     return F.array(*base, *cross, *(x * x for x in v))
 
 
+N_FEATURES = len(META_MODULES) * 3 + len(META_MODULES) * (len(META_MODULES) + 1) // 2
+
+
+def dot(x: Column, weights: list[float]) -> Column:
+    return F.aggregate(F.zip_with(x, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+
+
+def logistic(logit: Column) -> Column:
+    """1 / (1 + exp(-x)) with x within 500."""
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), logit))))
+
+
+def class_probabilities(x: Column, binary: list[float], multi: dict[str, list[float]] | None = None) -> Column:
+    """Probabilities of authentic, ai_generated and tampered: a softmax of three dot products, or, with binary weights only, .6 and .4 of the rest."""
+    if multi is None:
+        p = logistic(dot(x, binary))
+        values = [1 - p, p * 0.6, p * 0.4]
+    else:
+        logits = [dot(x, multi[c]) for c in ("authentic", "ai_generated", "tampered")]
+        top = F.greatest(*logits)
+        exps = [F.exp(z - top) for z in logits]
+        values = [e / (exps[0] + exps[1] + exps[2]) for e in exps]
+    return F.struct(*(F.round(v, 4).alias(n) for v, n in zip(values, ("p_authentic", "p_ai", "p_tampered"))))
+
+
+#: Made weights (trained ones come with a model): alternately signed and falling, and one set for each class.
+BINARY = [(-1.0) ** i / (i + 1) for i in range(N_FEATURES)]
+MULTI = {c: [((i * (7 + 4 * k)) % 13 - 6) / 20 for i in range(N_FEATURES)] for k, c in enumerate(("authentic", "ai_generated", "tampered"))}
+
+
 def meta_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A logistic score of fixed weights 1/(i + 1) over the meta features, alternately signed."""
-    rows = scored_orders(spark, sf_dir).select("o_orderkey", meta_features(F.col("scores")).alias("x"))
-    n = 3 * len(META_MODULES) + len(META_MODULES) * (len(META_MODULES) + 1) // 2
-    weights = F.array(*(F.lit((-1.0) ** i / (i + 1)) for i in range(n)))
-    dot = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
-    return rows.select("o_orderkey", F.size("x").alias("n_features"), F.round(1 / (1 + F.exp(-dot)), 5).alias("p"))
+    """The meta model's score and probabilities of the inspections, by multinomial weights and by the fallback."""
+    k = F.col("o_orderkey")
+    scores = F.col("scores")
+    confidences, counts = F.transform_values(scores, lambda m, s: 0.5 + s / 2), F.transform_values(scores, lambda m, s: F.floor(s * 20).cast("double"))
+    rows = scored_orders(spark, sf_dir).select(k, meta_features(scores, confidences, counts).alias("x"))
+    rows = rows.select(k, F.size("x").alias("n_features"), F.round(logistic(dot(F.col("x"), BINARY)), 5).alias("p"), class_probabilities(F.col("x"), BINARY, MULTI).alias("m"), class_probabilities(F.col("x"), BINARY).alias("f"))
+    return rows.select("o_orderkey", "n_features", "p", "m.*", F.col("f.p_ai").alias("fallback_ai"))
 
 
 QUERIES = {f.__name__: f for f in (fuse_scores, verdict_probabilities, decision_engine, deterministic_verdict, severity_enforcement, inspection_risk, module_rollups, disagreement_uncertainty, label_cleaning, label_disagreement, meta_logistic)}
@@ -163,6 +199,9 @@ _FUSION = f"""
     z AS (SELECT *, greatest(0, least(1, o3))::DOUBLE AS o, CASE WHEN core + tampering > 0 THEN core / (core + tampering) ELSE 0.7 END AS sh FROM k)
 """
 
+_R = lambda m: f"coalesce({m}, 0)::DOUBLE" if m in MADE else "0::DOUBLE"
+_C = lambda m: f"coalesce(0.5 + {m} / 2, 0)::DOUBLE" if m in MADE else "0::DOUBLE"
+
 ORACLES = {
     "fuse_scores": _FUSION + """
         SELECT o_orderkey, round(o, 9) AS overall, round_even(100 * o, 0)::INT AS score100, CASE WHEN o >= 0.85 THEN 'Critical' WHEN o >= 0.40 THEN 'High' WHEN o >= 0.20 THEN 'Medium' ELSE 'Low' END AS level FROM z""",
@@ -221,8 +260,9 @@ ORACLES = {
         SELECT truth, count(*) AS n, round(sum(score), 4) AS total FROM s WHERE (truth = 'authentic' AND score >= 0.65) OR (truth = 'ai_generated' AND score < 0.20) GROUP BY 1""",
     "meta_logistic": f"""
         WITH s AS (SELECT o_orderkey, {_S} FROM orders),
-        v AS (SELECT o_orderkey, list_concat(
-                flatten([{', '.join(f'[coalesce({m}, 0), ({m} IS NOT NULL)::DOUBLE, (coalesce({m}, 0) >= 0.5)::DOUBLE]' for m in MADE)}]),
-                [{', '.join(f'coalesce({a}, 0) * coalesce({b}, 0)' for i, a in enumerate(MADE) for b in list(MADE)[i + 1:])}], [{', '.join(f'coalesce({m}, 0) * coalesce({m}, 0)' for m in MADE)}]) AS x FROM s)
-        SELECT o_orderkey, len(x)::INT AS n_features, round(1 / (1 + exp(-list_sum(list_transform(x, lambda y, i: y * pow(-1, i - 1) / i)))), 5) AS p FROM v""",
+        v AS (SELECT o_orderkey, list_concat([{', '.join(f'{_R(m)}, {_C(m)}, least(floor({_R(m)} * 20), 10) / 10' for m in META_MODULES)}],
+                [{', '.join(f'{_R(a)} * {_R(b)}' for i, a in enumerate(META_MODULES) for b in META_MODULES[i + 1:])}], [{', '.join(f'{_R(m)} * {_R(m)}' for m in META_MODULES)}]) AS x FROM s),
+        z AS (SELECT o_orderkey, len(x)::INT AS n, 1 / (1 + exp(-list_sum(list_transform(x, lambda y, i: y * pow(-1, i - 1) / i)))) AS p, {', '.join(f"list_sum(list_transform(x, lambda y, i: y * ((((i - 1) * {7 + 4 * k}) % 13) - 6) / 20)) AS z{k}" for k in range(3))} FROM v),
+        e AS (SELECT *, exp(z0 - greatest(z0, z1, z2)) AS e0, exp(z1 - greatest(z0, z1, z2)) AS e1, exp(z2 - greatest(z0, z1, z2)) AS e2 FROM z)
+        SELECT o_orderkey, n AS n_features, round(p, 5) AS p, round(e0 / (e0 + e1 + e2), 4) AS p_authentic, round(e1 / (e0 + e1 + e2), 4) AS p_ai, round(e2 / (e0 + e1 + e2), 4) AS p_tampered, round(p * 0.6, 4) AS fallback_ai FROM e""",
 }

@@ -105,6 +105,7 @@ def invoice_checks(docs: DataFrame) -> DataFrame:
     lines before it that have no such keyword.
     """
     pattern = F.lit("([0-9]{1,3}(?:[.,][0-9]{3})*[.,][0-9]{2})")
+    # Words that mark a line of totals.
     keyword = "(?i)\\b(ukupno|total|za\\s*platiti|iznos|sveukupno|suma|grand\\s*total|subtotal)\\b"
     lines = F.transform(
         F.split(F.coalesce("text", F.lit("")), "\n"),
@@ -120,8 +121,8 @@ def invoice_checks(docs: DataFrame) -> DataFrame:
 
 
 def hidden_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invisible characters in texts to which some are added by key."""
-    bad = F.repeat(F.lit("​﻿‮"), (F.col("doc_id") % 5).cast("int"))
+    """Invisible and format characters in texts to which some are added by key; of each five added, a byte order mark and a direction mark don't count."""
+    bad = F.repeat(F.lit("\u200b\ufeff\u202e\u00ad\u200e"), (F.col("doc_id") % 5).cast("int"))
     t = F.concat(F.coalesce("text", F.lit("")), bad)
     return table(spark, sf_dir, "documents").select("doc_id", tr.hidden_characters(t).alias("n_hidden"))
 
@@ -150,7 +151,7 @@ QUERIES = {
 
 _W = r"WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[^ \t\n\x0B\f\r]+') AS w FROM documents)"
 _G = r""", g AS (SELECT doc_id, t, w, CASE WHEN len(w) >= 4 THEN (len(w) - 3 - len(list_distinct([array_to_string(w[i:i+3], ' ') for i in range(1, len(w) - 2)]))) / (len(w) - 3) ELSE 0 END AS r,
-    CASE WHEN len(w) > 50 THEN len(list_distinct(w[1:1000])) / len(w[1:1000]) END AS ttr FROM d)"""
+    CASE WHEN len(w) > 50 THEN len(list_distinct(w)) / len(w) END AS ttr FROM d)"""
 _M = ", ".join(f"'{w}'" for w in tr.ENGLISH)
 
 ORACLES = {
@@ -159,8 +160,8 @@ ORACLES = {
     "text_stat_score": _W + _G + """, s AS (SELECT doc_id, round(0.85 * (0.20 * greatest(0, least(1, r / 0.05)) + coalesce(0.15 / (1 + exp(15 * (ttr - 0.42))), 0)) / (0.20 + CASE WHEN ttr IS NULL THEN 0 ELSE 0.15 END), 7) AS score FROM g WHERE length(trim(t, ' ')) >= 300)
         SELECT doc_id, score, CASE WHEN score > 0.70 THEN 'high' WHEN score > 0.45 THEN 'medium' WHEN score > 0.25 THEN 'low' END AS band FROM s""",
     "text_language_gate": _W + rf"""
-        SELECT lang, len(list_intersect(regexp_extract_all(lower(left(t, 2000)), '[^ \t\n\x0B\f\r]+'), [{_M}])) >= 4 AS english, length(trim(t, ' ')) >= 300 AS long_enough, count(*) AS n FROM d GROUP BY ALL""",
-    "word_chunk_counts": _W + """, c AS (SELECT doc_id, list_filter([array_to_string(w[i+1:i+500], ' ') for i in range(0, greatest(len(w), 1), 372)], lambda x: length(x) > 50)[1:20] AS c FROM d)
+        SELECT lang, len(list_intersect(regexp_extract_all(lower(t), '[^ \t\n\x0B\f\r]+'), [{_M}])) >= 4 AS english, length(trim(t, ' ')) >= 300 AS long_enough, count(*) AS n FROM d GROUP BY ALL""",
+    "word_chunk_counts": _W + """, c AS (SELECT doc_id, list_filter([array_to_string(w[i+1:i+500], ' ') for i in range(0, greatest(len(w), 1), 372)], lambda x: length(x) > 50) AS c FROM d)
         SELECT doc_id, len(c)::INT AS n_chunks, coalesce(length(c[1]), 0)::INT AS first_chars FROM c""",
     "id_checksum": """
         WITH d AS (SELECT c_custkey, lpad((c_custkey * 7919 + 104729)::VARCHAR, 11, '0') AS o FROM customer),
@@ -176,7 +177,7 @@ ORACLES = {
         k AS (SELECT l_orderkey, total, list_filter(i, lambda x: x >= 0.01 AND x < total) AS i FROM g),
         r AS (SELECT l_orderkey % 3 AS kind, len(i) AS n_items, round(abs(coalesce(list_sum(i), 0) - total) / total, 8) AS d FROM k)
         SELECT kind, CASE WHEN n_items >= 3 THEN CASE WHEN d > 0.05 THEN 0.75 WHEN d > 0.01 THEN 0.50 END END::DOUBLE AS risk, count(*) AS n, sum(n_items)::BIGINT AS items FROM r GROUP BY ALL""",
-    "hidden_chars": "SELECT doc_id, (3 * (doc_id % 5) + len(regexp_extract_all(coalesce(text, ''), '[​-‏﻿‪-‮⁦-⁩]')))::INT AS n_hidden FROM documents",
+    "hidden_chars": r"SELECT doc_id, (3 * (doc_id % 5) + len(regexp_extract_all(coalesce(text, ''), '\p{Cf}')) - len(regexp_extract_all(coalesce(text, ''), '[\x{FEFF}\x{200E}\x{200F}]')))::INT AS n_hidden FROM documents",
     "homoglyph_lines": """
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, '') || repeat('а', (doc_id % 5)::INT), chr(10))) AS s FROM documents),
         c AS (SELECT doc_id, len(regexp_extract_all(s, '[АВСЕНКМОРТХаеорсух]')) AS h, len(regexp_extract_all(s, '[A-z]')) AS a FROM l)

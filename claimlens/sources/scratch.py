@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir. Where that is unset (tests), a local folder is made and set."""
+    """A new folder under spark.checkpoint.dir. Where that is unset and Spark runs on this machine alone (tests), a local one is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.sparkContext.setCheckpointDir(root)

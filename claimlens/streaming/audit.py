@@ -30,17 +30,23 @@ def feed(spark: SparkSession, folder: str, glob: str = "events.parquet", late: s
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
-def latest_result(stream: DataFrame, name: str) -> DataFrame:
-    """The complete result of an aggregation over all available data: each micro-batch overwrites the table before it."""
+def latest_result(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key of an aggregation over all available data.
+
+    Update mode: a micro-batch has the rows that it changed, and goes to a folder of its own by number, so that a repeated one
+    replaces itself and nothing is rewritten; state behind the watermark is dropped.
+    """
     spark = stream.sparkSession
     path = scratch(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/result")
+        batch.write.mode("overwrite").parquet(f"{path}/result/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/result")
+    rows = spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])).option("basePath", f"{path}/result").parquet(f"{path}/result")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
 def ingest(stream: DataFrame, path: str, state: str, every: str | None = None):
@@ -61,10 +67,10 @@ def tumbling(stream: DataFrame, span: str) -> DataFrame:
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "event_type", "n", "total")
 
 
-def active_sessions(stream: DataFrame, span: str = "30 minutes", slide: str = "10 minutes") -> DataFrame:
-    """Distinct sessions in sliding windows."""
-    g = stream.groupBy(F.window("at", span, slide).alias("w")).agg(F.size(F.collect_set("user_id")).alias("sessions"))
-    return g.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "sessions")
+def session_windows(stream: DataFrame, span: str = "30 minutes", slide: str = "10 minutes") -> DataFrame:
+    """Events of each session in sliding windows: the state is a number for each session and window, no set of sessions."""
+    g = stream.groupBy(F.window("at", span, slide).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("bucket"), "user_id", "n")
 
 
 def limited(stream: DataFrame, span: str, allowed: int, key: Column | str = "user_id") -> DataFrame:
@@ -74,15 +80,17 @@ def limited(stream: DataFrame, span: str, allowed: int, key: Column | str = "use
 
 
 def stream_audit_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_result(tumbling(feed(spark, sf_dir), "6 hours"), "tumbling")
+    return latest_result(tumbling(feed(spark, sf_dir), "6 hours"), "tumbling", ["bucket", "event_type"])
 
 
 def stream_active_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_result(active_sessions(feed(spark, sf_dir)), "active")
+    """Distinct sessions in sliding windows of half an hour; a null session isn't one."""
+    rows = latest_result(session_windows(feed(spark, sf_dir)), "active", ["bucket", "user_id"])
+    return rows.groupBy("bucket").agg(F.count("user_id").cast("int").alias("sessions"))
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_result(limited(feed(spark, sf_dir), "1 day", 2), "limited")
+    return latest_result(limited(feed(spark, sf_dir), "1 day", 2), "limited", ["bucket", "user_id"])
 
 
 QUERIES = {f.__name__: f for f in (stream_audit_tumbling, stream_active_sessions, stream_rate_limit)}

@@ -48,11 +48,13 @@ def test_amounts(spark):
 
 def test_percentiles(spark):
     for n in (1, 4, 5, 10, 101):
-        df = spark.range(n).select(F.col("id").cast("double").alias("v"))
-        for p in (0.0, 0.5, 0.9, 0.99):
-            a, b = df.agg(c.nearest_rank("v", p), c.rounded_rank("v", p)).first()
-            assert (a, b) == (float(min(int(n * p), n - 1)), float(round(p * (n - 1))))
-    assert spark.range(0).select(F.col("id").alias("v")).agg(c.nearest_rank("v", 0.5)).first()[0] is None
+        df = spark.range(n).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
+        qs = {f"q{p}": p for p in (0.0, 0.5, 0.9, 0.99)}
+        nearest, rounded = c.ranks_of(df, ["g"], "v", qs, nearest=True).first(), c.ranks_of(df, ["g"], "v", qs).first()
+        for k, p in qs.items():
+            assert (nearest[k], rounded[k]) == (float(min(int(n * p), n - 1)), float(round(p * (n - 1))))
+    rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", None), ("b", None)], "g string, v double")
+    assert [tuple(r) for r in c.ranks_of(rows, ["g"], "v", {"m": 0.5}).collect()] == [("a", 1.0)]
 
 
 def test_small_functions(spark):
@@ -67,7 +69,7 @@ def test_text_rules(spark):
     zero, mixed = "a​‍﻿b", "аео latin letters\nplain"
     rows = [(zero,), (mixed,), ("the cat is on a mat and it was by that",), ("",)]
     got = values(spark, rows, "t string", tr.hidden_characters(F.col("t")), tr.mixed_script_lines(F.col("t")), tr.likely_english(F.col("t")), tr.ngram_repetition(tr.words(F.col("t"))))
-    assert got == [(3, 0, False, 0.0), (0, 1, False, 0.0), (0, 0, True, 0.0), (0, 0, False, 0.0)]
+    assert got == [(2, 0, False, 0.0), (0, 1, False, 0.0), (0, 0, True, 0.0), (0, 0, False, 0.0)]
     text = "One short sentence here. Another one follows it now! Is a third one long enough? Yes it is quite so. And here is the fifth of them all."
     n = [4, 5, 6, 5, 8]
     mean = sum(n) / 5
@@ -145,3 +147,36 @@ def test_ingest_is_idempotent(spark, tmp_path):
     for _ in range(2):
         stream.ingest(stream.feed(spark, str(src), "*.parquet"), f"{out}/t", f"{out}/s").awaitTermination()
     assert spark.read.parquet(f"{out}/t").count() == 1
+
+
+def test_sentences_split_before_capitals_only(spark):
+    """By the reference's class A-Z and U+0100-U+024F: before Š and Ȁ, not before é or É."""
+    rows = [("Prva recenica je ovo. Šesta recenica je ovo. Ȁnother sentence it is.",), ("Une phrase assez longue. État de la chose ici. état de la chose.",)]
+    assert [len(x[0]) for x in values(spark, rows, "t string", tr.sentences(F.col("t")))] == [3, 1]
+
+
+def test_format_characters_count(spark):
+    rows = [("a\u00adb\u2060c\u200b",), ("\ufeff\u200e\u200f",), ("\u202e\u2066x",)]
+    assert [x[0] for x in values(spark, rows, "t string", tr.hidden_characters(F.col("t")))] == [3, 0, 2]
+
+
+def test_dates(spark):
+    from claimlens.functions import dates
+
+    rows = [("2024:01:15 10:30:00",), ("2024-01-15T10:30:00+02:00",), (" 2024-01-15 10:30:00 ",), ("15.1.2024",), (None,)]
+    got = values(spark, rows, "t string", F.date_format(dates.exif_date(F.col("t")), "yyyy-MM-dd HH:mm:ss"))
+    assert [x[0] for x in got] == ["2024-01-15 10:30:00", "2024-01-15 08:30:00", "2024-01-15 10:30:00", None, None]
+    rows = [("D:20240115103000+01'00'",), ("202401151030Z",), ("D:20240115",), ("D:2024",), ("",)]
+    got = values(spark, rows, "t string", F.date_format(dates.pdf_date(F.col("t")), "yyyy-MM-dd HH:mm:ss"))
+    assert [x[0] for x in got] == ["2024-01-15 10:30:00", "2024-01-15 10:30:00", "2024-01-15 00:00:00", None, None]
+    got = values(spark, [("2024-01-15T10:30:00+02:00",), ("2024-01-15T10:30Z",), ("2024-01-15",)], "t string", F.date_format(dates.xmp_date(F.col("t")), "yyyy-MM-dd HH:mm:ss"))
+    assert [x[0] for x in got] == ["2024-01-15 10:30:00", "2024-01-15 10:30:00", "2024-01-15 00:00:00"]
+    got = values(spark, [("od 1.2.2024 do 31/12/2023, ne 31.02.2024 ni 1.1.1999",)], "t string", F.transform(dates.text_dates(F.col("t")), lambda d: F.date_format(d, "yyyy-MM-dd")))
+    assert got[0][0] == ["2024-02-01", "2023-12-31"]
+
+
+def test_bands_hold_all_near_values():
+    """Of eleven blocks of bits eight differences leave three untouched."""
+    from math import comb
+
+    assert comb(11, 3) == 165

@@ -85,3 +85,70 @@ def test_rollups(spark):
 def test_urgency_is_raised_only_from_below(spark):
     df = spark.createDataFrame([(None, 0.7), ("Low", 0.5), ("Medium", 0.9), (None, 0.1)], "u string, r double")
     assert [x[0] for x in df.select(decisions.escalated_urgency(F.col("u"), F.col("r"))).collect()] == ["Critical", "High", "Medium", None]
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, truth string, clip double, pixel double, mesorch double")
+
+
+def test_area_under_the_curve(spark):
+    from claimlens.plans.calibration import auc
+
+    one = [(i, "authentic", 0.1 * i, 0.0, 0.0) for i in range(4)]
+    assert auc(labels_of(spark, one)).first().auc == 0.5
+    # Scores .9 (AI), .8 (other), .7 (AI), .1 (other): points (0, .5), (.5, .5), (.5, 1), (1, 1); the areas add up to .25 + .5.
+    rows = [(1, "ai_generated", 0.9, 0, 0), (2, "authentic", 0.8, 0, 0), (3, "ai_generated", 0.7, 0, 0), (4, "tampered", 0.1, 0, 0)]
+    assert auc(labels_of(spark, [(a, b, c, float(d), float(e)) for a, b, c, d, e in rows])).first().auc == 0.75
+
+
+def test_derived_thresholds(spark):
+    from claimlens.plans.calibration import overrides
+
+    # Authentic maxima .01 to .10 and pixel as much: all percentiles are under their bounds. The best threshold is the first that parts the classes: .15.
+    rows = [(i, "authentic", 0.01 * i, 0.01 * i, 0.0) for i in range(1, 11)] + [(20, "ai_generated", 0.9, 0.9, 0.9)]
+    r = overrides(labels_of(spark, rows)).first()
+    assert (r.p75_top, r.p90_top, r.p95_pixel) == (0.08, 0.09, 0.1)
+    assert (r.cnn_dampening_threshold, r.independent_confirm, r.detector_high, r.risk_medium, r.risk_high) == (0.20, 0.20, 0.40, 0.15, 0.30)
+    # Maxima .50 to .95: the percentile 75 is element round(.75 * 9) = 7, .85; percentile 90 is element 8, .90, bounded to .50.
+    rows = [(i, "authentic", 0.50 + 0.05 * i, 0.3, 0.0) for i in range(10)] + [(20, "ai_generated", 0.6, 0.0, 0.0)]
+    r = overrides(labels_of(spark, rows)).first()
+    assert (r.cnn_dampening_threshold, r.independent_confirm, r.detector_high) == (0.85, 0.30, 0.50)
+
+
+def test_coverage(spark):
+    from claimlens.plans.calibration import coverage
+
+    rows = [("a", 0.5), ("a", 0.0), ("a", None), ("a", None), ("b", None), ("b", None), ("b", 0.2)]
+    got = {r.module: r for r in coverage(spark.createDataFrame(rows, "module string, score double"), "module", "score", F.lit(4)).collect()}
+    assert (got["a"].present, got["a"].nonzero, got["a"].mean, got["a"].stdev, got["a"].missing) == (2, 1, 0.25, 0.25, False)
+    assert (got["b"].present, got["b"].nonzero, got["b"].missing) == (1, 1, True)
+
+
+def test_subsampled_thresholds(spark):
+    from claimlens.plans.calibration import ghost
+
+    rows = [(i, "authentic", 0.05 * (i % 10), 0.0, 0.0) for i in range(50)] + [(100 + i, "ai_generated", 0.5 + 0.04 * (i % 10), 0.0, 0.0) for i in range(30)]
+    whole = {r.t: r for r in ghost(labels_of(spark, rows), samples=3, share=1.0).collect()}
+    # The samples are all rows: the classes are parted at 46 to 50 hundredths, where kappa is 1.
+    assert [t for t, r in whole.items() if r.optimal] == [46] and whole[50].median == whole[50].p5 == 1.0
+    # At 0 all are predicted: 30 of 80 are right, and so much is expected by chance.
+    assert whole[0].median == 0.0
+    some = {r.t: r for r in ghost(labels_of(spark, rows), samples=20).collect()}
+    assert len(some) == 101 and all(r.p5 <= r.median <= r.p95 for r in some.values())
+    assert [tuple(r) for r in ghost(labels_of(spark, rows), samples=20).orderBy("t").collect()] == [tuple(some[t]) for t in range(101)]
+
+
+def test_balanced_sample_counts(spark):
+    from claimlens.plans.calibration import balanced_sample, labelled
+
+    sf = "/root/testdata/sf0.01"
+    there = {r.truth: r["count"] for r in labelled(spark, sf).groupBy("truth").count().collect()}
+    got = {r.truth: r["count"] for r in balanced_sample(spark, sf).groupBy("truth").count().collect()}
+    assert got == {t: min(n, 50 if t == "authentic" else 25) for t, n in there.items()}
+
+
+def test_profiles():
+    assert (DEFAULT.critical, DEFAULT.high, DEFAULT.medium) == (0.85, 0.40, 0.20)
+    assert (CALIBRATED.cnn_dampening_threshold, CALIBRATED.independent_confirm, CALIBRATED.risk_high, CALIBRATED.boost_moderate_floor, CALIBRATED.boost_moderate_min_high) == (0.22, 0.22, 0.34, 0.55, 1)
+    with pytest.warns(UserWarning):
+        assert DEFAULT.overridden({"risk_high": "0.5", "nonsense": 1}).risk_high == 0.5
