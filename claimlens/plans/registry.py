@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from claimlens.streaming import audit as stream
 
-from . import admin, audit, calibration, crossfile, documents, entities, findings, rules, texts
+from . import admin, audit, calibration, crossfile, documents, entities, findings, metadata, rules, texts
 
-MODULES = [audit, admin, rules, calibration, crossfile, texts, documents, entities, findings, stream]
+MODULES = [audit, admin, rules, calibration, crossfile, texts, documents, entities, metadata, findings, stream]
 
 
 def queries() -> dict:

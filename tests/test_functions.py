@@ -180,3 +180,28 @@ def test_bands_hold_all_near_values():
     from math import comb
 
     assert comb(11, 3) == 165
+
+
+def test_writers(spark, tmp_path):
+    from claimlens.sources import writers
+
+    df = spark.createDataFrame([(1, "a"), (2, None)], "i int, t string")
+    writers.write_rows(df, f"{tmp_path}/j")
+    writers.write_rows(df, f"{tmp_path}/c", "csv")
+    assert sorted((r.i, r.t) for r in spark.read.json(f"{tmp_path}/j").collect()) == [(1, "a"), (2, None)]
+    assert sorted((r.i, r.t) for r in spark.read.option("header", True).csv(f"{tmp_path}/c").collect()) == [("1", "a"), ("2", None)]
+    with pytest.raises(ValueError):
+        writers.write_rows(df, f"{tmp_path}/x", "xml")
+    writers.save_weights(spark, f"{tmp_path}/w", ["a", "b"], [0.5, -1], 2)
+    assert writers.load_weights(spark, f"{tmp_path}/w", ["a", "b"]) == ([0.5, -1.0], 2.0)
+    with pytest.raises(ValueError):
+        writers.load_weights(spark, f"{tmp_path}/w", ["b", "a"])
+
+
+def test_marks_and_degrees(spark):
+    from claimlens.plans import metadata as m
+
+    got = values(spark, [(" Čćšž Đđ É ",), ("é",)], "t string", m.without_marks(F.col("t")))
+    assert [x[0] for x in got] == ["ccsz đđ e", "e"]
+    got = values(spark, [("[48, 51, 24]", "N"), ("[48/1, 51/2, 0]", "w"), ("[48]", "N"), ("[a, 1]", "N")], "t string, r string", m.dms_to_decimal(F.col("t"), F.col("r")))
+    assert got[0][0] == pytest.approx(48.856666667) and got[1][0] == pytest.approx(-48.425) and got[2][0] is None and got[3][0] is None
