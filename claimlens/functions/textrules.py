@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlens.functions.columns import mod_11_10, mod_97_iban, sigmoid
 
@@ -24,6 +28,7 @@ HOMOGLYPHS = "0410 0412 0421 0415 041D 041A 041C 041E 0420 0422 0425 0430 0435 0
 #: Numbers of 11 digits that are no identifiers.
 TRIVIAL = ["01234567890", "12345678901", "00000000000"]
 
+_WORD = re.compile(r"[^ \t\n\x0B\f\r]+")
 _CLASS = lambda codes: "[" + "".join(f"\\x{{{c}}}" for c in codes.split()) + "]"
 
 
@@ -42,12 +47,23 @@ def likely_english(text: Column, first: int | None = None) -> Column:
     return F.size(F.array_intersect(words(head), F.array(*map(F.lit, ENGLISH)))) >= 4
 
 
-def ngram_repetition(w: Column, n: int = 4) -> Column:
-    """Share of n-grams that repeat an earlier one; 0 for fewer than n words. N-grams are told apart by 64-bit hashes."""
-    total = F.size(w) - (n - 1)
-    shifted = [F.slice(w, i + 1, F.greatest(total, F.lit(0))).alias(f"g{i}") for i in range(n)]
-    grams = F.transform(F.arrays_zip(*shifted), lambda g: F.xxhash64(g))
-    return F.when(total >= 1, (total - F.size(F.array_distinct(grams))) / total).otherwise(0.0)
+def word_statistics(text: Column, n: int = 4) -> Column:
+    """repetition, the share of n-grams of words that repeat an earlier one (0 for fewer than n words), and ttr, the share of distinct
+    words (null for 50 words or fewer), of each whole text; a null text has no words.
+
+    An Arrow batch function: the JVM's array functions are interpreted per element, and take ten times as long.
+    """
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            w = _WORD.findall(t or "")
+            grams = len(w) - n + 1
+            rows.append(((grams - len(set(zip(*(w[i:] for i in range(n)))))) / grams if grams > 0 else 0.0, len(set(w)) / len(w) if len(w) > 50 else None))
+        return pd.DataFrame(rows, columns=["repetition", "ttr"], dtype="float64")
+
+    kind = T.StructType([T.StructField("repetition", T.DoubleType()), T.StructField("ttr", T.DoubleType())])
+    return F.pandas_udf(run, kind)(F.lower(text))
 
 
 def type_token_ratio(w: Column, first: int | None = None) -> Column:

@@ -65,7 +65,7 @@ def group_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("case_id")
     r = case_scores(spark, sf_dir).withColumns({"mu": F.avg("s").over(w), "sigma": F.stddev_pop("s").over(w), "n": F.count("*").over(w)})
     hit = (F.col("n") >= 3) & (F.col("sigma") > 0.05) & (F.col("s") > 0.5) & (F.abs(F.col("s") - F.col("mu")) > 2 * F.col("sigma") + 1e-9)
-    return r.where(hit).select("case_id", "file", F.round("s", 6).alias("score"))
+    return r.where(hit).select("case_id", "file", F.round("s", 7).alias("score"))
 
 
 def all_high_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ ORACLES = {
         p AS (SELECT a.case_id, a.vec_id AS i, b.vec_id AS j, row_number() OVER (PARTITION BY a.case_id ORDER BY a.vec_id, b.vec_id) AS r FROM f a JOIN f b ON a.case_id = b.case_id AND a.vec_id < b.vec_id AND (abs(a.lat - b.lat) > 5 OR abs(a.lon - b.lon) > 5))
         SELECT case_id, i AS vec_id_i, j AS vec_id_j FROM p WHERE r = 1""",
     "group_outliers": _S + """, w AS (SELECT *, avg(s) OVER c AS mu, stddev_pop(s) OVER c AS sigma, count(*) OVER c AS n FROM s WINDOW c AS (PARTITION BY case_id))
-        SELECT case_id, file, round(s, 6) AS score FROM w WHERE n >= 3 AND sigma > 0.05 AND s > 0.5 AND abs(s - mu) > 2 * sigma + 1e-9""",
+        SELECT case_id, file, round(s, 7) AS score FROM w WHERE n >= 3 AND sigma > 0.05 AND s > 0.5 AND abs(s - mu) > 2 * sigma + 1e-9""",
     "all_high_cases": _S + " SELECT case_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 3 AND min(s) >= 0.5",
     "same_source_mode": _S + """, g AS (SELECT case_id, l_suppkey % 3 AS source, count(*) AS n, min(file) AS first FROM s WHERE s >= 0.1 GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first, source) AS r FROM g WHERE n >= 2) SELECT case_id, source, n FROM r WHERE r = 1""",

@@ -13,12 +13,12 @@ from claimlens.sources.tables import table
 def text_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, repetition, ttr and cv of each text; a null text counts as empty."""
     t = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", t.alias("text"), tr.words(t).alias("w")).select("doc_id", tr.ngram_repetition(F.col("w")).alias("repetition"), tr.type_token_ratio(F.col("w")).alias("ttr"), tr.sentence_length_cv(F.col("text")).alias("cv"))
+    return docs.select("doc_id", tr.word_statistics(t).alias("s"), tr.sentence_length_cv(t).alias("cv")).select("doc_id", "s.repetition", "s.ttr", "cv")
 
 
 def text_ngram_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tr.words(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("w")).select("doc_id", F.round(tr.ngram_repetition(F.col("w")), 8).alias("repetition"))
+    s = table(spark, sf_dir, "documents").select("doc_id", tr.word_statistics(F.col("text")).alias("s"))
+    return s.select("doc_id", F.round("s.repetition", 8).alias("repetition"))
 
 
 def text_ttr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def text_stat_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistical score of long enough texts without sentence lengths, discounted as there is no classifier, and its band."""
     t = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", t.alias("text")).where(tr.long_enough(F.col("text")))
-    rows = docs.select("doc_id", tr.words(F.col("text")).alias("w"))
-    s = tr.combined(tr.statistical_score(tr.ngram_repetition(F.col("w")), tr.type_token_ratio(F.col("w"))), F.lit(None).cast("double"))
+    rows = docs.select("doc_id", tr.word_statistics(F.col("text")).alias("w"))
+    s = tr.combined(tr.statistical_score(F.col("w.repetition"), F.col("w.ttr")), F.lit(None).cast("double"))
     return rows.select("doc_id", F.round(s, 7).alias("score")).withColumn("band", tr.text_band(F.col("score")))
 
 

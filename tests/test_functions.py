@@ -68,7 +68,7 @@ def test_small_functions(spark):
 def test_text_rules(spark):
     zero, mixed = "a​‍﻿b", "аео latin letters\nplain"
     rows = [(zero,), (mixed,), ("the cat is on a mat and it was by that",), ("",)]
-    got = values(spark, rows, "t string", tr.hidden_characters(F.col("t")), tr.mixed_script_lines(F.col("t")), tr.likely_english(F.col("t")), tr.ngram_repetition(tr.words(F.col("t"))))
+    got = values(spark, rows, "t string", tr.hidden_characters(F.col("t")), tr.mixed_script_lines(F.col("t")), tr.likely_english(F.col("t")), tr.word_statistics(F.col("t"))["repetition"])
     assert got == [(2, 0, False, 0.0), (0, 1, False, 0.0), (0, 0, True, 0.0), (0, 0, False, 0.0)]
     text = "One short sentence here. Another one follows it now! Is a third one long enough? Yes it is quite so. And here is the fifth of them all."
     n = [4, 5, 6, 5, 8]
