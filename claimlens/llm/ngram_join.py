@@ -242,13 +242,13 @@ def tries(signs: DataFrame, least: int, j: Join) -> DataFrame:
     return stored(pairs.groupBy("a", "b").agg(F.max("depth").alias("depth")), "forest")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """v and root, one id of its component, for each end of the edges (a, b); by repeated contraction.
+def components(edges: DataFrame, name: str) -> DataFrame | None:
+    """v and root, one id of its component, for each end of the edges (a, b); by repeated contraction. None without edges.
 
     Each round orders the vertices anew by a hash, maps each to the first of its neighbours and itself and on to where that one
     is mapped, and keeps the edges between different images. Whatever the ids and the shape of the graph (chains, stars), it
     shrinks by a constant factor on average, so the rounds grow with the logarithm of its size. Only aggregates and joins are
-    used, and each round is stored.
+    used, and the graph that is left is stored after each round.
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(both(edges.where("a != b")).distinct(), f"{name}-edges")
@@ -256,17 +256,30 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     while not edges.isEmpty():
         place = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
         first = edges.groupBy("a").agg(F.min(place("b")).alias("b")).select("a", F.least(F.col("b"), place("a"))["id"].alias("to"))
-        first = stored(first, f"{name}-step")
         step = stored(first.join(first.select(F.col("a").alias("to"), F.col("to").alias("on")), "to").select("a", F.col("on").alias("to")), f"{name}-step")
         if roots is None:
             roots = step.select(F.col("a").alias("v"), F.col("to").alias("root"))
         else:
-            on = step.select(F.col("a").alias("root"), "to")
-            roots = stored(roots.join(on, "root", "left").select("v", F.coalesce("to", "root").alias("root")), f"{name}-roots")
+            roots = roots.join(step.select(F.col("a").alias("root"), "to"), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
         left, right = step.select("a", F.col("to").alias("ta")), step.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         edges = stored(edges.join(left, "a").join(right, "b").where("ta != tb").select(F.col("ta").alias("a"), F.col("tb").alias("b")).distinct(), f"{name}-edges")
         turn += 1
-    return roots if roots is not None else edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    if turn > 1:
+        roots = stored(roots, f"{name}-roots")
+    return roots
+
+
+def across(edges: DataFrame, groups: DataFrame) -> DataFrame:
+    """The edges between the roots of their ends' groups; an end without a group is its own root."""
+    a, b = groups.select(F.col("v").alias("a"), F.col("root").alias("ra")), groups.select(F.col("v").alias("b"), F.col("root").alias("rb"))
+    return edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+
+
+def united(groups: DataFrame, over: DataFrame) -> DataFrame:
+    """groups after their roots, and rows without a group, were put together by over."""
+    on = over.select(F.col("v").alias("root"), F.col("root").alias("top"))
+    moved = groups.join(on, "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(over.join(groups.select("v"), "v", "left_anti").select("v", "root"))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -371,7 +384,6 @@ def round_of(groups: DataFrame, before: DataFrame | None, reps: DataFrame, sets:
         members = members.withColumn("seen", F.col("rep"))
     else:
         members = members.join(before.select(F.col("v").alias("rep"), F.col("root").alias("seen")), "rep", "left").withColumn("seen", F.coalesce("seen", "rep"))
-    members = stored(members, "members")
     blocks = F.ceil(F.greatest(F.count("*") / j.block_rows, F.sum("n") / j.block_shingles)).cast("int")
     sizes = members.groupBy("grp").agg(blocks.alias("blocks"), F.min("seen").alias("one"), F.max("seen").alias("other"))
     sizes = sizes.where("one != other").drop("one", "other")  # else every pair has been seen
@@ -392,7 +404,8 @@ def round_of(groups: DataFrame, before: DataFrame | None, reps: DataFrame, sets:
 
 def shingle_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, j: Join, text: str) -> DataFrame:
     """rep and members, the stored shingle set, of the reps in wanted; each is read from the one document that stands for it."""
-    carriers = reps.join(wanted, "rep", "left_semi").select("rep", F.col("doc_id").alias("_id"), "text_hash")
+    # Stored, so that its size is known when the join with the texts is planned: texts are shuffled only if it is large.
+    carriers = stored(reps.join(wanted, "rep", "left_semi").select("rep", F.col("doc_id").alias("_id"), "text_hash"), "carriers")
     rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
     rows = rows.join(carriers, (F.col("_hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "text")
 
@@ -437,17 +450,16 @@ def similar_texts(docs: DataFrame, text: str = "text", j: Join = Join(), class_k
     links, groups = [], None
     for depth in steps:
         new = edges.where(F.col("depth") == depth).select("a", "b")
-        before, groups = groups, components(new.union(groups.select("v", "root")) if groups else new, f"depth-{depth}")
-        links.append(round_of(groups, before, reps, sets, steps[-1], j))
-    found = reduce(DataFrame.unionByName, links)
+        over = components(new if groups is None else across(new, groups), f"depth-{depth}")
+        if over is not None:  # else no group has grown
+            before, groups = groups, over if groups is None else united(groups, over)
+            links.append(round_of(groups, before, reps, sets, steps[-1], j))
+    found = reduce(DataFrame.unionByName, links) if links else docs.sparkSession.createDataFrame([], "rep long, links long, root long")
     classes = components(found.where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")), "classes")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_set = (
-        reps.select(*one, "rep", "copies")
-        .join(counts, "rep", "left")
-        .join(classes.withColumnRenamed("v", "rep"), "rep", "left")
-        .select(*one, F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
+    per_set = reps.select(*one, "rep", "copies").join(counts, "rep", "left")
+    per_set = per_set.withColumn("root", F.col("rep")) if classes is None else per_set.join(classes.withColumnRenamed("v", "rep"), "rep", "left")
+    per_set = per_set.select(*one, F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     per_set = stored(per_set, "per-set")
     ids = named.where("n > 0").groupBy(*one).agg(F.min("doc_id").alias("least"))
     smallest = ids.join(per_set, one).groupBy("root").agg(F.min("least").alias("class_id"), F.min("set_a").alias("class_key"))
