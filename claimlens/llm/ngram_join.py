@@ -44,6 +44,10 @@ class Join:
     seed: int = 11
 
 
+#: Bits of the bitmap of text hashes whose texts are read again: 4 MB at most.
+SLOTS = 1 << 25
+
+
 def found_share(s: float, depth: int, j: Join) -> float:
     """The probability that a link of similarity s is in a node at this depth."""
     return 1 - (1 - s**depth) ** j.trees
@@ -399,15 +403,22 @@ def round_of(groups: DataFrame, before: DataFrame | None, reps: DataFrame, sets:
         ends = ends.union(pairs.where("low != high").select("grp", F.col("high").alias("block"), "cell", F.lit(True).alias("across")))
         placed = placed.join(ends, ["grp", "block"]).select(F.col("cell").alias("bundle"), "cell", "block", "across", "seen", "rep", "copies")
         small = small.unionByName(placed)
-    return stored(verified(small.join(sets, "rep"), j), "links")
+    return stored(verified(small.join(sets.hint("merge"), "rep"), j), "links")
 
 
 def shingle_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, j: Join, text: str) -> DataFrame:
     """rep and members, the stored shingle set, of the reps in wanted; each is read from the one document that stands for it."""
-    # Stored, so that its size is known when the join with the texts is planned: texts are shuffled only if it is large.
     carriers = stored(reps.join(wanted, "rep", "left_semi").select("rep", F.col("doc_id").alias("_id"), "text_hash"), "carriers")
-    rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
-    rows = rows.join(carriers, (F.col("_hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "text")
+    # A bitmap of the wanted hashes, SLOTS bits at most, keeps other texts from being shuffled; where there are so many
+    # that it is full, all texts are, and the result is the same.
+    slot = lambda c: F.pmod(F.col(c), F.lit(SLOTS))
+    marks = carriers.groupBy(F.bitmap_bucket_number(slot("text_hash")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("text_hash"))).alias("bits"))
+    rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("_hash")).withColumn("_bit", F.bitmap_bit_position(slot("_hash")))
+    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number(slot("_hash")) == F.col("bucket"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    rows = rows.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1)
+    # Always by a shuffle of what is left, so that plans are alike at every size.
+    rows = rows.join(carriers.hint("merge"), (F.col("_hash") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("rep", "text")
 
     def run(batches):
         for batch, texts in text_batches(batches, "text"):
