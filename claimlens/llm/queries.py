@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, language_model, media, ngram_join, packing, quality, rollups, toxicity, warc
+from . import bpe, chat, divergence, language_model, media, ngram_join, packing, quality, rollups, toxicity, warc
 from .common import scratch, stored, table
 
 
@@ -100,7 +100,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(fixed)))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, rollups_of_words, op10_chat_format)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, rollups_of_words, op10_chat_format, op12_source_divergence)}
 
 
 def _escapes(column: str) -> str:
@@ -108,6 +112,8 @@ def _escapes(column: str) -> str:
     return " + ".join(f"(length({column}) - length(replace({column}, '{c}', ''))) // {len(c)}" for c in ["\\", *chat.CONTROL])
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -129,4 +135,20 @@ ORACLES = {
                sum(length(r) + length(t) + 10 + {_escapes('r')} + {_escapes('t')})::BIGINT AS formatted_chars,
                false AS rewrites_history
         FROM c GROUP BY conv_id""",
+    "op12_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
+             tok AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+             kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             c AS (SELECT g.lang, g.source, k.term, count(t.id) AS n FROM g JOIN kept k ON k.lang = g.lang
+                   LEFT JOIN tok t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term GROUP BY ALL),
+             p AS (SELECT *, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM c),
+             l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+             q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 1) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM l),
+             pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+                       FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+                       UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM kept)),
+             terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms)
+        QUALIFY part = 'pair' OR rank <= 200""",
 }
