@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, language_model, media, ngram_join, packing, quality, rollups, toxicity, warc
+from . import bpe, chat, divergence, language_model, media, ngram_join, packing, pii, quality, rollups, toxicity, warc
 from .common import scratch, stored, table
 
 
@@ -104,7 +104,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, rollups_of_words, op10_chat_format, op12_source_divergence)}
+def op13_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, rollups_of_words, op10_chat_format, op12_source_divergence, op13_pii_spans)}
 
 
 def _escapes(column: str) -> str:
