@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, divergence, language_model, media, ngram_join, packing, pii, quality, rollups, toxicity, warc
+from . import bpe, chat, divergence, language_model, lexical, media, ngram_join, packing, pii, quality, rollups, toxicity, warc
 from .common import scratch, stored, table
 
 
@@ -100,6 +100,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(turns.unionByName(fixed)))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -108,7 +112,7 @@ def op13_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, rollups_of_words, op10_chat_format, op12_source_divergence, op13_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_media_fingerprints, op2_quality_rules, op3_byte_bpe, op4_toxicity, op5_ngram_join, op6_best_fit_packing, op7_lm_scores, op8_warc, op9_token_rollups, rollups_of_words, op10_chat_format, op11_lexical_search, op12_source_divergence, op13_pii_spans)}
 
 
 def _escapes(column: str) -> str:
@@ -139,6 +143,17 @@ ORACLES = {
                sum(length(r) + length(t) + 10 + {_escapes('r')} + {_escapes('t')})::BIGINT AS formatted_chars,
                false AS rewrites_history
         FROM c GROUP BY conv_id""",
+    "op11_lexical_search": f"""
+        WITH tok AS (SELECT id, doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+                     FROM (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents)),
+             tf AS (SELECT id, doc_id, term, count(*)::BIGINT AS tf FROM tok GROUP BY ALL),
+             n AS (SELECT id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+             c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+             w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term, docs),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+             s AS (SELECT item_id, doc_id, id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+                   FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (id), c GROUP BY ALL)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 50""",
     "op12_source_divergence": f"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t FROM documents),
              tok AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
