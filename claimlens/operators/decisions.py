@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.config import DEFAULT, FRAUD_CAUSES, Profile
+
 #: The decision rules' names in the order of the trace.
 RULES = ["critical_risk", "critical_finding", "safety", "high_risk", "severe_finding", "many_findings", "medium_risk", "ai_detection", "cross_validation", "upload"]
 
@@ -35,12 +37,13 @@ def decided(df: DataFrame) -> DataFrame:
     return df.withColumn("trace", trace).withColumn("outcome", F.when(escalate, "Escalate").when(review | (cnn >= 0.50), "HumanReview").otherwise("AutoApprove"))
 
 
-def verdict(risk: Column) -> Column:
-    return F.when(risk >= 0.85, "forged").when(risk >= 0.40, "suspicious").otherwise("authentic")
+def verdict(risk: Column, profile: Profile = DEFAULT) -> Column:
+    return F.when(risk >= profile.verdict.forged_risk, "forged").when(risk >= profile.verdict.suspicious_risk, "suspicious").otherwise("authentic")
 
 
-def urgency(risk: Column) -> Column:
-    return F.when(risk >= 0.85, "Critical").when(risk >= 0.40, "High").when(risk >= 0.15, "Medium").otherwise("Low")
+def urgency(risk: Column, profile: Profile = DEFAULT) -> Column:
+    v = profile.verdict
+    return F.when(risk >= v.urgency_critical, "Critical").when(risk >= v.urgency_high, "High").when(risk >= v.urgency_medium, "Medium").otherwise("Low")
 
 
 def escalated_urgency(now: Column, risk: Column) -> Column:
@@ -49,30 +52,64 @@ def escalated_urgency(now: Column, risk: Column) -> Column:
     return F.when(open_ & (risk >= 0.65), "Critical").when(open_ & (risk >= 0.40), "High").otherwise(now)
 
 
-def enforced(severity: Column, safety: Column, fraud_cause: Column, authentic: Column, risk: Column, upload: Column) -> Column:
-    """Severity and safety rating of a finding as a risk at least demands, as a struct."""
+def effective_risk(overall: Column, module_risks: Column) -> Column:
+    """A missing or zero overall risk gives way to the largest of the modules' (an array, null for those with an error)."""
+    known = F.coalesce(overall, F.lit(0.0))
+    return F.when(known == 0, F.coalesce(F.array_max(module_risks), F.lit(0.0))).otherwise(known)
+
+
+#: Causes that call a picture authentic, without diacritics and in lower case.
+AUTHENTIC_CAUSES = ["autenticno", "autenticna", "authentic", "autenticni", "autentican", "autenticnost"]
+
+
+def is_authentic(cause: Column) -> Column:
+    return F.coalesce(F.translate(F.lower(F.trim(cause)), "čćžš", "cczs").isin(AUTHENTIC_CAUSES), F.lit(False))
+
+
+#: What a cause of authenticity becomes at a high risk, and what its description gains.
+RELABELLED, REMARK = "Metadata anomalija", " [Forenzicki moduli ukazuju na visok rizik manipulacije.]"
+
+
+def enforced(severity: Column, safety: Column, cause: Column, risk: Column, upload: Column, profile: Profile = DEFAULT) -> Column:
+    """Severity, safety rating, cause and remark of a finding as a risk at least demands, as a struct; an upload has lower thresholds.
+
+    A null cause is neither fraud nor authentic. The remark is what the description gains, empty where the finding isn't relabelled.
+    """
+    e = profile.enforcement
     cut = lambda a, b: F.when(upload, a).otherwise(b)
-    critical, high, medium = risk >= cut(0.50, 0.65), risk >= cut(0.30, 0.40), risk >= cut(0.12, 0.20)
-    small = severity.isin("Minor", "Moderate")
+    critical, high, medium = risk >= cut(e.upload_critical, e.critical), risk >= cut(e.upload_high, e.high), risk >= cut(e.upload_medium, e.medium)
+    fraud, authentic, small = F.coalesce(cause.isin(FRAUD_CAUSES), F.lit(False)), is_authentic(cause), severity.isin("Minor", "Moderate")
+    relabelled = authentic & high
     new_severity = (
-        F.when(fraud_cause & critical, "Critical")
-        .when(fraud_cause & high & small, "Severe")
-        .when(fraud_cause & medium & ~high & (severity == "Minor"), "Moderate")
-        .when(~fraud_cause & ~authentic & critical & small, "Severe")
-        .when(authentic & high & critical, "Severe")
-        .when(authentic & high, "Moderate")
-        .when(~fraud_cause & high & (safety == "Safe") & (severity == "Minor"), "Moderate")
+        F.when(relabelled, F.when(critical, "Severe").otherwise("Moderate"))
+        .when(fraud & critical, "Critical")
+        .when(critical & small, "Severe")
+        .when(fraud & high & small, "Severe")
+        .when(fraud & medium & ~high & (severity == "Minor"), "Moderate")
+        .when(high & (safety == "Safe") & (severity == "Minor"), "Moderate")
         .otherwise(severity)
     )
     new_safety = (
-        F.when(fraud_cause & critical, "Critical")
-        .when(fraud_cause & high & (safety == "Safe"), "Critical")
-        .when(fraud_cause & medium & ~high & (safety == "Safe"), "Warning")
+        F.when(relabelled, "Warning")
+        .when(fraud & critical, "Critical")
+        .when(critical & (safety == "Safe"), "Warning")
+        .when(fraud & high & (safety == "Safe"), "Critical")
+        .when(fraud & medium & ~high & (safety == "Safe"), "Warning")
         .when(high & (safety == "Safe"), "Warning")
-        .when(authentic & high, "Warning")
         .otherwise(safety)
     )
-    return F.struct(new_severity.alias("severity"), new_safety.alias("safety"))
+    return F.struct(
+        new_severity.alias("severity"), new_safety.alias("safety"), F.when(relabelled, RELABELLED).otherwise(cause).alias("cause"), F.when(relabelled, REMARK).otherwise("").alias("remark")
+    )
+
+
+def enforced_urgency(now: Column, risk: Column, upload: Column, profile: Profile = DEFAULT) -> Column:
+    """An urgency as a risk at least demands; a medium risk raises a low one only."""
+    e = profile.enforcement
+    cut = lambda a, b: F.when(upload, a).otherwise(b)
+    return (
+        F.when(risk >= cut(e.upload_critical, e.critical), "Critical").when(risk >= cut(e.upload_high, e.high), "High").when((risk >= cut(e.upload_medium, e.medium)) & (now == "Low"), "Medium").otherwise(now)
+    )
 
 
 def label_suggestion(truth: Column, risk: Column, ai_high: Column, tamper_high: Column) -> Column:

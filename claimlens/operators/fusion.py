@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens.config import CORE_WEIGHTS, DEFAULT, Thresholds
+from claimlens.config import CORE_WEIGHTS, DEFAULT, Profile
 from claimlens.functions.columns import clamp01, fused_band
 
 #: Finding codes of the metadata module that change the score.
@@ -26,10 +26,10 @@ def _or_zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0.0))
 
 
-def fused(df: DataFrame, scores: str = "scores", codes: str = "codes", meta: Column | None = None, blend: float = 0.30, bands: Thresholds = DEFAULT) -> DataFrame:
+def fused(df: DataFrame, scores: str = "scores", codes: str = "codes", meta: Column | None = None, blend: float = 0.30, profile: Profile = DEFAULT) -> DataFrame:
     """df with core, tampering, overall, score100, level, p_authentic, p_ai and p_tampered.
 
-    meta, if given, is blended in at a share of blend where it isn't null and the score is between .15 and .85.
+    All thresholds are the profile's. meta, if given, is blended in at a share of blend where it isn't null and the score is between .15 and .85.
     No module at all gives 0, 0, Low and null probabilities.
     """
     # Each score is looked up once; the rules then are over plain columns.
@@ -37,38 +37,39 @@ def fused(df: DataFrame, scores: str = "scores", codes: str = "codes", meta: Col
     df = df.withColumns({f"_s_{n}": F.col(scores)[n] for n in names})
     s = {n: F.col(f"_s_{n}") for n in names}
     has = lambda code: F.array_contains(codes, code)
+    t = profile.fusion
 
     # The part of a lone detector is damped when the independent ones stay low.
     df = df.withColumn("_m", _or_zero(F.greatest(s["clip"], s["organika"], s["pixel"], s["community"])))
-    damp = F.when(F.col("_m") >= 0.35, 1.0).otherwise(0.30 + 0.70 * F.col("_m") / 0.35)
+    damp = F.when(F.col("_m") >= t.cnn_dampening_threshold, 1.0).otherwise(t.cnn_dampening_floor + (1 - t.cnn_dampening_floor) * F.col("_m") / t.cnn_dampening_threshold)
     parts = {n: (s[n] * damp if n == "dino" else s[n]) for n in CORE_WEIGHTS}
     weight = reduce(lambda a, b: a + b, [F.when(s[n].isNotNull(), w).otherwise(0.0) for n, w in CORE_WEIGHTS.items()])
     total = reduce(lambda a, b: a + b, [_or_zero(parts[n] * w) for n, w in CORE_WEIGHTS.items()])
     df = df.withColumn("_core", F.when(weight > 0, total / weight).otherwise(0.0))
 
-    core = F.when(has(PROVENANCE_VALID), F.col("_core") * 0.5).otherwise(F.col("_core"))
+    core = F.when(has(PROVENANCE_VALID), F.col("_core") * t.c2pa_factor).otherwise(F.col("_core"))
     backed = _count(*(s[n] >= 0.25 for n in CORE_WEIGHTS if n != "pixel")) > 0
     named = F.when(backed, F.greatest(core, F.lit(0.75))).otherwise(F.greatest(core, F.least(core + 0.15, F.lit(0.50))))
-    df = df.withColumn("core", F.when(has(AI_TOOL), F.greatest(core, F.lit(0.90))).when(has(AI_FILENAME), named).otherwise(core))
+    df = df.withColumn("core", F.when(has(AI_TOOL), F.greatest(core, F.lit(t.ai_metadata_floor))).when(has(AI_FILENAME), named).otherwise(core))
 
-    signals = F.array_compact(F.array(F.when(s["deep_modification"] >= 0.55, s["deep_modification"]), F.when(s["mesorch"] >= 0.40, s["mesorch"]), F.when(s["modification"] >= 0.50, s["modification"] * 0.80)))
+    signals = F.array_compact(F.array(F.when(s["deep_modification"] >= t.deep_mod_min, s["deep_modification"]), F.when(s["mesorch"] >= t.mesorch_min, s["mesorch"]), F.when(s["modification"] >= t.ela_min, s["modification"] * t.ela_scale)))
     df = df.withColumn("_t", signals)
     top = F.array_max("_t")
-    df = df.withColumn("tampering", F.when(F.size("_t") >= 2, top).when((F.size("_t") == 1) & (top >= 0.50), top * 0.85).otherwise(0.0))
+    df = df.withColumn("tampering", F.when(F.size("_t") >= 2, top).when((F.size("_t") == 1) & (top >= t.single_tamp_min), top * t.single_tamp_scale).otherwise(0.0))
 
-    overall = F.greatest("core", "tampering", F.when(s["text"] >= 0.50, s["text"]).otherwise(0.0), F.when(s["content"] >= 0.40, s["content"]).otherwise(0.0))
+    overall = F.greatest("core", "tampering", F.when(s["text"] >= t.text_ai_min, s["text"]).otherwise(0.0), F.when(s["content"] >= t.content_val_min, s["content"]).otherwise(0.0))
     reliable = [s[n] for n in ("clip", "organika", "community", "dino", "pixel")]
-    h_non = _count(*(s[n] >= 0.45 for n in ("clip", "organika", "community", "pixel")))
-    h = _count(s["dino"] >= 0.45) + h_non
-    low = _count(*(x < 0.15 for x in reliable))
-    ind, strong = (_count(*(s[n] >= t for n in ("organika", "community", "pixel"))) for t in (0.25, 0.40))
+    h_non = _count(*(s[n] >= t.detector_high for n in ("clip", "organika", "community", "pixel")))
+    h = _count(s["dino"] >= t.detector_high) + h_non
+    low = _count(*(x < t.detector_low for x in reliable))
+    ind, strong = (_count(*(s[n] >= least for n in ("organika", "community", "pixel"))) for least in (t.independent_confirm, 0.40))
     df = df.withColumns({"_o": overall, "_h": h, "_n": h_non, "_low": low, "_ind": ind, "_strong": strong})
 
     floor = lambda o, condition, value: F.when(F.coalesce(condition, F.lit(False)), F.greatest(o, value if isinstance(value, Column) else F.lit(value))).otherwise(o)
-    o = F.when((F.col("_h") >= 2) & (F.col("_low") <= 1) & (F.col("_ind") >= 1), F.greatest("_o", F.lit(0.75))).otherwise(
-        floor(F.col("_o"), (F.col("_h") >= 1) & (F.col("_n") >= 1) & (F.col("_strong") >= 1), 0.65)
+    o = F.when((F.col("_h") >= t.boost_strong_min_high) & (F.col("_low") <= 1) & (F.col("_ind") >= 1), F.greatest("_o", F.lit(t.boost_strong_floor))).otherwise(
+        floor(F.col("_o"), (F.col("_h") >= t.boost_moderate_min_high) & (F.col("_n") >= 1) & (F.col("_strong") >= 1), t.boost_moderate_floor)
     )
-    df = df.withColumn("_o", floor(o, (s["ai_generation"] >= 0.60) & (F.col("_ind") >= 1), _or_zero(s["ai_generation"])))
+    df = df.withColumn("_o", floor(o, (s["ai_generation"] >= t.swin_min) & (F.col("_ind") >= 1), _or_zero(s["ai_generation"])))
     confirms = _count(s["organika"] >= 0.25, s["pixel"] >= 0.25, s["community"] >= 0.20)
     clip = _or_zero(s["clip"])
     tier = F.when(confirms >= 2, F.greatest(F.lit(0.92), clip)).when(confirms == 1, F.greatest(F.lit(0.85), clip)).when(F.col("_ind") >= 1, clip).otherwise(0.0)
@@ -83,11 +84,11 @@ def fused(df: DataFrame, scores: str = "scores", codes: str = "codes", meta: Col
     authentic = F.greatest(F.lit(0.02), 1 - o)
     some = F.size(scores) > 0
     # Ties go up: binary noise doesn't decide them.
-    probability = lambda a, b, c: F.when(some, F.round(F.when(o < 0.15, a).when(o >= 0.65, b).otherwise(c) + 1e-9, 4))
+    probability = lambda a, b, c: F.when(some, F.round(F.when(o < t.verdict_low_threshold, a).when(o >= t.verdict_high_threshold, b).otherwise(c) + 1e-9, 4))
     out = {
         "overall": o,
         "score100": F.bround(100 * o).cast("int"),
-        "level": fused_band(o, bands.critical, bands.high, bands.medium),
+        "level": fused_band(o, t.risk_critical, t.risk_high, t.risk_medium),
         "p_authentic": probability(F.greatest(F.lit(0.85), 1 - 2 * o), authentic, F.greatest(F.lit(0.40), 1 - o)),
         "p_ai": probability(0.4 * o, (1 - authentic) * share, 0.6 * o),
         "p_tampered": probability(0.6 * o * o, (1 - authentic) * (1 - share), 0.4 * o),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from claimlens.config import FINDING_MODULES, finding_threshold
 from claimlens.plans.audit import path
 from claimlens.plans.rules import MADE, made, made_sql
 from claimlens.sources.tables import table
@@ -178,19 +179,17 @@ def known_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("name", F.coalesce("known", "label").alias("label")).agg(F.count("*").alias("n"))
 
 
-#: Modules whose risk alone makes a finding: threshold, cause, and severity below and from .60.
-FINDING_MODULES = {"ai_generation": (0.40, "AI generated", "Moderate", "Critical"), "clip": (0.50, "AI generated", "Moderate", "Severe"), "deep_modification": (0.40, "tampering", "Severe", "Critical"), "modification": (0.40, "tampering", "Moderate", "Severe"), "content": (0.40, "content", "Moderate", "Severe"), "text": (0.50, "AI text", "Minor", "Moderate")}
-
-
 def mandatory_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per inspection and module that reaches its threshold (.10 lower for uploads, .10 at least): cause, severity, safety and confidence."""
+    """A row per inspection and module that reaches its threshold (lower for uploads): cause, severity, safety and confidence."""
     k = F.col("o_orderkey")
-    modules = F.array(*(F.struct(F.lit(m).alias("module"), made(m, k).alias("risk"), F.lit(t).alias("t"), F.lit(c).alias("cause"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for m, (t, c, lo, hi) in FINDING_MODULES.items()))
+    modules = F.array(
+        *(F.struct(F.lit(m).alias("module"), made(m, k).alias("risk"), F.lit(finding_threshold(m, False)).alias("t"), F.lit(finding_threshold(m, True)).alias("up"), F.lit(c).alias("cause"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for m, (_, c, lo, hi) in FINDING_MODULES.items())
+    )
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(modules).alias("m")).select("o_orderkey", "m.*")
-    threshold = F.when(k % 2 == 0, F.greatest(F.lit(0.10), F.col("t") - 0.10)).otherwise(F.col("t"))
     high = F.col("risk") >= 0.60
-    return rows.where(F.col("risk") >= threshold).select(
-        "o_orderkey", "module", "cause", F.when(high, F.col("hi")).otherwise(F.col("lo")).alias("severity"), F.when(high, "Critical").otherwise("Warning").alias("safety"), F.round(F.least(F.lit(0.95), 0.50 + F.col("risk") * 0.40), 5).alias("confidence")
+    confidence = F.round(F.least(F.lit(0.95), 0.50 + F.col("risk") * 0.40) + 1e-9, 2)  # ties go up: binary noise doesn't decide them
+    return rows.where(F.col("risk") >= F.when(k % 2 == 0, F.col("up")).otherwise(F.col("t"))).select(
+        "o_orderkey", "module", "cause", F.when(high, F.col("hi")).otherwise(F.col("lo")).alias("severity"), F.when(high, "Critical").otherwise("Warning").alias("safety"), confidence.alias("confidence"), F.round("risk", 4).alias("risk")
     )
 
 
@@ -214,7 +213,14 @@ QUERIES = {
 }
 
 _MODULES = "[" + ", ".join(f"{{'name': '{m}', 'ms': o_orderkey * {i * 7 + 3} % 500, 'gone': {made_sql(m)} IS NULL}}" for i, m in enumerate(MADE)) + "]"
-_FINDINGS = " UNION ALL ".join(f"SELECT o_orderkey, '{m}' AS module, '{c}' AS cause, {made_sql(m)} AS risk, {t} AS t, '{lo}' AS lo, '{hi}' AS hi FROM orders" for m, (t, c, lo, hi) in FINDING_MODULES.items())
+_FINDINGS = " UNION ALL ".join(
+    f"SELECT o_orderkey, '{m}' AS module, '{c}' AS cause, {made_sql(m)} AS risk, {t} AS t, {up} AS up, '{lo}' AS lo, '{hi}' AS hi FROM orders"
+    for m, c, t, up, lo, hi in (
+        ("ai_generation", "AI generiranje", 0.50, 0.40, "Severe", "Critical"), ("clip", "AI generiranje", 0.45, 0.35, "Moderate", "Severe"), ("vae", "Sumnjiva tekstura", 0.45, 0.35, "Moderate", "Severe"),
+        ("deep_modification", "Digitalna manipulacija", 0.50, 0.40, "Moderate", "Severe"), ("modification", "Rekompresijski artefakti", 0.45, 0.35, "Moderate", "Moderate"),
+        ("text", "AI generiranje", 0.45, 0.35, "Moderate", "Severe"), ("content", "Krivotvoreni identifikatori", 0.40, 0.30, "Severe", "Critical"),
+    )
+)
 
 ORACLES = {
     "inspection_dtos": """
@@ -258,8 +264,9 @@ ORACLES = {
     "known_labels": "SELECT 'PHOTO_' || (p_partkey % 5) || '.jpg' AS name, ['ai_generated', 'authentic', 'tampered', 'ai_generated', 'ai_generated'][p_partkey % 5 + 1] AS label, count(*) AS n FROM part GROUP BY 1, 2",
     "mandatory_findings": f"""
         WITH f AS ({_FINDINGS})
-        SELECT o_orderkey, module, cause, CASE WHEN risk >= 0.6 THEN hi ELSE lo END AS severity, CASE WHEN risk >= 0.6 THEN 'Critical' ELSE 'Warning' END AS safety, round(least(0.95, 0.5 + risk * 0.4), 5) AS confidence
-        FROM f WHERE risk >= CASE WHEN o_orderkey % 2 = 0 THEN greatest(0.10::DOUBLE, t::DOUBLE - 0.10::DOUBLE) ELSE t END""",
+        SELECT o_orderkey, module, cause, CASE WHEN risk >= 0.6 THEN hi ELSE lo END AS severity, CASE WHEN risk >= 0.6 THEN 'Critical' ELSE 'Warning' END AS safety,
+               round(least(0.95, 0.5 + risk * 0.4) + 1e-9, 2) AS confidence, round(risk, 4) AS risk
+        FROM f WHERE risk >= CASE WHEN o_orderkey % 2 = 0 THEN up ELSE t END""",
     "duplicate_findings": """
         WITH d AS (SELECT doc_id, min(doc_id) OVER c AS matched, count(*) OVER c - 1 AS n_matches FROM documents WINDOW c AS (PARTITION BY coalesce(text, '')))
         SELECT doc_id, matched, 0.85::DOUBLE AS risk, 0.95::DOUBLE AS confidence, n_matches FROM d WHERE doc_id > matched""",

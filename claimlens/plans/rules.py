@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlens.config import CALIBRATED, DEFAULT, FINDING_MODULES, FRAUD_CAUSES, Profile, finding_threshold
 from claimlens.operators import decisions, fusion
 from claimlens.sources.tables import table
 
 #: Made scores: multiplier, offset, and the remainder of the key by 7 at which the module is absent.
-MADE = {"clip": (37, 11, 1), "organika": (53, 7, 2), "pixel": (71, 29, 9), "community": (97, 3, 3), "dino": (31, 17, 4), "ai_generation": (83, 5, 5), "modification": (59, 13, 9), "mesorch": (67, 23, 6), "deep_modification": (43, 19, 0), "text": (29, 31, 1), "content": (61, 37, 2)}
+MADE = {"clip": (37, 11, 1), "organika": (53, 7, 2), "pixel": (71, 29, 9), "community": (97, 3, 3), "dino": (31, 17, 4), "ai_generation": (83, 5, 5), "modification": (59, 13, 9), "mesorch": (67, 23, 6), "deep_modification": (43, 19, 0), "text": (29, 31, 1), "content": (61, 37, 2), "vae": (47, 41, 5)}
 
 
 def made(m: str, k: Column) -> Column:
@@ -38,6 +39,12 @@ def fuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", F.round("overall", 9).alias("overall"), "score100", "level")
 
 
+def fuse_scores_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores under the calibrated profile: dampening, confirmation, boosts and bands all change."""
+    out = fusion.fused(scored_orders(spark, sf_dir), profile=CALIBRATED)
+    return out.select("o_orderkey", F.round("overall", 9).alias("overall"), "score100", "level")
+
+
 def verdict_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fusion.fused(scored_orders(spark, sf_dir))
     return out.select("o_orderkey", "p_authentic", "p_ai", "p_tampered")
@@ -55,25 +62,30 @@ def decision_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deterministic_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict, urgency, and how many modules reach their thresholds, which are lower for uploads."""
-    from claimlens.config import FINDING_THRESHOLDS
-
     k = F.col("o_orderkey")
-    upload = k % 2 == 0
     risk = F.coalesce(made("modification", k), F.lit(0.0))
     fires = F.lit(0)
-    for m, t in FINDING_THRESHOLDS.items():
-        if m in MADE:
-            fires = fires + F.coalesce(made(m, k) >= F.when(upload, max(0.10, round(t - 0.10, 2))).otherwise(t), F.lit(False)).cast("int")
-    return table(spark, sf_dir, "orders").select("o_orderkey", decisions.verdict(risk).alias("verdict"), decisions.urgency(risk).alias("urgency"), fires.alias("n_findings"), F.round(F.least(F.lit(0.95), 0.50 + 0.40 * risk) + 1e-9, 2).alias("confidence"))
+    for m in FINDING_MODULES:
+        fires = fires + F.coalesce(made(m, k) >= F.when(k % 2 == 0, finding_threshold(m, True)).otherwise(finding_threshold(m, False)), F.lit(False)).cast("int")
+    return table(spark, sf_dir, "orders").select("o_orderkey", decisions.verdict(risk).alias("verdict"), decisions.urgency(risk).alias("urgency"), fires.alias("n_findings"))
+
+
+#: Causes of the made findings: fraud, authentic in two spellings, and others.
+CAUSES = ["AI generiranje", "Autentično", "Osvjetljenje", "Sumnjiva tekstura", " AUTHENTIC "]
 
 
 def severity_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings after enforcement; where the overall risk is missing or 0, the largest of three modules' risks stands for it."""
     k = F.col("l_orderkey")
-    severity = F.element_at(F.array(*map(F.lit, ["Minor", "Moderate", "Severe", "Critical"])), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    safety = F.element_at(F.array(*map(F.lit, ["Safe", "Warning", "Critical"])), (F.col("l_partkey") % 3 + 1).cast("int"))
-    new = decisions.enforced(F.col("severity"), F.col("safety"), F.col("l_returnflag") == "A", F.col("l_returnflag") == "N", F.coalesce(made("pixel", k), F.lit(0.0)), k % 2 == 0)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", severity.alias("severity"), safety.alias("safety"))
-    return rows.withColumn("new", new).groupBy("l_returnflag", "severity", "safety", F.col("new.severity").alias("new_severity"), F.col("new.safety").alias("new_safety")).agg(F.count("*").alias("n"))
+    of = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", of(["Minor", "Moderate", "Severe", "Critical"], F.col("l_linenumber") % 4).alias("severity"), of(["Safe", "Warning", "Critical"], F.col("l_partkey") % 3).alias("safety"),
+        of(CAUSES, F.col("l_suppkey") % len(CAUSES)).alias("cause"), of(["Low", "Medium", "High"], F.col("l_partkey") % 3).alias("urgency"),
+        decisions.effective_risk(F.when(k % 5 > 0, made("pixel", k)), F.array(made("clip", k), made("mesorch", k), made("text", k))).alias("risk"), (k % 2 == 0).alias("upload"),
+    )
+    new = decisions.enforced(F.col("severity"), F.col("safety"), F.col("cause"), F.col("risk"), F.col("upload"))
+    out = rows.withColumns({"new": new, "new_urgency": decisions.enforced_urgency(F.col("urgency"), F.col("risk"), F.col("upload"))})
+    return out.groupBy("cause", "severity", "safety", F.col("new.severity").alias("new_severity"), F.col("new.safety").alias("new_safety"), F.col("new.cause").alias("new_cause"), (F.col("new.remark") != "").alias("remarked"), "new_urgency").agg(F.count("*").alias("n"))
 
 
 def inspection_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,39 +184,46 @@ def meta_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "n_features", "p", "m.*", F.col("f.p_ai").alias("fallback_ai"))
 
 
-QUERIES = {f.__name__: f for f in (fuse_scores, verdict_probabilities, decision_engine, deterministic_verdict, severity_enforcement, inspection_risk, module_rollups, disagreement_uncertainty, label_cleaning, label_disagreement, meta_logistic)}
+QUERIES = {f.__name__: f for f in (fuse_scores, fuse_scores_calibrated, verdict_probabilities, decision_engine, deterministic_verdict, severity_enforcement, inspection_risk, module_rollups, disagreement_uncertainty, label_cleaning, label_disagreement, meta_logistic)}
 
 _S = ", ".join(f"{made_sql(m)} AS {m}" for m in MADE)
 _Z = lambda c: f"coalesce({c}, 0)"
 _N = lambda cs: "(" + " + ".join(f"coalesce(({c})::INT, 0)" for c in cs) + ")"
 
-_FUSION = f"""
+def fusion_sql(p: Profile) -> str:
+    t = p.fusion
+    return f"""
     WITH s AS (SELECT o_orderkey, {_S}, o_orderkey % 17 = 0 AS valid, o_orderkey % 19 = 0 AS tool, o_orderkey % 13 = 0 AS named FROM orders),
     a AS (SELECT *, coalesce(greatest(clip, organika, pixel, community), 0) AS m FROM s),
-    b AS (SELECT *, CASE WHEN m >= 0.35 THEN 1 ELSE 0.30 + 0.70 * m / 0.35 END AS d,
+    b AS (SELECT *, CASE WHEN m >= {t.cnn_dampening_threshold} THEN 1 ELSE {t.cnn_dampening_floor} + (1 - {t.cnn_dampening_floor}) * m / {t.cnn_dampening_threshold} END AS d,
                  (clip IS NOT NULL)::INT * 0.20 + (organika IS NOT NULL)::INT * 0.25 + (community IS NOT NULL)::INT * 0.25 + (dino IS NOT NULL)::INT * 0.20 + (pixel IS NOT NULL)::INT * 0.10 AS w FROM a),
-    c AS (SELECT *, CASE WHEN w > 0 THEN ({_Z('clip')} * 0.20 + {_Z('organika')} * 0.25 + {_Z('community')} * 0.25 + {_Z('dino')} * d * 0.20 + {_Z('pixel')} * 0.10) / w ELSE 0 END * CASE WHEN valid THEN 0.5 ELSE 1 END AS core0 FROM b),
-    e AS (SELECT *, CASE WHEN tool THEN greatest(core0, 0.90)
+    c AS (SELECT *, CASE WHEN w > 0 THEN ({_Z('clip')} * 0.20 + {_Z('organika')} * 0.25 + {_Z('community')} * 0.25 + {_Z('dino')} * d * 0.20 + {_Z('pixel')} * 0.10) / w ELSE 0 END * CASE WHEN valid THEN {t.c2pa_factor} ELSE 1 END AS core0 FROM b),
+    e AS (SELECT *, CASE WHEN tool THEN greatest(core0, {t.ai_metadata_floor})
                          WHEN named AND {_N([f'{x} >= 0.25' for x in ('dino', 'organika', 'community', 'clip', 'ai_generation')])} > 0 THEN greatest(core0, 0.75)
                          WHEN named THEN greatest(core0, least(core0 + 0.15, 0.50)) ELSE core0 END AS core,
-                 list_filter([CASE WHEN deep_modification >= 0.55 THEN deep_modification END, CASE WHEN mesorch >= 0.40 THEN mesorch END, CASE WHEN modification >= 0.50 THEN modification * 0.80 END], lambda x: x IS NOT NULL) AS t FROM c),
-    f AS (SELECT *, CASE WHEN len(t) >= 2 THEN list_max(t) WHEN len(t) = 1 AND list_max(t) >= 0.50 THEN list_max(t) * 0.85 ELSE 0 END AS tampering,
-                 {_N(['dino >= 0.45'])} + {_N([f'{x} >= 0.45' for x in ('clip', 'organika', 'community', 'pixel')])} AS h, {_N([f'{x} >= 0.45' for x in ('clip', 'organika', 'community', 'pixel')])} AS hn,
-                 {_N([f'{x} < 0.15' for x in ('clip', 'organika', 'community', 'dino', 'pixel')])} AS low, {_N([f'{x} >= 0.25' for x in ('organika', 'community', 'pixel')])} AS ind, {_N([f'{x} >= 0.40' for x in ('organika', 'community', 'pixel')])} AS strong FROM e),
-    g AS (SELECT *, greatest(core, tampering, CASE WHEN text >= 0.5 THEN text ELSE 0 END, CASE WHEN content >= 0.4 THEN content ELSE 0 END) AS o0 FROM f),
-    i AS (SELECT *, CASE WHEN h >= 2 AND low <= 1 AND ind >= 1 THEN greatest(o0, 0.75) WHEN h >= 1 AND hn >= 1 AND strong >= 1 THEN greatest(o0, 0.65) ELSE o0 END AS o1 FROM g),
-    j AS (SELECT *, CASE WHEN ai_generation >= 0.60 AND ind >= 1 THEN greatest(o1, ai_generation) ELSE o1 END AS o2, {_N(['organika >= 0.25', 'pixel >= 0.25', 'community >= 0.20'])} AS cf FROM i),
+                 list_filter([CASE WHEN deep_modification >= {t.deep_mod_min} THEN deep_modification END, CASE WHEN mesorch >= {t.mesorch_min} THEN mesorch END, CASE WHEN modification >= {t.ela_min} THEN modification * {t.ela_scale} END], lambda x: x IS NOT NULL) AS t FROM c),
+    f AS (SELECT *, CASE WHEN len(t) >= 2 THEN list_max(t) WHEN len(t) = 1 AND list_max(t) >= {t.single_tamp_min} THEN list_max(t) * {t.single_tamp_scale} ELSE 0 END AS tampering,
+                 {_N([f'dino >= {t.detector_high}'])} + {_N([f'{x} >= {t.detector_high}' for x in ('clip', 'organika', 'community', 'pixel')])} AS h, {_N([f'{x} >= {t.detector_high}' for x in ('clip', 'organika', 'community', 'pixel')])} AS hn,
+                 {_N([f'{x} < {t.detector_low}' for x in ('clip', 'organika', 'community', 'dino', 'pixel')])} AS low, {_N([f'{x} >= {t.independent_confirm}' for x in ('organika', 'community', 'pixel')])} AS ind, {_N([f'{x} >= 0.40' for x in ('organika', 'community', 'pixel')])} AS strong FROM e),
+    g AS (SELECT *, greatest(core, tampering, CASE WHEN text >= {t.text_ai_min} THEN text ELSE 0 END, CASE WHEN content >= {t.content_val_min} THEN content ELSE 0 END) AS o0 FROM f),
+    i AS (SELECT *, CASE WHEN h >= {t.boost_strong_min_high} AND low <= 1 AND ind >= 1 THEN greatest(o0, {t.boost_strong_floor}) WHEN h >= {t.boost_moderate_min_high} AND hn >= 1 AND strong >= 1 THEN greatest(o0, {t.boost_moderate_floor}) ELSE o0 END AS o1 FROM g),
+    j AS (SELECT *, CASE WHEN ai_generation >= {t.swin_min} AND ind >= 1 THEN greatest(o1, ai_generation) ELSE o1 END AS o2, {_N(['organika >= 0.25', 'pixel >= 0.25', 'community >= 0.20'])} AS cf FROM i),
     k AS (SELECT *, CASE WHEN clip >= 0.70 AND cf >= 2 THEN greatest(o2, 0.92, clip) WHEN clip >= 0.70 AND cf = 1 THEN greatest(o2, 0.85, clip) WHEN clip >= 0.70 AND ind >= 1 THEN greatest(o2, clip)
                          WHEN clip >= 0.50 AND clip < 0.70 AND low >= 3 THEN least(o2, 0.20) ELSE o2 END AS o3 FROM j),
     z AS (SELECT *, greatest(0, least(1, o3))::DOUBLE AS o, CASE WHEN core + tampering > 0 THEN core / (core + tampering) ELSE 0.7 END AS sh FROM k)
 """
 
+
+_FUSION = fusion_sql(DEFAULT)
 _R = lambda m: f"coalesce({m}, 0)::DOUBLE" if m in MADE else "0::DOUBLE"
 _C = lambda m: f"coalesce(0.5 + {m} / 2, 0)::DOUBLE" if m in MADE else "0::DOUBLE"
 
 ORACLES = {
     "fuse_scores": _FUSION + """
         SELECT o_orderkey, round(o, 9) AS overall, round_even(100 * o, 0)::INT AS score100, CASE WHEN o >= 0.85 THEN 'Critical' WHEN o >= 0.40 THEN 'High' WHEN o >= 0.20 THEN 'Medium' ELSE 'Low' END AS level FROM z""",
+    "fuse_scores_calibrated": fusion_sql(CALIBRATED) + f"""
+        SELECT o_orderkey, round(o, 9) AS overall, round_even(100 * o, 0)::INT AS score100,
+               CASE WHEN o >= {CALIBRATED.fusion.risk_critical} THEN 'Critical' WHEN o >= {CALIBRATED.fusion.risk_high} THEN 'High' WHEN o >= {CALIBRATED.fusion.risk_medium} THEN 'Medium' ELSE 'Low' END AS level FROM z""",
     "verdict_probabilities": _FUSION + """
         SELECT o_orderkey, round(CASE WHEN o < 0.15 THEN greatest(0.85, 1 - 2 * o) WHEN o >= 0.65 THEN greatest(0.02, 1 - o) ELSE greatest(0.40, 1 - o) END + 1e-9, 4) AS p_authentic,
                round(CASE WHEN o < 0.15 THEN 0.4 * o WHEN o >= 0.65 THEN (1 - greatest(0.02, 1 - o)) * sh ELSE 0.6 * o END + 1e-9, 4) AS p_ai,
@@ -222,18 +241,22 @@ ORACLES = {
         WITH r AS (SELECT o_orderkey, {_Z(made_sql('modification'))} AS risk, o_orderkey % 2 = 0 AS up, {_S} FROM orders)
         SELECT o_orderkey, CASE WHEN risk >= 0.85 THEN 'forged' WHEN risk >= 0.40 THEN 'suspicious' ELSE 'authentic' END AS verdict,
                CASE WHEN risk >= 0.85 THEN 'Critical' WHEN risk >= 0.40 THEN 'High' WHEN risk >= 0.15 THEN 'Medium' ELSE 'Low' END AS urgency,
-               {_N(['modification >= CASE WHEN up THEN 0.3 ELSE 0.4 END', 'mesorch >= CASE WHEN up THEN 0.3 ELSE 0.4 END', 'clip >= CASE WHEN up THEN 0.4 ELSE 0.5 END', 'dino >= CASE WHEN up THEN 0.4 ELSE 0.5 END', 'organika >= CASE WHEN up THEN 0.4 ELSE 0.5 END', 'text >= CASE WHEN up THEN 0.4 ELSE 0.5 END'])} AS n_findings,
-               round(least(0.95, 0.50 + 0.40 * risk) + 1e-9, 2) AS confidence FROM r""",
+               {_N([f'{m} >= CASE WHEN up THEN {up} ELSE {t} END' for m, t, up in (('ai_generation', 0.5, 0.4), ('clip', 0.45, 0.35), ('vae', 0.45, 0.35), ('deep_modification', 0.5, 0.4), ('modification', 0.45, 0.35), ('text', 0.45, 0.35), ('content', 0.4, 0.3))])} AS n_findings FROM r""",
     "severity_enforcement": f"""
-        WITH r AS (SELECT l_returnflag, ['Minor', 'Moderate', 'Severe', 'Critical'][l_linenumber % 4 + 1] AS severity, ['Safe', 'Warning', 'Critical'][l_partkey % 3 + 1] AS safety, {_Z(made_sql('pixel', 'l_orderkey'))} AS risk, l_orderkey % 2 = 0 AS up FROM lineitem),
-        b AS (SELECT *, risk >= CASE WHEN up THEN 0.5 ELSE 0.65 END AS c, risk >= CASE WHEN up THEN 0.3 ELSE 0.4 END AS h, risk >= CASE WHEN up THEN 0.12 ELSE 0.2 END AS m FROM r)
-        SELECT l_returnflag, severity, safety,
-               CASE WHEN l_returnflag = 'A' THEN CASE WHEN c THEN 'Critical' WHEN h THEN CASE WHEN severity IN ('Minor', 'Moderate') THEN 'Severe' ELSE severity END WHEN m AND severity = 'Minor' THEN 'Moderate' ELSE severity END
-                    WHEN l_returnflag = 'N' THEN CASE WHEN c THEN 'Severe' WHEN h THEN 'Moderate' ELSE severity END
-                    WHEN c AND severity IN ('Minor', 'Moderate') THEN 'Severe' WHEN h AND safety = 'Safe' AND severity = 'Minor' THEN 'Moderate' ELSE severity END AS new_severity,
-               CASE WHEN l_returnflag = 'A' THEN CASE WHEN c THEN 'Critical' WHEN h AND safety = 'Safe' THEN 'Critical' WHEN m AND safety = 'Safe' THEN 'Warning' ELSE safety END
-                    WHEN l_returnflag = 'N' THEN CASE WHEN h THEN 'Warning' ELSE safety END
-                    WHEN h AND safety = 'Safe' THEN 'Warning' ELSE safety END AS new_safety, count(*) AS n FROM b GROUP BY ALL""",
+        WITH r AS (SELECT ['Minor', 'Moderate', 'Severe', 'Critical'][l_linenumber % 4 + 1] AS severity, ['Safe', 'Warning', 'Critical'][l_partkey % 3 + 1] AS safety, {CAUSES}[l_suppkey % {len(CAUSES)} + 1] AS cause,
+                     ['Low', 'Medium', 'High'][l_partkey % 3 + 1] AS urgency, {_Z(f"CASE WHEN l_orderkey % 5 > 0 THEN {made_sql('pixel', 'l_orderkey')} END")} AS own,
+                     {_Z(f"greatest({made_sql('clip', 'l_orderkey')}, {made_sql('mesorch', 'l_orderkey')}, {made_sql('text', 'l_orderkey')})")} AS most, l_orderkey % 2 = 0 AS up FROM lineitem),
+        q AS (SELECT *, CASE WHEN own = 0 THEN most ELSE own END AS risk, cause IN {tuple(FRAUD_CAUSES)} AS fraud, cause IN ('Autentično', ' AUTHENTIC ') AS auth FROM r),
+        b AS (SELECT *, risk >= CASE WHEN up THEN 0.5 ELSE 0.65 END AS c, risk >= CASE WHEN up THEN 0.3 ELSE 0.4 END AS h, risk >= CASE WHEN up THEN 0.12 ELSE 0.2 END AS m FROM q)
+        SELECT cause, severity, safety,
+               CASE WHEN auth THEN CASE WHEN c THEN 'Severe' WHEN h THEN 'Moderate' ELSE severity END
+                    WHEN fraud THEN CASE WHEN c THEN 'Critical' WHEN h THEN CASE WHEN severity IN ('Minor', 'Moderate') THEN 'Severe' ELSE severity END WHEN m AND severity = 'Minor' THEN 'Moderate' ELSE severity END
+                    WHEN c THEN CASE WHEN severity IN ('Minor', 'Moderate') THEN 'Severe' ELSE severity END WHEN h AND safety = 'Safe' AND severity = 'Minor' THEN 'Moderate' ELSE severity END AS new_severity,
+               CASE WHEN auth THEN CASE WHEN h THEN 'Warning' ELSE safety END
+                    WHEN fraud THEN CASE WHEN c THEN 'Critical' WHEN safety <> 'Safe' THEN safety WHEN h THEN 'Critical' WHEN m THEN 'Warning' ELSE safety END
+                    WHEN h AND safety = 'Safe' THEN 'Warning' ELSE safety END AS new_safety,
+               CASE WHEN auth AND h THEN 'Metadata anomalija' ELSE cause END AS new_cause, auth AND h AS remarked,
+               CASE WHEN c THEN 'Critical' WHEN h THEN 'High' WHEN m AND urgency = 'Low' THEN 'Medium' ELSE urgency END AS new_urgency, count(*) AS n FROM b GROUP BY ALL""",
     "inspection_risk": f"""
         WITH r AS (SELECT l_orderkey, {_Z(made_sql('pixel', '(l_orderkey * 8 + l_linenumber)'))} AS risk FROM lineitem),
         g AS (SELECT l_orderkey, max(risk) AS top, count(*) AS n FROM r GROUP BY 1)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from claimlens.config import CALIBRATED, DEFAULT
+from claimlens.config import CALIBRATED, DEFAULT, FINDING_MODULES, finding_threshold
 from claimlens.operators import decisions, fusion
 
 V, A, N = fusion.PROVENANCE_VALID, fusion.AI_TOOL, fusion.AI_FILENAME
@@ -44,10 +44,61 @@ def test_fusion_without_modules_and_with_meta(spark):
     assert got["mid"].overall == pytest.approx(0.7 * 0.68)
 
 
-def test_profiles():
-    assert (CALIBRATED.high, CALIBRATED.critical) == (0.34, 0.85)
+def test_profiles_and_overrides():
+    assert (CALIBRATED.fusion.risk_high, CALIBRATED.fusion.risk_critical, CALIBRATED.fusion.boost_moderate_floor, CALIBRATED.fusion.swin_min) == (0.34, 0.85, 0.55, 0.60)
+    assert (DEFAULT.enforcement.upload_high, DEFAULT.base_risk.medium, DEFAULT.verdict.forged_risk, DEFAULT.module_damage["content_validation"]) == (0.30, 0.25, 0.85, 0.40)
     with pytest.warns(UserWarning):
-        assert DEFAULT.overridden({"nonsense": 1}) == DEFAULT
+        assert DEFAULT.overridden({"fusion": {"nonsense": 1}, "_metadata": {"x": 1}}) == DEFAULT
+    with pytest.warns(UserWarning):
+        assert DEFAULT.overridden({"nowhere": {"x": 1}}) == DEFAULT
+    changed = DEFAULT.overridden({"fusion": {"risk_high": "0.5", "boost_strong_min_high": "3"}, "module_damage": {"own_module": "0.2", "clip_ai_detection": 0.6}})
+    assert (changed.fusion.risk_high, changed.fusion.boost_strong_min_high, changed.module_damage["own_module"], changed.module_damage["clip_ai_detection"]) == (0.5, 3, 0.2, 0.6)
+    assert DEFAULT.fusion.risk_high == 0.40
+    assert [finding_threshold("clip", u, changed) for u in (False, True)] == [0.6, 0.5]
+
+
+def test_thresholds_act_on_the_fused_score(spark):
+    """By hand: clip and pixel of .47 confirm each other under the default profile and not where a high detector needs .50."""
+    df = spark.createDataFrame([({"clip": 0.47, "pixel": 0.47, "organika": 0.2}, [])], "scores map<string,double>, codes array<string>")
+    score = lambda p: fusion.fused(df, profile=p).first().overall
+    plain = (0.47 * 0.20 + 0.47 * 0.10 + 0.2 * 0.25) / 0.55
+    assert score(DEFAULT) == pytest.approx(0.75)  # two high, none low, pixel confirms
+    assert score(DEFAULT.overridden({"fusion": {"detector_high": 0.50}})) == pytest.approx(plain)
+    assert score(DEFAULT.overridden({"fusion": {"boost_strong_min_high": 3}})) == pytest.approx(0.65)
+    assert score(DEFAULT.overridden({"fusion": {"boost_strong_floor": 0.8}})) == pytest.approx(0.8)
+    assert score(CALIBRATED) == pytest.approx(plain)
+
+
+def test_finding_table_by_hand(spark):
+    assert [(m, finding_threshold(m, False), finding_threshold(m, True), *row[2:]) for m, row in FINDING_MODULES.items()] == [
+        ("ai_generation", 0.50, 0.40, "Severe", "Critical"), ("clip", 0.45, 0.35, "Moderate", "Severe"), ("vae", 0.45, 0.35, "Moderate", "Severe"), ("deep_modification", 0.50, 0.40, "Moderate", "Severe"),
+        ("modification", 0.45, 0.35, "Moderate", "Moderate"), ("text", 0.45, 0.35, "Moderate", "Severe"), ("content", 0.40, 0.30, "Severe", "Critical"),
+    ]
+
+
+@pytest.mark.parametrize(
+    "severity, safety, cause, risk, upload, expected",
+    [
+        ("Minor", "Safe", "AI generiranje", 0.70, False, ("Critical", "Critical", "AI generiranje", False)),
+        ("Minor", "Safe", "AI generiranje", 0.45, False, ("Severe", "Critical", "AI generiranje", False)),
+        ("Minor", "Safe", "AI generiranje", 0.25, False, ("Moderate", "Warning", "AI generiranje", False)),
+        ("Minor", "Safe", "Osvjetljenje", 0.45, False, ("Moderate", "Warning", "Osvjetljenje", False)),
+        ("Moderate", "Safe", "Osvjetljenje", 0.70, False, ("Severe", "Warning", "Osvjetljenje", False)),
+        ("Minor", "Safe", "Autentično", 0.45, False, ("Moderate", "Warning", "Metadata anomalija", True)),
+        ("Minor", "Safe", "Autentično", 0.55, True, ("Severe", "Warning", "Metadata anomalija", True)),
+        ("Minor", "Safe", "Autentično", 0.25, False, ("Minor", "Safe", "Autentično", False)),
+        ("Minor", "Safe", None, 0.10, True, ("Minor", "Safe", None, False)),
+    ],
+)
+def test_enforcement(spark, severity, safety, cause, risk, upload, expected):
+    df = spark.createDataFrame([(severity, safety, cause, risk, upload)], "severity string, safety string, cause string, risk double, upload boolean")
+    x = df.select(decisions.enforced(*(F.col(c) for c in df.columns)).alias("x")).first().x
+    assert (x.severity, x.safety, x.cause, x.remark != "") == expected
+
+
+def test_risk_falls_back_to_the_modules(spark):
+    df = spark.createDataFrame([(None, [0.2, None, 0.6]), (0.0, [0.3]), (0.1, [0.9]), (None, [None]), (0.0, None)], "overall double, modules array<double>")
+    assert [r[0] for r in df.select(decisions.effective_risk(F.col("overall"), F.col("modules"))).collect()] == [0.6, 0.3, 0.1, 0.0, 0.0]
 
 
 DECISIONS = [
@@ -145,10 +196,3 @@ def test_balanced_sample_counts(spark):
     there = {r.truth: r["count"] for r in labelled(spark, sf).groupBy("truth").count().collect()}
     got = {r.truth: r["count"] for r in balanced_sample(spark, sf).groupBy("truth").count().collect()}
     assert got == {t: min(n, 50 if t == "authentic" else 25) for t, n in there.items()}
-
-
-def test_profiles():
-    assert (DEFAULT.critical, DEFAULT.high, DEFAULT.medium) == (0.85, 0.40, 0.20)
-    assert (CALIBRATED.cnn_dampening_threshold, CALIBRATED.independent_confirm, CALIBRATED.risk_high, CALIBRATED.boost_moderate_floor, CALIBRATED.boost_moderate_min_high) == (0.22, 0.22, 0.34, 0.55, 1)
-    with pytest.warns(UserWarning):
-        assert DEFAULT.overridden({"risk_high": "0.5", "nonsense": 1}).risk_high == 0.5
