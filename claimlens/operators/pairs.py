@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens.functions.columns import cosine, hamming
+from claimlens.sources.scratch import stored
 
 
 def pairs_within(df: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
@@ -46,29 +47,62 @@ def bands(h: Column, most: int, agree: int = 3) -> Column:
     return F.array(*keys)
 
 
-def banded_hash_pairs(df: DataFrame, key: str, h: str, most: int = 8) -> DataFrame:
-    """Pairs i < j of distinct hashes of all rows that differ in `most` bits or fewer.
+def banded_hash_pairs(df: DataFrame, key: str, h: str, most: int = 8, by: list[str] = []) -> DataFrame:
+    """Pairs i < j of distinct hashes of all rows, or of the rows of equal by, that differ in `most` bits or fewer.
 
     Equal hashes are one row from the start, so copies don't multiply; candidates come from an equi-join on bands, each
     pair from the first band it shares, and are verified exactly.
     """
-    distinct = df.groupBy(h).agg(F.min(key).alias("key"))
-    rows = distinct.select("key", F.col(h).alias("h"), F.posexplode(bands(F.col(h), most)).alias("pos", "band"))
+    distinct = df.groupBy(*by, h).agg(F.min(key).alias("key"))
+    rows = distinct.select(*by, "key", F.col(h).alias("h"), F.posexplode(bands(F.col(h), most)).alias("pos", "band"))
     a, b = rows.alias("a"), rows.alias("b")
-    p = a.join(b, (F.col("a.pos") == F.col("b.pos")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key")))
+    same = (F.col("a.pos") == F.col("b.pos")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.key") < F.col("b.key"))
+    for g in by:
+        same = same & F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}"))
+    p = a.join(b, same)
     shared = F.arrays_zip(bands(F.col("a.h"), most).alias("x"), bands(F.col("b.h"), most).alias("y"))
     first = F.array_position(F.transform(shared, lambda z: z["x"] == z["y"]), True) - 1
     p = p.where((hamming(F.col("a.h"), F.col("b.h")) <= most) & (F.col("a.pos") == first))
-    return p.select(F.col("a.key").alias("key_i"), F.col("b.key").alias("key_j"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
+    return p.select(*(F.col(f"a.{g}").alias(g) for g in by), F.col("a.key").alias("key_i"), F.col("b.key").alias("key_j"), hamming(F.col("a.h"), F.col("b.h")).alias("distance"))
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: str, spread: str, salts: int = 32) -> DataFrame:
+    """rows joined with few, which has a row per value of on. Rows of one value are dealt to salts by their spread, and few is copied to each."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [on, "_salt"]).drop("_salt")
 
 
 def duplicate_classes(df: DataFrame, key: str, h: str) -> DataFrame:
     """key, class_id (the smallest key of an equal hash) and n_others of each row whose hash occurs again.
 
-    A group of copies is one row of counts and never becomes pairs. Null hashes are equal to nothing.
+    A group of copies is one row of counts and never becomes pairs; its rows are dealt to salts. Null hashes are equal to nothing.
     """
     again = df.where(F.col(h).isNotNull()).groupBy(h).agg(F.min(key).alias("class_id"), (F.count("*") - 1).alias("n_others")).where("n_others > 0")
-    return df.select(key, h).join(again, h).select(key, "class_id", "n_others")
+    return salted_join(df.select(key, h), again, h, key).select(key, "class_id", "n_others")
+
+
+def greedy_firsts(df: DataFrame, group: str, order: str, h: str, least: int = 10) -> DataFrame:
+    """What greedy_dedup keeps, for groups of any size: group and order of the rows that stay. Orders are unique within a group.
+
+    The rows that stay are the lexicographically first independent set of the graph of near hashes, which rounds find in parallel: a row
+    without an earlier neighbour stays, its neighbours go, and both leave the graph. A round takes two joins; as many rounds are
+    needed as the longest chain of rows that decide each other in turn. Of equal hashes only the first can stay, so copies
+    are one row from the start. The graph holds the near pairs of distinct hashes: a dense ball of m different hashes has m^2 / 2.
+    """
+    known = df.where(F.col(h).isNotNull())
+    edges = stored(banded_hash_pairs(known, order, h, least - 1, [group]).select(group, "key_i", "key_j"), "near-pairs")
+    gone = None
+    while not edges.isEmpty():
+        later = edges.select(group, F.col("key_j").alias("key_i")).distinct()
+        stay = edges.select(group, "key_i").distinct().join(later, [group, "key_i"], "left_anti")
+        out = stored(edges.join(stay, [group, "key_i"], "left_semi").select(group, "key_j").distinct(), "decided")
+        gone = out if gone is None else gone.union(out)
+        edges = stored(edges.join(out, [group, "key_j"], "left_anti").join(out.withColumnRenamed("key_j", "key_i"), [group, "key_i"], "left_anti"), "near-pairs")
+    firsts = known.groupBy(group, h).agg(F.min(order).alias(order)).select(group, order)
+    if gone is not None:
+        firsts = firsts.join(gone.withColumnRenamed("key_j", order), [group, order], "left_anti")
+    return firsts.union(df.where(F.col(h).isNull()).select(group, order))
 
 
 def greedy_dedup(df: DataFrame, group: str, order: str, h: str, least: int = 10) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from claimlens.functions.columns import ellipsis, extension, ranks_of
+from claimlens.functions.columns import ellipsis, extension
+from claimlens.operators.ordered import ranks_of, running
 from claimlens.sources.tables import table
 
 
@@ -161,6 +162,22 @@ def fair_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.when(n == 1, 0).otherwise(1).alias("lane"), place.alias("round"))
 
 
+def serving_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place at which each queued job is served: conversations stand for jobs, their turns for files; who asked is the remainder of the key.
+
+    Jobs of one file come first, in order of arrival. The others are served in rounds, one of each user, in the order in which users
+    first came, except that each round begins with the second one (who served last isn't asked first; the first user comes last).
+    Users who have no job left drop out, and the others keep their order.
+    """
+    jobs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_files"))
+    jobs = jobs.select("conv_id", F.when(F.col("n_files") <= 1, 0).otherwise(1).alias("lane"), F.coalesce((F.col("conv_id") % 37).cast("string"), F.lit("anonymous")).alias("user"))
+    albums = running(jobs.where("lane = 1"), ["user"], ["conv_id"]).withColumnRenamed("_upto", "round").drop("_total")
+    users = running(albums.groupBy("user").agg(F.min("conv_id").alias("came")), [], ["came"]).select(F.col("user").alias("u"), F.pmod(F.col("_upto") - 2, F.col("_total")).alias("seat"))
+    seated = albums.join(users, F.col("user") == F.col("u")).select("conv_id", "lane", "user", "round", "seat")
+    single = jobs.where("lane = 0").select("conv_id", "lane", "user", F.lit(0).cast("long").alias("round"), F.lit(0).cast("long").alias("seat"))
+    return running(seated.union(single), [], ["lane", "round", "seat", "conv_id"]).select("conv_id", "lane", "user", "round", F.col("_upto").alias("place"))
+
+
 def evidence_seal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seal of each case's files: the SHA-256 of their hashes, sorted and joined by colons. Sixteen documents are the files of a case."""
     h = F.sha2(F.coalesce("text", F.lit("")), 256)
@@ -173,7 +190,7 @@ QUERIES = {
     for f in (
         admin_status_pivot, admin_processing_percentiles, admin_file_types, admin_verdict_argmax, admin_recent_failures, admin_users_with_counts, admin_error_top5,
         admin_time_by_type, admin_crosstab, admin_peaks, dash_cost_averages, dash_top_parts, dash_distributions, dash_user_semi_join, dash_recent_with_children,
-        worst_severity_per_inspection, group_overview, primary_finding, case_insensitive_search, decision_overrides, fair_schedule, evidence_seal,
+        worst_severity_per_inspection, group_overview, primary_finding, case_insensitive_search, decision_overrides, fair_schedule, serving_order, evidence_seal,
     )
 }
 
@@ -227,6 +244,11 @@ ORACLES = {
     "fair_schedule": """
         SELECT conv_id, turn, CASE WHEN count(*) OVER (PARTITION BY conv_id) = 1 THEN 0 ELSE 1 END AS lane,
                row_number() OVER (PARTITION BY conv_id ORDER BY turn, role)::INT AS round FROM conversations""",
+    "serving_order": """
+        WITH j AS (SELECT conv_id, CASE WHEN count(*) <= 1 THEN 0 ELSE 1 END AS lane, coalesce((conv_id % 37)::VARCHAR, 'anonymous') AS "user" FROM conversations GROUP BY 1),
+        u AS (SELECT "user", row_number() OVER (ORDER BY min(conv_id)) AS r, count(*) OVER () AS n FROM j WHERE lane = 1 GROUP BY 1),
+        k AS (SELECT conv_id, lane, "user", CASE WHEN lane = 1 THEN row_number() OVER (PARTITION BY "user", lane ORDER BY conv_id) ELSE 0 END AS round FROM j)
+        SELECT conv_id, lane, "user", round, row_number() OVER (ORDER BY lane, round, CASE WHEN lane = 1 THEN (r + n - 2) % n ELSE 0 END, conv_id) AS place FROM k LEFT JOIN u USING ("user")""",
     "evidence_seal": """
         WITH h AS (SELECT doc_id // 16 AS case_id, sha256(coalesce(text, '')) AS h FROM documents)
         SELECT case_id, sha256(string_agg(h, ':' ORDER BY h)) AS seal FROM h GROUP BY 1""",

@@ -1,7 +1,7 @@
 """The calibration loop over labelled rows: labels give the truth, and keys give made scores of modules.
 
-Percentiles are ranks over counts of distinct values, and orders within a class are cut by histograms or by limits before
-anything is sorted: there are only three classes, so a window over all rows of one would be a single task.
+Percentiles and medians are places within ranges over counts of distinct values, and orders within a class are cut by histograms or
+by limits before anything is sorted: there are only three classes, so a window over all rows of one would be a single task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from claimlens.functions.columns import ranks_of
+from claimlens.operators.ordered import medians_of, ranks_of
 from claimlens.sources.tables import table
 
 MODULES = {"clip": (37, 11, 40), "pixel": (71, 29, 10), "mesorch": (53, 7, 25)}
@@ -208,7 +208,9 @@ def regression_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each class: mean, median, extremes, and the rate of wrong rows at the class's gate."""
     wrong = F.when(F.col("truth") == "authentic", F.col("clip") >= 0.15).when(F.col("truth") == "ai_generated", F.col("clip") < 0.60).otherwise(F.col("clip") < 0.40)
     limit = F.when(F.col("truth") == "authentic", 0.10).when(F.col("truth") == "ai_generated", 0.15).otherwise(0.20)
-    g = labelled(spark, sf_dir).groupBy("truth").agg(F.round(F.avg("clip"), 6).alias("mean"), F.round(F.median("clip"), 6).alias("median"), F.min("clip").alias("least"), F.max("clip").alias("largest"), F.round(F.avg(wrong.cast("int")), 6).alias("rate"))
+    rows = labelled(spark, sf_dir)
+    g = rows.groupBy("truth").agg(F.round(F.avg("clip"), 6).alias("mean"), F.min("clip").alias("least"), F.max("clip").alias("largest"), F.round(F.avg(wrong.cast("int")), 6).alias("rate"))
+    g = g.join(medians_of(rows, ["truth"], "clip").withColumn("median", F.round("median", 6)), "truth")
     return g.withColumn("passed", F.col("rate") < limit)
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from claimlens.functions.textbits import with_sign_bits
 from claimlens.operators import fusion, pairs
 from claimlens.plans.rules import made, made_sql
+from claimlens.sources.scratch import stored
 from claimlens.sources.tables import table
 
 #: Thresholds for the made data: the tables' embeddings are far from each other.
@@ -97,9 +99,15 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.greedy_dedup(files(spark, sf_dir), "case_id", "vec_id", "h", 28).select("case_id", "vec_id")
 
 
+def greedy_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each language's documents when each goes whose hash differs in fewer than 10 bits from an earlier one that stays."""
+    docs = with_sign_bits(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "text", "h")
+    return pairs.greedy_firsts(stored(docs, "text-bits"), "lang", "doc_id", "h")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (hamming_pairs, cosine_pairs, semantic_minus_hash, historical_duplicates, gps_first_mismatch, group_outliers, all_high_cases, same_source_mode, group_modifier, value_inconsistency, greedy_dedup)
+    for f in (hamming_pairs, cosine_pairs, semantic_minus_hash, historical_duplicates, gps_first_mismatch, group_outliers, all_high_cases, same_source_mode, group_modifier, value_inconsistency, greedy_dedup, greedy_dedup_texts)
 }
 
 _F = "WITH f AS (SELECT vec_id, vec_id // 8 AS case_id, embedding AS e FROM embeddings), p AS (SELECT a.case_id, a.vec_id AS i, b.vec_id AS j, a.e AS x, b.e AS y FROM f a JOIN f b ON a.case_id = b.case_id AND a.vec_id < b.vec_id)"

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimlens.config import FINDING_MODULES, finding_threshold
+from claimlens.operators.pairs import salted_join
 from claimlens.plans.audit import path
 from claimlens.plans.rules import MADE, made, made_sql
 from claimlens.sources.tables import table
@@ -196,12 +197,12 @@ def mandatory_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finding for each document whose text occurred before: risk .85, confidence .95, with how many earlier ones there are.
 
-    A group of copies is numbered, never paired; equal hashes are dealt by their first byte and hash alone.
+    A group of copies is one row of counts, never paired; its rows are dealt to salts where the counts are joined.
     """
     h = F.md5(F.coalesce("text", F.lit("")))
     rows = table(spark, sf_dir, "documents").select("doc_id", h.alias("h"))
     again = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(again, "h").where("doc_id > first").select("doc_id", F.col("first").alias("matched"), F.lit(0.85).alias("risk"), F.lit(0.95).alias("confidence"), (F.col("n") - 1).alias("n_matches"))
+    return salted_join(rows, again, "h", "doc_id").where("doc_id > first").select("doc_id", F.col("first").alias("matched"), F.lit(0.85).alias("risk"), F.lit(0.95).alias("confidence"), (F.col("n") - 1).alias("n_matches"))
 
 
 QUERIES = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimlens.functions import columns as c
 from claimlens.functions import textrules as tr
-from claimlens.operators import pairs
+from claimlens.operators import ordered, pairs
 from claimlens.plans import texts
 from claimlens.sources import readers
 from claimlens.sources.scratch import scratch
@@ -50,11 +50,11 @@ def test_percentiles(spark):
     for n in (1, 4, 5, 10, 101):
         df = spark.range(n).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
         qs = {f"q{p}": p for p in (0.0, 0.5, 0.9, 0.99)}
-        nearest, rounded = c.ranks_of(df, ["g"], "v", qs, nearest=True).first(), c.ranks_of(df, ["g"], "v", qs).first()
+        nearest, rounded = ordered.ranks_of(df, ["g"], "v", qs, nearest=True).first(), ordered.ranks_of(df, ["g"], "v", qs).first()
         for k, p in qs.items():
             assert (nearest[k], rounded[k]) == (float(min(int(n * p), n - 1)), float(round(p * (n - 1))))
     rows = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", None), ("b", None)], "g string, v double")
-    assert [tuple(r) for r in c.ranks_of(rows, ["g"], "v", {"m": 0.5}).collect()] == [("a", 1.0)]
+    assert [tuple(r) for r in ordered.ranks_of(rows, ["g"], "v", {"m": 0.5}).collect()] == [("a", 1.0)]
 
 
 def test_small_functions(spark):
