@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from claimlens.streaming import audit as stream
 
-from . import admin, audit, calibration, crossfile, documents, entities, findings, meta_model, metadata, rules, texts
+from . import admin, audit, calibration, crossfile, documents, entities, files, findings, meta_model, metadata, rules, texts
 
-MODULES = [audit, admin, rules, calibration, meta_model, crossfile, texts, documents, entities, metadata, findings, stream]
+MODULES = [audit, admin, rules, calibration, meta_model, crossfile, texts, documents, entities, metadata, findings, files, stream]
 
 
 def queries() -> dict:

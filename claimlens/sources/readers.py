@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.functions.columns import extension
+from claimlens.sources.office import package_kind
 
 MODULES = T.MapType(T.StringType(), T.StructType([T.StructField("risk_score", T.DoubleType()), T.StructField("risk_level", T.StringType()), T.StructField("n_findings", T.IntegerType()), T.StructField("error", T.StringType())]))
 
@@ -77,11 +78,11 @@ def admitted(files: DataFrame, most_files: int = 8, most_bytes: int = 20 << 20,
 def triage(content, name):
     """Category of a file by its first bytes, else by its extension, else unknown; columns in, a column out.
 
-    A zip file is told apart by its name here; office_text() looks into it.
+    A zip file is an office package if the names in its directory say so, or else its extension; no entry is read.
     """
     head = F.hex(F.substring(content, 1, 12))
     ext = extension(name)
-    office = F.when(ext.isin("docx", "xlsx"), "office").otherwise("archive")
+    office = F.when(package_kind(content).isNotNull() | ext.isin("docx", "xlsx"), "office").otherwise("archive")
     magic = (
         F.when(head.startswith("FFD8FF"), "image")
         .when(head.startswith("89504E470D0A1A0A"), "image")
