@@ -3,9 +3,9 @@
 Documents are dealt at random to shards of a bounded number of rows, and each shard is packed by itself, longest
 document first. A shard's open bins are ordered by what room they have left. For a document, the search starts at the
 smallest room that is enough and goes on to the next larger ones until a bin has no conflict: a bin carries
-a bitmap of the sources and one of the duplicate clusters in it, and a document doesn't go where its cluster,
-or its source if that is exclusive, already is. With no such bin, a new one is opened. A source is exclusive unless it has
-so large a share of the pieces that it can't be kept apart.
+a bitmap of the sources and one of the duplicate clusters in it, and a document doesn't go where its cluster already is, or where
+its source has as many documents as it may. With no such bin, a new one is opened. Every source is limited, by its share: one that an even
+spread would put into each bin at most once is exclusive, and one with more documents than bins may have that many more of them in a bin.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from dataclasses import dataclass
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,38 +27,46 @@ from .common import stored
 class Packing:
     """capacity: tokens of a bin. shard_rows: pieces in a shard, on average.
 
-    exclusive_share: a bin has at most one document of a source that has this share of all pieces or less. Larger sources (there
-    are at most 1 / exclusive_share) may repeat in a bin: with a third of all documents in one source, bins would stay
-    three quarters empty.
+    slack: a bin has at most ceil(slack x n / bins) documents of a source with n pieces in the shard, where bins is what the shard's
+    tokens fill; so 1 of a source with few. An even spread needs n / bins; twice that keeps bins fuller (README).
     """
 
     capacity: int = 2048
     shard_rows: int = 4000
-    exclusive_share: float = 0.1
+    slack: float = 2.0
 
 
-def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, common: frozenset = frozenset()) -> tuple[list[int], list[int], list[int]]:
-    """The bin of each item, and each bin's source and cluster bitmaps (bit numbers in the order of first use).
+def source_limits(sizes: list[int], sources: list, capacity: int, slack: float) -> dict:
+    """How many documents of each source a bin may have."""
+    bins = max(1.0, sum(sizes) / capacity)
+    return {s: max(1, ceil(slack * n / bins)) for s, n in Counter(s for s in sources if s is not None).items()}
 
-    Items are taken by falling size, ties by their order. Null sources, those in common, and null clusters conflict with nothing.
+
+def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, slack: float = 2.0) -> tuple[list[int], list[int], list[int]]:
+    """The bin of each item, and each bin's source and cluster bitmaps.
+
+    A cluster has a bit, in the order of first use, and a source as many bits as a bin may have documents of it; the lowest free one is
+    taken. Items are taken by falling size, ties by their order. Null sources and null clusters conflict with nothing.
     Every size is at most the capacity. Of bins with equal room, the one opened first is tried first.
     """
     again = {c for c, k in Counter(c for c in clusters if c is not None).items() if k > 1}
     bits: dict = {}
-    source_bits: dict = {}
+    masks, width = {}, 0
+    for s, k in source_limits(sizes, sources, capacity, slack).items():
+        masks[s] = ((1 << k) - 1) << width
+        width += k
     placed = [0] * len(sizes)
     rooms: list[tuple[int, int]] = []  # (room, bin), ascending
     bin_sources: list[int] = []
     bin_clusters: list[int] = []
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        c, s = clusters[i], sources[i]
+        c = clusters[i]
         cluster_bit = 1 << bits.setdefault(c, len(bits)) if c in again else 0
-        source_bit = 1 << source_bits.setdefault(s, len(source_bits)) if s is not None else 0
-        barred_source = 0 if s in common else source_bit
+        mask = masks.get(sources[i], 0)
         at = bisect_left(rooms, (sizes[i], -1))
         while at < len(rooms):
             b = rooms[at][1]
-            if not (bin_clusters[b] & cluster_bit or bin_sources[b] & barred_source):
+            if not (bin_clusters[b] & cluster_bit or (mask and bin_sources[b] & mask == mask)):
                 break
             at += 1
         if at < len(rooms):
@@ -66,7 +75,8 @@ def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int, com
             room, b = capacity, len(bin_sources)
             bin_sources.append(0)
             bin_clusters.append(0)
-        bin_sources[b] |= source_bit
+        free = mask & ~bin_sources[b]
+        bin_sources[b] |= free & -free
         bin_clusters[b] |= cluster_bit
         placed[i] = b
         if room > sizes[i]:
@@ -86,7 +96,7 @@ def packed(docs: DataFrame, n_tokens: str = "n_tokens", cluster: str = "cluster"
     docs of other names are not used.
 
     Shards are dealt by a hash of the row's values and its number among equal rows, so a hot source or cluster is spread over all
-    of them, and bins don't depend on the order or the partitions of docs.
+    of them, a source's share in a shard is about that in the table, and bins don't depend on the order or the partitions of docs.
     """
     tokens = F.coalesce(F.col(n_tokens), F.lit(0)).cast("long")
     own = ["doc_id", *keep]
@@ -98,27 +108,26 @@ def packed(docs: DataFrame, n_tokens: str = "n_tokens", cluster: str = "cluster"
     rows = rows.withColumn("piece_tokens", size.cast("int")).withColumn("_order", F.xxhash64(*own, "_source", "_cluster", "piece", "_again"))
     rows = stored(rows.drop("_times", "_tokens"), "pieces")
     # A full piece is a bin by itself; only the others are packed.
-    of_source = rows.where(F.col("piece_tokens") < p.capacity).groupBy("_source").agg(F.count("*").alias("n"))
-    total = of_source.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common = frozenset(r["_source"] for r in of_source.where(F.col("n") > p.exclusive_share * total).collect())
-    shards = max(1, round(total / p.shard_rows))
+    shards = max(1, round(rows.where(F.col("piece_tokens") < p.capacity).count() / p.shard_rows))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("_order"), F.lit(shards)).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by([("_order", "ascending")])
         sizes = table.column("piece_tokens").to_pylist()
-        placed, sources, _ = best_fit(sizes, table.column("_source").to_pylist(), table.column("_cluster").to_pylist(), p.capacity, common)
-        total, items = [0] * len(sources), [0] * len(sources)
-        for s, b in zip(sizes, placed):
-            total[b] += s
+        sources = table.column("_source").to_pylist()
+        placed, bins, _ = best_fit(sizes, sources, table.column("_cluster").to_pylist(), p.capacity, p.slack)
+        total, items, held = [0] * len(bins), [0] * len(bins), [set() for _ in bins]
+        for size, source, b in zip(sizes, sources, placed):
+            total[b] += size
             items[b] += 1
+            held[b].add(source)
         shard = table.column("shard").to_pylist()
         out = table.select([*own, "piece", "n_pieces", "piece_tokens"])
         more = {
             "bin_id": ([f"{s}-{b}" for s, b in zip(shard, placed)], pa.string()),
             "bin_tokens": ([total[b] for b in placed], pa.int32()),
             "bin_items": ([items[b] for b in placed], pa.int32()),
-            "bin_sources": ([sources[b].bit_count() for b in placed], pa.int32()),
+            "bin_sources": ([len(held[b] - {None}) for b in placed], pa.int32()),
         }
         for name, (values, kind) in more.items():
             out = out.append_column(name, pa.array(values, kind))

@@ -1,23 +1,25 @@
 """Best-fit packing against a plain search, and its promises on odd rows."""
 
+import math
 import random
 
 from claimlens.llm import packing as pk
 
 
-def plain(sizes, sources, clusters, capacity, common):
+def plain(sizes, sources, clusters, capacity, slack):
+    limits = {s: max(1, math.ceil(slack * sources.count(s) / max(1, sum(sizes) / capacity))) for s in sources}
     bins, placed = [], [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         fits = [
             (room, b)
             for b, (room, ss, cs) in enumerate(bins)
-            if room > 0 and room >= sizes[i] and (clusters[i] is None or clusters[i] not in cs) and (sources[i] is None or sources[i] in common or sources[i] not in ss)
+            if room > 0 and room >= sizes[i] and (clusters[i] is None or clusters[i] not in cs) and (sources[i] is None or ss.count(sources[i]) < limits[sources[i]])
         ]
         b = min(fits)[1] if fits else len(bins)
         if not fits:
-            bins.append((capacity, set(), set()))
+            bins.append((capacity, [], set()))
         room, ss, cs = bins[b]
-        bins[b] = (room - sizes[i], ss | {sources[i]}, cs | {clusters[i]})
+        bins[b] = (room - sizes[i], ss + [sources[i]], cs | {clusters[i]})
         placed[i] = b
     return placed
 
@@ -27,13 +29,27 @@ def test_best_fit_is_the_tightest_compatible_bin():
     for _ in range(60):
         n = r.randrange(0, 60)
         sizes = [r.randrange(0, 40) for _ in range(n)]
-        sources = [r.choice(["a", "b", "c", None]) for _ in range(n)]
+        sources = [r.choice(["a", "a", "a", "b", "c", None]) for _ in range(n)]
         clusters = [r.choice(["x", "y", None, str(r.random())]) for _ in range(n)]
-        for common in (frozenset(), frozenset("a"), frozenset("abc")):
-            placed, bin_sources, _ = pk.best_fit(sizes, sources, clusters, 50, common)
-            assert placed == plain(sizes, sources, clusters, 50, common)
+        for slack in (0.0, 1.25, 2.0):
+            placed, bin_sources, _ = pk.best_fit(sizes, sources, clusters, 50, slack)
+            assert placed == plain(sizes, sources, clusters, 50, slack)
             for b, bitmap in enumerate(bin_sources):
-                assert bitmap.bit_count() == len({s for s, at in zip(sources, placed) if at == b and s is not None})
+                assert bitmap.bit_count() == sum(at == b and s is not None for s, at in zip(sources, placed))
+
+
+def test_a_hot_source_is_limited_too():
+    """A third of all documents in one source: bins stay full, and none has more of it than twice what an even spread needs."""
+    r = random.Random(6)
+    sizes = [min(2000, int(r.lognormvariate(5.2, 0.9))) for _ in range(4000)]
+    sources = ["hot" if r.random() < 1 / 3 else f"s{r.randrange(19)}" for _ in sizes]
+    placed, _, _ = pk.best_fit(sizes, sources, [None] * len(sizes), 2048)
+    limits = pk.source_limits(sizes, sources, 2048, 2.0)
+    assert 1 < limits["hot"] < 10 and all(n == 1 for s, n in limits.items() if s != "hot")
+    for s in set(sources):
+        held = [b for b, x in zip(placed, sources) if x == s]
+        assert max(map(held.count, set(held))) <= limits[s]
+    assert sum(sizes) / (2048 * (max(placed) + 1)) > 0.93
 
 
 def test_packed_rows(spark):
@@ -53,7 +69,7 @@ def test_packed_rows(spark):
         assert len(clusters) == len(set(clusters))
         assert items[0].bin_sources == len({x.source for x in items} - {None})
         few = [x.source for x in items if x.source and x.source != "s1"]
-        assert len(few) == len(set(few))  # sources of at most a tenth of the pieces are exclusive
+        assert len(few) == len(set(few))  # sources with fewer pieces than bins are exclusive
     whole: dict = {}
     for x in out:
         whole.setdefault(x.doc_id, []).append(x)
