@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from claimlens.functions.blocks import plain, with_similarity
 from claimlens.functions.textbits import with_sign_bits
 from claimlens.operators import fusion, pairs
 from claimlens.plans.rules import made, made_sql
@@ -105,9 +106,29 @@ def greedy_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.greedy_firsts(stored(docs, "text-bits"), "lang", "doc_id", "h")
 
 
+def text_layer_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with near hashes, compared as a text layer and what was read from its picture: similarity by matching blocks,
+    long words of one side only, and whether they differ so much that text is hidden.
+
+    Copies aren't paired: of texts with one hash the first stands for all. Only near hashes are pairs, so that texts are read by two joins
+    on their keys.
+    """
+    docs = stored(with_sign_bits(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "h"), "text-bits")
+    near = pairs.banded_hash_pairs(docs, "doc_id", "h")
+    texts = table(spark, sf_dir, "documents").select("doc_id", plain(F.col("text")).alias("t"))
+    both = near.join(texts.select(F.col("doc_id").alias("key_i"), F.col("t").alias("a")), "key_i").join(texts.select(F.col("doc_id").alias("key_j"), F.col("t").alias("b")), "key_j")
+    words = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: F.length(w) > 3)
+    only_a = F.array_except(words("a"), F.split("b", " "))
+    only_b = F.filter(F.array_except(words("b"), F.split("a", " ")), lambda w: F.regexp_like(w, F.lit("^[a-z]+$")))
+    rows = both.select("key_i", "key_j", "distance", F.size(only_a).alias("only_left"), F.size(only_b).alias("only_right"), "a", "b")
+    out = with_similarity(rows, "a", "b")
+    hidden = (F.col("similarity") <= 0.80) & ((F.col("only_left") > 5) | (F.col("only_right") > 5) | (F.col("similarity") < 0.50))
+    return out.select("key_i", "key_j", "distance", "only_left", "only_right", F.round("similarity", 6).alias("similarity"), hidden.alias("hidden"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (hamming_pairs, cosine_pairs, semantic_minus_hash, historical_duplicates, gps_first_mismatch, group_outliers, all_high_cases, same_source_mode, group_modifier, value_inconsistency, greedy_dedup, greedy_dedup_texts)
+    for f in (hamming_pairs, cosine_pairs, semantic_minus_hash, historical_duplicates, gps_first_mismatch, group_outliers, all_high_cases, same_source_mode, group_modifier, value_inconsistency, greedy_dedup, greedy_dedup_texts, text_layer_similarity)
 }
 
 _F = "WITH f AS (SELECT vec_id, vec_id // 8 AS case_id, embedding AS e FROM embeddings), p AS (SELECT a.case_id, a.vec_id AS i, b.vec_id AS j, a.e AS x, b.e AS y FROM f a JOIN f b ON a.case_id = b.case_id AND a.vec_id < b.vec_id)"
