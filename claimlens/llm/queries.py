@@ -52,7 +52,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     path = scratch(spark, "warc")
     warc.write(pages, path)
-    return warc.resolved(warc.read(spark, path))
+    return warc.read_pages(spark, path)
 
 
 def _rolled_up(spark: SparkSession, rows: DataFrame) -> DataFrame:

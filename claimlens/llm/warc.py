@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
+from .common import stored
+
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, content_length long, http_status int, http_length long, headers map<string,string>, payload binary"
 
 #: The header that each column comes from.
@@ -35,8 +37,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 HEAD_BYTES = 2048
 #: Parts that the pages of one payload are dealt to where repeated digests are joined.
 SALTS = 16
-#: Bytes that a writing task holds before it begins a new archive.
-ARCHIVE_BYTES = 128 << 20
+#: Bytes that a writing task holds before it begins a new archive, and of the archives that a reading task is given.
+ARCHIVE_BYTES, BUNDLE_BYTES = 128 << 20, 64 << 20
+#: Bits of the bitmap of repeated digests: 4 MB at most.
+SLOTS = 1 << 25
 
 
 def _files(path: str) -> tuple[pafs.FileSystem, str]:
@@ -105,8 +109,20 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 @dataclass
-class Archive(InputPartition):
-    name: str
+class Archives(InputPartition):
+    names: list
+
+
+def bundled(files: list) -> list[Archives]:
+    """Archives (name and bytes) in the order of the manifests, so many to a partition that it has BUNDLE_BYTES, or one."""
+    out, held = [], 0
+    for name, size in files:
+        if not out or held + size > BUNDLE_BYTES:
+            out.append(Archives([]))
+            held = 0
+        out[-1].names.append(name)
+        held += size
+    return out
 
 
 def parse_headers(lines: bytes) -> dict[str, str]:
@@ -124,7 +140,7 @@ def parse_headers(lines: bytes) -> dict[str, str]:
 
 
 class WarcReader(DataSourceReader):
-    """A partition per archive. Equality, IN and prefix predicates on the header columns are applied before payloads are inflated."""
+    """Partitions of some archives each. Equality, IN and prefix predicates on the header columns are applied before payloads are inflated."""
 
     def __init__(self, path: str, with_payload: bool):
         self.path, self.with_payload, self.wanted = path, with_payload, []
@@ -143,12 +159,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = _files(self.path)
-        names = []
+        files = []
         for info in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
             if info.base_name.startswith("manifest-"):
                 with fs.open_input_stream(info.path) as f:
-                    names += [Archive(n) for n, _ in json.loads(f.read())]
-        return names or [Archive("")]
+                    files += json.loads(f.read())
+        return bundled(files) or [Archives([])]
 
     def matches(self, headers: dict[str, str]) -> bool:
         for name, how, values in self.wanted:
@@ -157,12 +173,11 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
-    def read(self, partition: Archive):
-        if not partition.name:
-            return
+    def read(self, partition: Archives):
         fs, root = _files(self.path)
-        with fs.open_input_file(f"{root}/{partition.name}") as f:
-            yield from read_members(f, self.matches, self.with_payload)
+        for name in partition.names:
+            with fs.open_input_file(f"{root}/{name}") as f:
+                yield from read_members(f, self.matches, self.with_payload)
 
 
 def read_members(f, matches, with_payload: bool):
@@ -240,11 +255,20 @@ def records(pages: DataFrame, min_revisit_bytes: int = 1000) -> DataFrame:
     rows = pages.select(F.col("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     large = F.col("bytes") >= min_revisit_bytes
-    # Only digests that occur again are joined back, a copy for each salt: one payload may be that of a third of all pages.
     again = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("again"), "first_id")
+    again = stored(again, "repeated-digests")
+    # A bitmap of the digests that occur again keeps all other payloads where they are: only pages whose bit is set are joined. They
+    # are dealt to salts, with a copy of the digests for each: one payload may be that of a third of all pages.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    marks = again.groupBy(F.bitmap_bucket_number(slot("again")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot("again"))).alias("bits"))
+    rows = rows.withColumn("bit", F.bitmap_bit_position(slot("digest"))).join(F.broadcast(marks), F.bitmap_bucket_number(slot("digest")) == F.col("bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = large & F.coalesce(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1, F.lit(False))
     again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = F.pmod(F.xxhash64("page_id", "target_uri"), F.lit(SALTS)).cast("int")
-    rows = rows.withColumn("dealt", dealt).join(again, large & (F.col("digest") == F.col("again")) & (F.col("dealt") == F.col("salt")), "left")
+    few = rows.where(marked).withColumn("dealt", dealt).join(again.hint("merge"), (F.col("digest") == F.col("again")) & (F.col("dealt") == F.col("salt")), "left")
+    columns = ("page_id", "target_uri", "payload", "digest", "bytes")
+    rows = few.select(*columns, "first_id").union(rows.where(~marked).select(*columns, F.lit(None).cast(pages.schema["page_id"].dataType)))
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
     return rows.select(
@@ -274,7 +298,8 @@ def resolved(archive: DataFrame) -> DataFrame:
     """The rows of an archive of pages with the full payload's length and digest.
 
     Returns page_id, payload_bytes, payload_digest, record_type and refers_to. Of a response, length and digest
-    are computed from the payload that was read; of a revisit, they are those its headers repeat.
+    are computed from the payload that was read; of a revisit, they are those its headers repeat. Records of other types
+    have what their headers say, ids that aren't numbers are null, and an empty archive gives no rows.
     """
     page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     response = F.col("record_type") == "response"
@@ -287,4 +312,10 @@ def resolved(archive: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["WarcSource", "member", "read", "read_members", "record", "records", "register", "resolved", "write"]
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """resolved() of the responses and revisits under path. Both predicates on the type reach the source, and revisits are read by their headers alone."""
+    of = lambda kind, payload: resolved(read(spark, path, payload).where(F.col("record_type") == kind))
+    return of("response", True).unionByName(of("revisit", False))
+
+
+__all__ = ["WarcSource", "member", "read", "read_members", "record", "records", "read_pages", "register", "resolved", "write"]

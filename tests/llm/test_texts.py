@@ -205,6 +205,24 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, scratch(spark, "none")).count() == 0
 
 
+def test_warc_query_pushes_types_down(spark):
+    path = scratch(spark, "warc")
+    warc.write(spark.createDataFrame([(i, "u", "same payload " * 100 if i % 3 else str(i), "clash") for i in range(60)], PAGES).repartition(5), path)
+    pages = warc.read_pages(spark, path)
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 2 and "Filter" not in plan  # both predicates are the source's own
+    got = pages.collect()
+    assert sorted(r.page_id for r in got) == list(range(60)) and {r.refers_to for r in got if r.record_type == "revisit"} == {59}
+    assert len({(r.payload_bytes, r.payload_digest) for r in got if r.page_id % 3}) == 1
+    assert [r[0] for r in sorted(map(tuple, warc.resolved(warc.read(spark, path)).collect()))] == list(range(60))
+
+
+def test_small_archives_share_a_partition(monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 100)
+    assert [b.names for b in warc.bundled([("a", 40), ("b", 60), ("c", 1), ("d", 500), ("e", 99)])] == [["a", "b"], ["c"], ["d"], ["e"]]
+    assert warc.bundled([]) == []
+
+
 def test_warc_pushes_predicates_and_skips(tmp_path):
     import io
 
