@@ -24,7 +24,11 @@ from .gru import Adam, back, step, summed_by
 
 @dataclass(frozen=True)
 class Settings:
-    """max_toxic and max_clean bound the labelled rows that the network is fitted on, in so many updates of a batch of windows each."""
+    """max_toxic and max_clean bound the labelled rows that the network is fitted on, in so many passes over their windows at most.
+
+    One in `validation` rows of each class is kept out of the updates; the network that ranks them best (share of
+    toxic and clean pairs in order, softly) is taken, and training ends when none has been better for `patience` updates and three passes. A pass has about `updates` updates, of a batch between the two bounds.
+    """
 
     window: int = 48
     stride: int = 40
@@ -35,8 +39,12 @@ class Settings:
     hidden: int = 8
     max_toxic: int = 1500
     max_clean: int = 3000
-    updates: int = 400
+    passes: int = 24
+    patience: int = 200
+    validation: int = 6
+    updates: int = 60
     rate: float = 0.01
+    least_batch: int = 64
     batch: int = 128
     seed: int = 7
 
@@ -221,26 +229,40 @@ def fit(texts: pa.Array | list[str], labels: list[int], s: Settings = Settings()
     net.p["known"] = (texts_of >= s.least_texts).astype(np.float32)
     adam = Adam({k: v for k, v in net.p.items() if k != "known"}, s.rate)
     offsets = np.arange(s.window)
-    done, epoch = 0, 0
-    while done < s.updates:
+    aside = np.zeros(len(y), bool)
+    for label in (0, 1):
+        own = r.permutation(np.flatnonzero(y == label))
+        aside[own[: len(own) // s.validation]] = True
+    best, kept, since, passes = -1.0, None, 0, 0
+    for epoch in range(s.passes):
         chosen = np.zeros(len(text), bool)
         key = r.random(len(text))
         if epoch:
-            logit = net.logits(w, text, start, count)
             order = np.lexsort((-logit, text))
             chosen[order[np.concatenate(([True], text[1:] != text[:-1]))]] = True
             key[y[text] == 1] = 2  # a toxic text's other windows may be clean
         order = np.lexsort((key, text))
         place = np.arange(len(text)) - np.repeat(np.cumsum(np.bincount(text)) - np.bincount(text), np.bincount(text))
         chosen[order[(place < 3) & (key[order] < 2)]] = True
-        at = r.permutation(np.flatnonzero(chosen))
-        for i in range(0, len(at), s.batch)[: s.updates - done]:
-            b = at[i : i + s.batch]
+        at = r.permutation(np.flatnonzero(chosen & ~aside[text]))
+        size = int(np.clip(len(at) // s.updates, s.least_batch, s.batch))
+        for i in range(0, len(at), size):
+            b = at[i : i + size]
             index = w.index[np.minimum(start[b, None] + offsets, max(0, len(w.index) - 1))] if len(w.index) else np.zeros((len(b), s.window), np.int64)
             words, index = local(w, index, count[b])
             adam.update(net.gradients(words, net.inputs(words), index, count[b], y[text[b]], np.ones(len(b), np.float32)))
-            done += 1
-        epoch += 1
+        logit = net.logits(w, text, start, count)
+        if aside[y == 0].any() and aside[y == 1].any():
+            top = np.full(len(y), -np.inf)
+            np.maximum.at(top, text, logit)
+            rank = float(np.mean(1 / (1 + np.exp(np.clip(top[aside & (y == 0)][:, None] - top[aside & (y == 1)], -30, 30)))))
+            since, passes = since + -(-len(at) // size), passes + 1
+            if rank > best:
+                best, kept, since, passes = rank, {k: v.copy() for k, v in net.p.items()}, 0, 0
+            elif since >= s.patience and passes >= 3:
+                break
+    if kept is not None:
+        net.p = kept
     return net
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import re
 import random
 import zlib
 
@@ -210,7 +211,7 @@ def test_warc_query_pushes_types_down(spark):
     warc.write(spark.createDataFrame([(i, "u", "same payload " * 100 if i % 3 else str(i), "clash") for i in range(60)], PAGES).repartition(5), path)
     pages = warc.read_pages(spark, path)
     plan = pages._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("BatchScan") == 2 and "= response" not in plan and "= revisit" not in plan  # both predicates are the source's own
+    assert plan.count("BatchScan") == 2 and not re.search("Filter[^\n]*= re", plan)  # both predicates are the source's own
     got = pages.collect()
     assert sorted(r.page_id for r in got) == list(range(60)) and {r.refers_to for r in got if r.record_type == "revisit"} == {59}
     assert len({(r.payload_bytes, r.payload_digest) for r in got if r.page_id % 3}) == 1
