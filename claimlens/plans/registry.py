@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from claimlens.streaming import audit as stream
+from claimlens.streaming import changes
 
 from . import admin, audit, calibration, crossfile, documents, entities, files, findings, meta_model, metadata, rules, texts
 
-MODULES = [audit, admin, rules, calibration, meta_model, crossfile, texts, documents, entities, metadata, findings, files, stream]
+MODULES = [audit, admin, rules, calibration, meta_model, crossfile, texts, documents, entities, metadata, findings, files, stream, changes]
 
 
 def queries() -> dict:

@@ -30,14 +30,15 @@ def feed(spark: SparkSession, folder: str, glob: str = "events.parquet", late: s
     return rows.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 
 
-def latest_result(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def latest_result(stream: DataFrame, name: str, keys: list[str], path: str | None = None) -> DataFrame:
     """The newest row of each key of an aggregation over all available data.
 
     Update mode: a micro-batch has the rows that it changed, and goes to a folder of its own by number, so that a repeated one
-    replaces itself and nothing is rewritten; state behind the watermark is dropped.
+    replaces itself and nothing is rewritten; state behind the watermark is dropped. With a path of an earlier run the stream goes on
+    where that one ended, and both runs' rows count.
     """
     spark = stream.sparkSession
-    path = scratch(spark, name)
+    path = path or scratch(spark, name)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/result/batch={number}")
@@ -49,14 +50,21 @@ def latest_result(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
+#: Rows of a written file, and the trigger's interval: what is there is written after so many rows or so long.
+FLUSH_ROWS, FLUSH_EVERY = 100, "2 seconds"
+
+
 def ingest(stream: DataFrame, path: str, state: str, every: str | None = None):
     """Appends a stream's micro-batches to a table, each in a folder of its own by number, so that a repeated one replaces itself.
 
-    User agents and paths are cut as the table's columns are; every is a processing-time trigger, else what is available is taken.
+    Texts are cut as the table's columns are. flushed_at is when the micro-batch was taken from the feed, one moment for all its rows, while ts
+    stays the event's own. A file has FLUSH_ROWS rows at most. every is a processing-time trigger (FLUSH_EVERY for a live feed), else
+    what is available is taken.
     """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("props", F.substring("props", 1, 500)).drop("at").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.withColumn("props", F.substring("props", 1, 500)).withColumn("flushed_at", F.current_timestamp()).drop("at")
+        rows.write.mode("overwrite").option("maxRecordsPerFile", FLUSH_ROWS).parquet(f"{path}/batch={number}")
 
     writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", state)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
