@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimlens.plans.metadata import SOFTWARE
-from claimlens.sources import office, packages, revisions
+from claimlens.sources import compound, office, packages, revisions
 from claimlens.sources.tables import table
 
 
@@ -141,7 +141,27 @@ def pdf_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(chain, "doc_id").select("doc_id", "n_eof", "n_tables", "state", "first_table", "least_gap", "largest_gap", f["code"].alias("code"), f["risk"].alias("risk"))
 
 
-QUERIES = {f.__name__: f for f in (embedded_pictures, png_text_findings, xmp_history, office_packages, pdf_revisions)}
+def macros_of(_: int, text: str) -> bytes:
+    """A compound file with a module per four lines: a line is a comment in a procedure, which runs by itself where the line has an @. Where the text has a #, the
+    file's tables are cut off."""
+    modules: dict[str, bytes] = {}
+    for i, line in lines(text):
+        name = "AutoOpen" if b"@" in line else f"Work{i}"
+        modules.setdefault(f"Module{i // 4}", b"")
+        modules[f"Module{i // 4}"] += f"Sub {name}()\r\n' ".encode() + line.replace(b"\r", b" ") + b"\r\nEnd Sub\r\n"
+    file = compound.project(modules)
+    return file[: -compound.SECTOR] if "#" in text else file
+
+
+def macro_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules and findings of each document's macro container."""
+    files = packages.built(table(spark, sf_dir, "documents"), "doc_id", "text", macros_of)
+    modules = compound.macro_modules(files)
+    out = compound.macro_findings(modules, "doc_id").join(modules.groupBy("doc_id").agg(F.sum(F.octet_length(F.encode("code", "ISO-8859-1"))).alias("code_bytes")), "doc_id")
+    return out.select("doc_id", "n_modules", "n_broken", F.coalesce("code_bytes", F.lit(0)).alias("code_bytes"), F.array_join("codes", ",").alias("codes"), "risk")
+
+
+QUERIES = {f.__name__: f for f in (embedded_pictures, png_text_findings, xmp_history, office_packages, pdf_revisions, macro_containers)}
 
 _LINES = "SELECT doc_id, i - 1 AS i, l[i] AS line, strlen(l[i]) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) WHERE l[i] <> ''"
 
@@ -162,6 +182,12 @@ ORACLES = {
         f AS (SELECT conv_id, n, CASE WHEN n <= 2 THEN 's' WHEN ai > 0 THEN 'a' WHEN ps >= 3 THEN 'p' WHEN saves >= 5 THEN 'v' END AS k FROM g)
         SELECT conv_id, CASE WHEN n > 2 THEN n ELSE 0 END::INT AS n_events, CASE k WHEN 's' THEN 'META_XMP_HISTORY_STRIPPED' WHEN 'a' THEN 'META_XMP_AI_TOOL_HISTORY' WHEN 'p' THEN 'META_XMP_EDIT_HISTORY' WHEN 'v' THEN 'META_XMP_EDIT_HISTORY' END AS code,
                CASE k WHEN 's' THEN 0.15 WHEN 'a' THEN 0.50 WHEN 'p' THEN 0.20 WHEN 'v' THEN 0.15 END::DOUBLE AS risk FROM f""",
+    "macro_containers": f"""
+        WITH l AS (SELECT doc_id, i, n, line, contains(line, '@') OR regexp_matches(line, '(?i)\\b({'|'.join(compound.AUTO_RUN)})\\b') AS auto, regexp_matches(line, '(?i){'|'.join(compound.SUSPICIOUS)}') AS bad FROM ({_LINES})),
+        g AS (SELECT doc_id, count(DISTINCT i // 4) AS modules, bool_or(auto) AS auto, bool_or(bad) AS bad, sum(n + 4 + CASE WHEN contains(line, '@') THEN 8 ELSE 4 + length(i::VARCHAR) END + 2 + 2 + 2 + 2 + 9) AS bytes FROM l GROUP BY 1)
+        SELECT doc_id, CASE WHEN contains(text, '#') THEN 0 ELSE modules END AS n_modules, contains(text, '#')::BIGINT AS n_broken, CASE WHEN contains(text, '#') THEN 0 ELSE bytes END::BIGINT AS code_bytes,
+               CASE WHEN contains(text, '#') THEN '' ELSE CASE WHEN auto THEN 'OFFICE_VBA_AUTOEXEC' ELSE 'OFFICE_VBA_PRESENT' END || CASE WHEN bad THEN ',OFFICE_VBA_SUSPICIOUS' ELSE '' END END AS codes,
+               CASE WHEN contains(text, '#') THEN 0 WHEN auto THEN 0.70 WHEN bad THEN 0.60 ELSE 0.45 END::DOUBLE AS risk FROM documents JOIN g USING (doc_id)""",
     "office_packages": f"""
         WITH l AS (SELECT doc_id, i, line, length(line) AS n, regexp_matches(line, '[0-9]') AS digit, contains(line, '@') AS sign, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM ({_LINES})),
         g AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (sign) AS signs, count(*) FILTER (digit AND NOT sign) AS hidden, count(*) FILTER (again AND trim(line) <> '') AS dels, count(*) FILTER (again OR digit) AS changes,

@@ -133,3 +133,39 @@ def test_pdf_revisions_by_a_plain_reading(spark):
         r = got[d.doc_id]
         code = "DOC_MULTIPLE_UPDATES" if len(ends) >= 3 else "DOC_INCREMENTAL_UPDATE" if len(ends) == 2 else None
         assert (r.n_eof, r.n_tables, r.state, r.first_table, r.least_gap, r.largest_gap, r.code) == (len(ends), len(ends), "last", content.index(b"xref\n"), min(gaps), max(gaps), code)
+
+
+def test_macro_containers(spark):
+    from claimlens.sources import compound as c
+
+    code = {"Small": b"Sub AutoOpen()\r\n", "Big": bytes(range(256)) * 300}
+    good = c.project(code)
+    large = c.project({"M": b"x = Shell(1)\n" * 500_000})
+    fat = lambda f: 512 * (c.struct.unpack_from("<I", f, 76)[0] + 1)
+    big = dict((p, (s, n)) for p, s, n in c.CompoundFile(good).streams())["VBA/Big"][0]
+    loop = bytearray(good)
+    c.struct.pack_into("<I", loop, fat(good) + 4 * (big + 1), big)
+    siblings = bytearray(good)
+    at = good.index("Small".encode("utf-16-le"))
+    c.struct.pack_into("<I", siblings, at + 72, 2)  # its right sibling is the first one
+    df = frame(spark, [good, loop, siblings, good[:-512], good[:100], b"", None, large])
+    rows = c.macro_modules(df)
+    got = {(r.i, r.module): (r.code, r.state) for r in rows.where("i < 7").collect()}
+    assert got[0, "Small"] == ("Sub AutoOpen()\r\n", "ok") and got[0, "Big"] == (code["Big"].decode("latin-1"), "ok")
+    assert got[1, "Small"][1] == "ok" and got[1, "Big"] == (None, "loop")
+    assert {k[0]: v for k, v in got.items() if k[0] > 1} == {2: (None, "loop"), 3: (None, "outside"), 4: (None, "signature"), 5: (None, "signature"), 6: (None, "signature")}
+    found = {r.i: (r.n_modules, r.n_broken, list(r.codes), r.risk) for r in c.macro_findings(rows, "i").collect()}
+    assert found[0] == (2, 0, ["OFFICE_VBA_AUTOEXEC"], 0.70) and found[1] == (1, 1, ["OFFICE_VBA_AUTOEXEC"], 0.70) and found[3] == (0, 1, [], 0.0)
+    assert found[7] == (1, 0, ["OFFICE_VBA_PRESENT", "OFFICE_VBA_SUSPICIOUS"], 0.60)
+
+
+def test_copies_in_macro_code():
+    from claimlens.sources import compound as c
+
+    # the examples of the format's published specification
+    plain = bytes.fromhex("0119B000616263646566676800696A6B6C6D6E6F70007172737475762E")
+    assert c.unpacked(plain) == b"abcdefghijklmnopqrstuv."
+    assert c.unpacked(bytes.fromhex("0103B002614500")) == b"a" * 73
+    for broken in (b"", b"\x02", bytes.fromhex("0103B00161FFFF"), bytes.fromhex("0102B0026145")):
+        with pytest.raises(c.Broken):
+            c.unpacked(broken)
