@@ -140,6 +140,17 @@ def invalid_ibans(text: Column) -> Column:
     return F.filter(found, lambda s: ~mod_97_iban(s))
 
 
+def identifier_findings(text: Column) -> Column:
+    """Codes and risks: numbers or accounts whose check digits are wrong, .75 each; trust of -.10 where there are some and all are right."""
+    ids, accounts = identifiers(text), F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)\\b(HR[0-9]{19})\\b"), F.lit(1)))
+    bad_ids, bad_accounts = F.size(invalid_identifiers(text)) > 0, F.size(invalid_ibans(text)) > 0
+    of = lambda code, risk: F.struct(F.lit(code).alias("code"), F.lit(risk).alias("risk"))
+    some = F.size(ids) + F.size(accounts) > 0
+    return F.array_compact(
+        F.array(F.when(bad_ids, of("CONTENT_INVALID_OIB", 0.75)), F.when(bad_accounts, of("CONTENT_INVALID_IBAN", 0.75)), F.when(some & ~bad_ids & ~bad_accounts, of("CONTENT_VALID_IDENTIFIERS", -0.10)))
+    )
+
+
 def word_chunks(w: Column, size: int = 500, stride: int = 372, most: int | None = None, least_chars: int = 50) -> Column:
     """Overlapping chunks of all words as texts, those of more than least_chars characters; with most, the first ones only."""
     starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(stride))

@@ -24,8 +24,10 @@ def hash_pairs(df: DataFrame, group: str, order: str, h: str, most: int = 8, clo
     return p.select(group, f"{order}_i", f"{order}_j", "distance", F.when(F.col("distance") <= close, 0.85).otherwise(0.75).alias("risk"))
 
 
-def cosine_pairs(df: DataFrame, group: str, order: str, vector: str, least: float = 0.93) -> DataFrame:
-    p = pairs_within(df, group, order, [vector]).withColumn("similarity", cosine(F.col(f"{vector}_i"), F.col(f"{vector}_j")))
+def cosine_pairs(df: DataFrame, group: str, order: str, vector: str, least: float = 0.93, least_dims: int = 384) -> DataFrame:
+    """Pairs of a group whose vectors are alike; vectors of fewer numbers than least_dims, or of different lengths, aren't compared."""
+    p = pairs_within(df.where(F.size(vector) >= least_dims), group, order, [vector]).where(F.size(f"{vector}_i") == F.size(f"{vector}_j"))
+    p = p.withColumn("similarity", cosine(F.col(f"{vector}_i"), F.col(f"{vector}_j")))
     return p.where(F.col("similarity") >= least).select(group, f"{order}_i", f"{order}_j", "similarity")
 
 

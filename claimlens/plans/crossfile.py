@@ -32,7 +32,7 @@ def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs.cosine_pairs(files(spark, sf_dir), "case_id", "vec_id", "embedding", SIMILAR)
+    p = pairs.cosine_pairs(files(spark, sf_dir), "case_id", "vec_id", "embedding", SIMILAR, least_dims=64)
     return p.select("vec_id_i", "vec_id_j", F.round("similarity", 5).alias("similarity"))
 
 

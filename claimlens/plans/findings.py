@@ -107,6 +107,23 @@ def image_quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("category", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pictures each reason rejects, copies of one that passed included, and how many remain of each category.
+
+    Copies are pictures of one category with the same bytes; the first stays. They only count among those that passed the other gates.
+    """
+    k = F.col("p_partkey")
+    category = F.when(k % 4 == 0, "mobile_quality").otherwise("desktop")
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), category.alias("category"), (k * 37 % 20000).alias("bytes"), F.least(k * 13 % 900, k * 7 % 800 + 100).alias("side"), (k * 3 % 200).alias("sharpness"), F.xxhash64("p_brand", "p_size").alias("digest"))
+    reason = F.when(F.col("bytes") < 5000, "too_small_bytes").when(F.col("side") < 256, "too_small_resolution").when((F.col("category") != "mobile_quality") & (F.col("sharpness") < 50), "too_blurry")
+    rows = rows.withColumn("reason", reason)
+    firsts = rows.where("reason is null").groupBy("category", "digest").agg(F.count("*").alias("n")).groupBy("category").agg(F.count("*").alias("kept"), F.sum(F.col("n") - 1).alias("copies"))
+    rejected = rows.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).select(F.lit("rejected").alias("part"), F.col("reason").alias("name"), "n")
+    copies = firsts.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).select(F.lit("rejected").alias("part"), F.lit("duplicate").alias("name"), "n")
+    remaining = firsts.select(F.lit("remaining").alias("part"), F.col("category").alias("name"), F.col("kept").alias("n"))
+    return rejected.union(copies).union(remaining)
+
+
 def gps_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions out of range, at the null island, or at an impossible height."""
     k = F.col("c_custkey")
@@ -202,7 +219,7 @@ def skipped_modules(spark: SparkSession, sf_dir: str, skip: str = "pixel, clip,,
 QUERIES = {
     f.__name__: f
     for f in (
-        pillar_rollup, finding_categories, consensus_counts, top_module_category, file_labels, image_quality_gates, gps_rules, box_clamp, enum_coercion, revision_gaps, weather_join,
+        pillar_rollup, finding_categories, consensus_counts, top_module_category, file_labels, image_quality_gates, quality_report, gps_rules, box_clamp, enum_coercion, revision_gaps, weather_join,
         merged_descriptions, cascade_delete, point_lookup, camel_or_snake, skipped_modules,
     )
 }
@@ -228,6 +245,12 @@ ORACLES = {
     "image_quality_gates": """
         WITH p AS (SELECT p_partkey * 37 % 20000 AS b, p_partkey * 13 % 900 AS w, p_partkey * 7 % 800 + 100 AS h, p_partkey * 3 % 200 AS s, CASE WHEN p_partkey % 4 = 0 THEN 'mobile_quality' ELSE 'desktop' END AS category FROM part)
         SELECT category, CASE WHEN b < 5000 THEN 'too_small_bytes' WHEN least(w, h) < 256 THEN 'too_small_resolution' WHEN category = 'desktop' AND s < 50 THEN 'too_blurry' ELSE 'ok' END AS reason, count(*) AS n FROM p GROUP BY 1, 2""",
+    "quality_report": """
+        WITH p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 'mobile_quality' ELSE 'desktop' END AS category, p_brand || '|' || p_size AS d,
+                          CASE WHEN p_partkey * 37 % 20000 < 5000 THEN 'too_small_bytes' WHEN least(p_partkey * 13 % 900, p_partkey * 7 % 800 + 100) < 256 THEN 'too_small_resolution' WHEN p_partkey % 4 <> 0 AND p_partkey * 3 % 200 < 50 THEN 'too_blurry' END AS reason FROM part)
+        SELECT 'rejected' AS part, reason AS name, count(*) AS n FROM p WHERE reason IS NOT NULL GROUP BY reason
+        UNION ALL SELECT 'rejected', 'duplicate', (SELECT count(*) - count(DISTINCT category || d) FROM p WHERE reason IS NULL)
+        UNION ALL SELECT 'remaining', category, count(DISTINCT d) FROM p WHERE reason IS NULL GROUP BY category""",
     "gps_rules": """
         WITH g AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN 0.001 ELSE c_custkey * 31 % 200 - 100 END AS lat, CASE WHEN c_custkey % 10 = 0 THEN -0.002 ELSE c_custkey * 17 % 400 - 200 END AS lon, c_custkey * 97 % 12000 - 1000 AS alt FROM customer),
         f AS (SELECT *, abs(lat) > 90 OR abs(lon) > 180 AS bad FROM g)

@@ -39,6 +39,27 @@ def text_stat_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(s, 7).alias("score")).withColumn("band", tr.text_band(F.col("score")))
 
 
+def text_full_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistical score of long enough texts by all three signals, sentence lengths included, discounted as there is no classifier."""
+    t = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", t.alias("text")).where(tr.long_enough(F.col("text")))
+    rows = text_statistics(docs)
+    s = tr.combined(tr.statistical_score(F.col("repetition"), F.col("ttr"), F.col("cv")), F.lit(None).cast("double"))
+    return rows.select("doc_id", F.round("cv", 6).alias("cv"), F.round(s, 6).alias("score")).withColumn("band", tr.text_band(F.col("score")))
+
+
+def identifier_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of texts that name a customer's number and, for most, an account; the check digits of some are off by one."""
+    k = F.col("c_custkey")
+    number = F.lpad((k * 7919 + 104729).cast("string"), 11, "0")
+    account = F.lpad((k * 7919).cast("string"), 17, "0")
+    right = 98 - (F.concat(account, F.lit("172700")).cast("decimal(38,0)") % 97).cast("int")
+    check = F.lpad(F.when(k % 3 > 0, right).otherwise(right % 97 + 1).cast("string"), 2, "0")
+    text = F.concat(F.col("c_name"), F.lit(" id "), F.when(k % 7 > 0, number).otherwise("none"), F.lit(", account "), F.when(k % 5 > 0, F.concat(F.when(k % 2 == 0, "hr").otherwise("HR"), check, account)).otherwise("none"), F.lit("; "), number)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", tr.identifier_findings(text).alias("f"))
+    return rows.select("c_custkey", F.array_join(F.transform("f", lambda x: x["code"]), ",").alias("codes"), F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x["risk"]), 2).alias("total"))
+
+
 def text_language_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return table(spark, sf_dir, "documents").groupBy("lang", tr.likely_english(t).alias("english"), tr.long_enough(t).alias("long_enough")).agg(F.count("*").alias("n"))
@@ -144,7 +165,7 @@ def url_file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_ngram_repetition, text_ttr, text_sentence_cv, text_stat_score, text_language_gate, word_chunk_counts, id_checksum, iban_checksum, amount_parse, math_consistency,
+        text_ngram_repetition, text_ttr, text_sentence_cv, text_stat_score, text_full_score, identifier_checks, text_language_gate, word_chunk_counts, id_checksum, iban_checksum, amount_parse, math_consistency,
         hidden_chars, homoglyph_lines, url_file_rules,
     )
 }
@@ -154,7 +175,15 @@ _G = r""", g AS (SELECT doc_id, t, w, CASE WHEN len(w) >= 4 THEN (len(w) - 3 - l
     CASE WHEN len(w) > 50 THEN len(list_distinct(w)) / len(w) END AS ttr FROM d)"""
 _M = ", ".join(f"'{w}'" for w in tr.ENGLISH)
 
+#: Whether the 11 digits of a column carry a right check digit: the rest after ten digits, then the check.
+_CHECKED = "list_reduce(list_prepend(10, [ascii(d) - 48 for d in string_split({d}[1:10], '')]), lambda r, x: (CASE WHEN (r + x) % 10 = 0 THEN 10 ELSE (r + x) % 10 END * 2) % 11)"
+
 ORACLES = {
+    "identifier_checks": f"""
+        WITH n AS (SELECT c_custkey AS k, lpad((c_custkey * 7919 + 104729)::VARCHAR, 11, '0') AS d FROM customer),
+        c AS (SELECT k, (CASE WHEN 11 - {_CHECKED.format(d="d")} = 10 THEN 0 ELSE (11 - {_CHECKED.format(d="d")}) % 11 END) = (ascii(d[11]) - 48) AS good, k % 5 > 0 AND k % 3 = 0 AS bad FROM n)
+        SELECT k AS c_custkey, CASE WHEN NOT good AND bad THEN 'CONTENT_INVALID_OIB,CONTENT_INVALID_IBAN' WHEN NOT good THEN 'CONTENT_INVALID_OIB' WHEN bad THEN 'CONTENT_INVALID_IBAN' ELSE 'CONTENT_VALID_IDENTIFIERS' END AS codes,
+               CASE WHEN NOT good AND bad THEN 1.50 WHEN NOT good OR bad THEN 0.75 ELSE -0.10 END::DOUBLE AS total FROM c""",
     "text_ngram_repetition": _W + _G + " SELECT doc_id, round(r, 8) AS repetition FROM g",
     "text_ttr": _W + _G + " SELECT doc_id, round(ttr, 8) AS ttr FROM g",
     "text_stat_score": _W + _G + """, s AS (SELECT doc_id, round(0.85 * (0.20 * greatest(0, least(1, r / 0.05)) + coalesce(0.15 / (1 + exp(15 * (ttr - 0.42))), 0)) / (0.20 + CASE WHEN ttr IS NULL THEN 0 ELSE 0.15 END), 7) AS score FROM g WHERE length(trim(t, ' ')) >= 300)

@@ -51,10 +51,13 @@ def tsv_rows(spark: SparkSession, path: str, columns: list[str], json_column: st
 
 
 def label_map(spark: SparkSession, path: str, key: str = "filename") -> DataFrame:
-    """A CSV of labels, one row per key: the last in the file wins."""
+    """A CSV of labels, one row per key: the last in the file wins; of several files, that in the last by name.
+
+    Tasks take splits of files in any order, so a row's place is its file, where its split begins, and its number within the task.
+    """
     df = spark.read.option("header", True).csv(path)
     rest = [c for c in df.columns if c != key]
-    order = F.monotonically_increasing_id()
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
     return df.withColumn("_n", order).groupBy(key).agg(F.max_by(F.struct(*rest), "_n").alias("r")).select(key, "r.*")
 
 

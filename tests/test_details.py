@@ -66,3 +66,44 @@ def test_first_of_each_and_search(spark):
     df = spark.createDataFrame([("a", 2, "x", None), ("a", 1, "y", "/p"), (None, 5, "z", "/q")], "k string, o int, session_id string, path string").withColumn("ts", F.expr("timestamp_ntz'2024-01-01'"))
     assert sorted((r.k or "", r.o, r.session_id) for r in d.first_of_each(df, ["k"], ["o"]).collect()) == [("", 5, "z"), ("a", 1, "y")]
     assert d.audit_search(df, contains="/").count() == 2 and d.audit_search(df, contains="", session_id="").count() == 3 and d.audit_search(df, session_id="x", start="2024-01-01 00:00:00", end="2024-01-01 00:00:00").count() == 1
+
+
+def test_full_text_score(spark):
+    """All three signals in plain Python over whole documents."""
+    import math
+    import re
+
+    from claimlens.plans import texts
+
+    got = {r.doc_id: r for r in texts.text_full_score(spark, SF).collect()}
+    docs = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    checked = 0
+    for i, text in docs.items():
+        if i not in got:
+            assert len(text) < 300
+            continue
+        sentences = [s.strip() for p in re.split(r"(?<=[.!?])\s+(?=[A-ZĀ-ɏ])", text, flags=re.A) for s in p.split("\n\n")]
+        n = [len(s.split()) for s in sentences if len(s.strip(" ")) > 10]
+        cv = None
+        if len(n) >= 5:
+            mean = sum(n) / len(n)
+            cv = math.sqrt(sum((x - mean) ** 2 for x in n) / len(n)) / mean
+        w = re.findall(r"[^ \t\n\x0b\f\r]+", text.lower())
+        grams = [tuple(w[k : k + 4]) for k in range(len(w) - 3)]
+        signals = [(max(0, min(1, (len(grams) - len(set(grams))) / len(grams) / 0.05)) if grams else 0.0, 0.20)]
+        signals += [(sigmoid(-15 * (len(set(w)) / len(w) - 0.42)), 0.15)] if len(w) > 50 else []
+        signals += [(sigmoid(-8 * (cv - 0.4)), 0.10)] if cv is not None else []
+        score = 0.85 * sum(s * x for s, x in signals) / sum(x for _, x in signals)
+        assert (got[i].cv is None) == (cv is None) and abs(got[i].score - score) < 1e-5, i
+        checked += 1
+    assert checked > 50
+
+
+def test_identifier_findings(spark):
+    from claimlens.functions import textrules as tr
+
+    rows = [("id 69435151530 ok",), ("id 69435151531",), ("HR1210010051863000160 and 69435151530",), ("hr1310010051863000160",), ("11111111111",), ("none",), ("",)]
+    got = [[(f.code.removeprefix("CONTENT_"), f.risk) for f in r.f] for r in spark.createDataFrame(rows, "t string").select(tr.identifier_findings(F.col("t")).alias("f")).collect()]
+    valid = [("VALID_IDENTIFIERS", -0.10)]
+    assert got == [valid, [("INVALID_OIB", 0.75)], valid, [("INVALID_IBAN", 0.75)], [], [], []]
