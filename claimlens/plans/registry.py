@@ -5,9 +5,9 @@ from __future__ import annotations
 from claimlens.streaming import audit as stream
 from claimlens.streaming import changes
 
-from . import admin, audit, calibration, crossfile, details, documents, entities, files, findings, meta_model, metadata, rules, texts
+from . import admin, audit, calibration, crossfile, details, documents, dtos, entities, files, findings, meta_model, metadata, rules, texts
 
-MODULES = [audit, admin, rules, calibration, meta_model, crossfile, texts, documents, entities, metadata, findings, files, details, stream, changes]
+MODULES = [audit, admin, rules, calibration, meta_model, crossfile, texts, documents, entities, dtos, metadata, findings, files, details, stream, changes]
 
 
 def queries() -> dict:

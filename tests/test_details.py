@@ -107,3 +107,30 @@ def test_identifier_findings(spark):
     got = [[(f.code.removeprefix("CONTENT_"), f.risk) for f in r.f] for r in spark.createDataFrame(rows, "t string").select(tr.identifier_findings(F.col("t")).alias("f")).collect()]
     valid = [("VALID_IDENTIFIERS", -0.10)]
     assert got == [valid, [("INVALID_OIB", 0.75)], valid, [("INVALID_IBAN", 0.75)], [], [], []]
+
+
+def test_codes_and_json_of_dtos(spark):
+    from claimlens.operators import dtos
+
+    rows = [(0, '[{"ruleName":"a","triggered":true}]'), (1, "[]"), (2, "{broken"), (9, '{"ruleName":"a"}'), (None, None), (-1, "")]
+    df = spark.createDataFrame(rows, "c int, j string")
+    kind = dtos.INSPECTION_JSON["decision_trace_json"][1]
+    got = df.select(dtos.name_of(F.col("c"), ["x", "y"]).alias("n"), dtos.parsed(F.col("j"), kind, True).alias("e"), dtos.parsed(F.col("j"), kind, False).alias("p")).collect()
+    assert [r.n for r in got] == ["x", "y", "2", "9", None, "-1"]
+    assert [len(r.e) for r in got] == [1, 0, 0, 0, 0, 0] and [r.p is None for r in got] == [False, False, True, True, True, True]
+
+
+def test_dto_children_are_structs_in_order(spark):
+    from claimlens.operators import dtos
+    from claimlens.plans.dtos import ENTITIES, entity_frame
+
+    frames = [entity_frame(spark, SF, n) for n in ENTITIES]
+    out = dtos.inspection_dto(*frames)
+    assert len(out.columns) == 60
+    rows = {r.id: r for r in out.collect()}
+    assert len(rows) == frames[0].count()
+    one = next(r for r in rows.values() if len(r.file_forensic_results) == 2)
+    assert [f.sort_order for f in one.file_forensic_results] == [8, 9] and one.forensic_result == one.file_forensic_results[0]
+    assert all([d.id for d in r.damages] == sorted(d.id for d in r.damages) for r in rows.values())
+    alone = dtos.inspection_dto(frames[0], *(f.limit(0) for f in frames[1:])).first()
+    assert (alone.damages, alone.file_forensic_results, alone.forensic_result, alone.owner_email) == ([], [], None, None)
