@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from claimlens.sources.scratch import scratch, stored
 from claimlens.sources.tables import table
 
-__all__ = ["Tokens", "chunks", "mixed", "scratch", "stored", "string_bytes", "string_hashes", "table", "text_batches", "with_columns"]
+__all__ = ["Tokens", "chunks", "free_name", "mixed", "scratch", "stored", "string_bytes", "string_hashes", "table", "text_batches", "with_columns"]
 
 #: Bytes of text that a task works on at once, besides at most one longer text.
 CHUNK_BYTES = 4_000_000
@@ -101,6 +101,14 @@ def string_hashes(strings: pa.Array) -> np.ndarray:
     return mixed(sums + lengths.astype(np.uint64))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def appended(batch: pa.RecordBatch, fields: list[pa.Field], columns: list) -> pa.RecordBatch:
     """batch with more columns; a column of a like name gives way to the new one."""
     new = {f.name.lower() for f in fields}

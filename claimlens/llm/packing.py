@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_join
-from .common import stored
+from .common import free_name, stored
 
 
 @dataclass(frozen=True)
@@ -160,8 +160,9 @@ def words_and_class(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Rows are told apart by a key of their own, so that null and repeated doc_ids do no harm; clusters are named by their texts.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "packing-rows")
-    classes = ngram_join.similar_texts(rows.select(F.col("_row").alias("doc_id"), text), text, class_key=True)
-    linked = classes.where("n_links > 0").select(F.col("doc_id").alias("_row"), F.col("class_key").cast("string").alias("_class"))
-    out = words_and_cluster(rows, text).join(linked, "_row", "left")
-    return out.withColumn("cluster", F.coalesce("_class", "cluster")).drop("_row", "_class")
+    row = free_name(docs.columns, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "packing-rows")
+    classes = ngram_join.similar_texts(rows.select(F.col(row).alias("doc_id"), text), text, class_key=True)
+    linked = classes.where("n_links > 0").select(F.col("doc_id").alias(row), F.col("class_key").cast("string").alias("_class"))
+    out = words_and_cluster(rows.select(*docs.columns, row), text).join(linked, row, "left")
+    return out.withColumn("cluster", F.coalesce("_class", "cluster")).drop(row, "_class")
