@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm import bpe, ngram_join, packing, quality, toxicity
-from claimlens.llm.common import stored, table
+from claimlens.llm.common import free_name, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Null and empty texts go."""
+    """Documents that the quality rules keep. Null and empty texts go; repeated rows stay or go together; an empty table stays empty.
+
+    The columns are those of docs: what the rules add doesn't stay, and a column of docs of such a name keeps its own values.
+    """
     return quality.kept_only(docs)
 
 
@@ -36,15 +39,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one class the one with the smallest hash of the row stays, so that reruns agree. Rows whose texts have no words are classes
     of their own and stay. An empty table stays empty.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-duplicate-rows")
-    classes = ngram_join.similar_texts(rows.select(F.col("_row").alias("doc_id"), "text"))
-    ranked = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", F.xxhash64(*docs.columns).alias("_hash"), "_row").alias("_rank"))
-    firsts = classes.select(F.col("doc_id").alias("_row"), "class_id").join(ranked, "_row").groupBy("class_id").agg(F.min("_rank").alias("_rank"))
-    return rows.join(firsts.select(F.col("_rank._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = free_name(docs.columns, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-duplicate-rows")
+    classes = ngram_join.similar_texts(rows.select(F.col(row).alias("doc_id"), "text"))
+    ranked = rows.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), F.col(row).alias("row")).alias("rank"))
+    firsts = classes.select(F.col("doc_id").alias(row), "class_id").join(ranked, row).groupBy("class_id").agg(F.min("rank").alias("rank"))
+    return rows.join(firsts.select(F.col("rank.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of each document, or of each piece of a long one, by its tokens of a byte-level BPE. Null texts have none."""
+    """The bin of each document, or of each piece of a long one, by its tokens of a byte-level BPE.
+
+    Null and empty texts are pieces of 0 tokens; repeated rows are documents of their own, which conflict as copies; null sources conflict
+    with nothing; an empty table gives no rows. Only doc_id, source, lang and text are read, so that other columns may have any name.
+    """
     counted = bpe.with_bpe(docs.select("doc_id", "source", "lang", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return packing.packed(counted.withColumn("cluster", F.col("decoded_sha256")).drop("text"), keep=("source", "lang"))
 
