@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimlens.sources.scratch import scratch, stored
 from claimlens.sources.tables import table
 
-__all__ = ["Tokens", "chunks", "free_name", "mixed", "scratch", "stored", "string_bytes", "string_hashes", "table", "text_batches", "with_columns"]
+__all__ = ["Tokens", "chunks", "free_name", "mixed", "scratch", "stored", "string_bytes", "string_hashes", "table", "text_batches", "with_columns", "with_mark"]
 
 #: Bytes of text that a task works on at once, besides at most one longer text.
 CHUNK_BYTES = 4_000_000
@@ -101,6 +102,24 @@ def string_hashes(strings: pa.Array) -> np.ndarray:
     return mixed(sums + lengths.astype(np.uint64))
 
 
+#: Bits of a bitmap: 4 MB at most.
+SLOTS = 1 << 25
+
+
+def with_mark(rows: DataFrame, key: Column, few: DataFrame, few_key: Column, name: str) -> DataFrame:
+    """rows with a boolean: true where the key is that of a row of few, and for some others.
+
+    The keys of few become a bitmap of bounded size, which is broadcast; so rows that don't need few stay where they are. Where few has
+    so many keys that the bitmap is full, all rows are marked.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    marks = few.select(slot(few_key).alias("_s")).groupBy(F.bitmap_bucket_number("_s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_s")).alias("_bits"))
+    rows = rows.withColumn("_bit", F.bitmap_bit_position(slot(key)))
+    rows = rows.join(F.broadcast(marks), F.bitmap_bucket_number(slot(key)) == F.col("_bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return rows.withColumn(name, F.coalesce(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))).drop("_bit", "_bucket", "_bits")
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, with as many underscores behind it as no column has, whatever its case."""
     taken = {c.lower() for c in columns}

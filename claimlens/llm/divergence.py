@@ -1,7 +1,7 @@
 """Operator 12: how far the sources of a language diverge from each other and from the language as a whole.
 
-Identical texts of a language are collapsed first: the text crosses the network once, with the number of its copies in each
-source beside it, and is cut into terms once. Counts and document frequencies are weighted by these numbers. All later work is
+Identical texts of a language are collapsed first, by digests: a text is cut into terms once, with the number of its copies in each source
+beside it. Texts that occur once stay where they are; those that occur again cross the network once. Counts and document frequencies are weighted by these numbers. All later work is
 on integer counts of (language, term, source), in Spark expressions.
 
 Pairs of sources are evaluated sparsely. Let p0 be what a source gives a term that it doesn't have. The sum of f over all V kept
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import stored, text_batches, with_mark
 from .terms import LETTERS, byte_map, terms
 
 #: Bytes of text whose counts are summed up in a task before they leave it.
@@ -32,14 +32,19 @@ CHUNK_BYTES = 16_000_000
 def collapsed(docs: DataFrame) -> DataFrame:
     """lang, text and copies (an array of source and n) of each text that differs from the others of its language.
 
-    Rows of equal digest are merged within each task before they are dealt by digest, so that a text with very many copies
-    brings each task at most one row from every other.
+    Only digests are grouped at first; a text that occurs once stays where it is. Rows of texts that occur again are merged within
+    each task before they are dealt by digest, so that a text with very many copies brings each task at most one row from every other.
     """
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     keyed = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    again = stored(keyed.groupBy("lang", "digest").agg(F.count("*").alias("n")).where("n > 1").select("lang", "digest"), "repeated-texts")
+    key = lambda: F.concat("digest", F.encode("lang", "UTF-8"))
+    keyed = with_mark(keyed, key(), again, key(), "again")
+    alone = keyed.where("not again").select("lang", "text", F.array(F.struct("source", F.lit(1).cast("long").alias("n"))).alias("copies"))
+    keyed = keyed.where("again")
     copies = keyed.groupBy("lang", "digest", "source").agg(F.count("*").alias("n")).groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
     texts = keyed.groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    return texts.join(copies, ["lang", "digest"]).select("lang", "text", "copies")
+    return alone.union(texts.join(copies, ["lang", "digest"]).select("lang", "text", "copies"))
 
 
 COUNTS = "lang string, source string, term string, n long, docs long"
