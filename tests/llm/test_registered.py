@@ -165,7 +165,7 @@ print("all ran")
 
 
 def test_workers_need_not_have_the_package(tmp_path):
-    code = WITHOUT.format(repo=REPO, sf=SF, names=["op3_byte_bpe", "op4_toxicity", "op5_ngram_join", "op7_lm_scores", "op8_warc"])
+    code = WITHOUT.format(repo=REPO, sf=SF, names=["op3_byte_bpe", "op4_toxicity", "op5_ngram_join", "op7_lm_scores", "op8_warc", "op11_lexical_search", "op12_source_divergence", "op13_pii_spans"])
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "all ran" in done.stdout, done.stderr[-3000:]
