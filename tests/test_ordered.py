@@ -126,6 +126,27 @@ def test_greedy_firsts(spark):
     assert pairs.greedy_firsts(df.limit(0), "g", "i", "h").collect() == []
 
 
+def test_near_pairs_without_a_join(spark):
+    """Candidates are no rows: a long bucket, short ones and the null group are compared in place."""
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), i, r.getrandbits(10) | r.getrandbits(14) << 24) for i in range(2500)]
+    df = spark.createDataFrame(rows, "g string, i int, h long")
+    near = pairs.banded_hash_pairs(df, "i", "h", 3, ["g"])
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((x.g or "", x.key_i, x.key_j, x.distance) for x in near.collect()))
+    want = []
+    for g in ("a", "b", None):
+        firsts = {}
+        for x, i, h in rows:
+            if x == g:
+                firsts.setdefault(h, i)
+        own = sorted((i, h) for h, i in firsts.items())
+        h = np.array([h for _, h in own], np.uint64)
+        d = np.bitwise_count(h[:, None] ^ h[None, :])
+        want += [(g or "", own[i][0], own[j][0], int(d[i, j])) for i, j in zip(*np.nonzero(d <= 3)) if i < j]
+    assert got == sorted(want) and len(want) > 100
+
+
 def test_greedy_dedup_of_texts(spark):
     docs = textbits.with_sign_bits(table(spark, SF, "documents").select("doc_id", "lang", "text"), "text", "h")
     rows = [(r.lang, r.doc_id, r.h) for r in docs.collect()]
