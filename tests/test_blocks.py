@@ -63,3 +63,10 @@ def test_pairs_of_documents(spark):
         left, right = set(a.split()), set(b.split())
         only = len({w for w in left - right if len(w) > 3}), len({w for w in right - left if len(w) > 3 and w.isalpha()})
         assert (x.only_left, x.only_right) == only and x.hidden == (want <= 0.80 and (max(only) > 5 or want < 0.50))
+
+
+def test_pairs_are_dealt_out(spark):
+    """The comparison follows an exchange of its own, whose partitions aren't joined by size."""
+    plan = crossfile.text_layer_similarity(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("MapInArrow") :]
+    assert "REPARTITION_BY_NUM" in above[: above.index("Join")]
