@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimlens.functions import dates
 from claimlens.functions.columns import extension
 from claimlens.plans.rules import made, made_sql
-from claimlens.sources.tables import table
+from claimlens.sources.tables import spread, table
 
 #: Keywords of editing software and generators in tags, their risks and names; the first that a tag has counts.
 SOFTWARE = [
@@ -62,10 +62,13 @@ def dms_to_decimal(text: Column, ref: Column) -> Column:
 
 def software_findings(tags: Column) -> Column:
     """Name and risk of the software in a map of tags: the first keyword of each tag; a name that came before doesn't count again."""
-    known = F.array(*(F.struct(F.lit(k).alias("key"), F.lit(r).alias("risk"), F.lit(n).alias("name")) for k, r, n in SOFTWARE))
-    hits = F.transform(F.array(*map(F.lit, SOFTWARE_TAGS)), lambda t: F.try_element_at(F.filter(known, lambda s: F.contains(F.lower(F.try_element_at(tags, t)), s["key"])), F.lit(1)))
-    hits = F.filter(hits, lambda h: h.isNotNull())
-    return F.filter(hits, lambda h, i: F.array_position(F.transform(hits, lambda x: x["name"]), h["name"]) == i + 1)
+    known = F.array(*(F.struct(F.lit(r).alias("risk"), F.lit(n).alias("name")) for _, r, n in SOFTWARE))
+    # A tag is put in lower case once, and no structs are made of keywords that it lacks.
+    first = lambda t: F.coalesce(*(F.when(F.contains(t, F.lit(k)), F.lit(i)) for i, (k, _, _) in enumerate(SOFTWARE, 1)))
+    values = F.array_compact(F.array(*(F.lower(F.try_element_at(tags, F.lit(t))) for t in SOFTWARE_TAGS)))
+    hits = F.transform(F.array_compact(F.transform(values, first)), lambda i: F.element_at(known, i))
+    once = lambda found: F.filter(found, lambda h, i: F.array_position(found["name"], h["name"]) == i + 1)
+    return F.transform(F.array(hits), once)[0]
 
 
 def pdf_metadata_findings(created: Column, modified: Column, producer: Column, creator: Column) -> Column:
@@ -131,8 +134,10 @@ def _pick(values: list, k: Column) -> Column:
 def editing_software(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     tags = F.create_map(F.lit("EXIF:Software"), _pick(["Adobe Photoshop 24", "GIMP 2.10", "Canon EOS"], k), F.lit("XMP:CreatorTool"), _pick(["Midjourney v6", "adobe photoshop"], k), F.lit("XMP:Software"), _pick(["x", "FLUX.1 dev", "Lightroom", "PlaygroundAI"], k))
-    rows = table(spark, sf_dir, "part").select("p_partkey", software_findings(tags).alias("f"))
-    return rows.select("p_partkey", F.array_join(F.transform("f", lambda x: x["name"]), ",").alias("names"), F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x["risk"]), 2).alias("risk"))
+    # Keys are few bytes and much work each: they are dealt out, where a small file would be one task.
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", software_findings(tags).alias("f"))
+    out = F.transform(F.array("f"), lambda f: F.struct(F.array_join(f["name"], ",").alias("names"), F.round(F.aggregate(f, F.lit(0.0), lambda a, x: a + x["risk"]), 2).alias("risk")))[0]
+    return rows.select("p_partkey", out.alias("o")).select("p_partkey", "o.names", "o.risk")
 
 
 def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,10 @@ def test_dto_children_are_structs_in_order(spark):
     assert all([d.id for d in r.damages] == sorted(d.id for d in r.damages) for r in rows.values())
     alone = dtos.inspection_dto(frames[0], *(f.limit(0) for f in frames[1:])).first()
     assert (alone.damages, alone.file_forensic_results, alone.forensic_result, alone.owner_email) == ([], [], None, None)
+
+
+def test_software_rules_are_dealt_out(spark):
+    """A part's rules are much work for few bytes: a file of one split isn't one task."""
+    from claimlens.plans import metadata
+
+    assert table(spark, SF, "part").rdd.getNumPartitions() == 1 < metadata.editing_software(spark, SF).rdd.getNumPartitions()
