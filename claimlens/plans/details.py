@@ -199,15 +199,19 @@ def training_row(report: Column) -> Column:
     Modules without a name are left out, of a repeated one the last stays; missing numbers are 0. Broken JSON has no modules and 0.
     """
     kind = "overall_risk_score double, overallRiskScore double, modules array<struct<module_name:string,moduleName:string,risk_score:double,riskScore:double,findings:array<struct<code:string,confidence:double,risk_score:double,riskScore:double>>>>"
-    r = F.from_json(report, kind)
     or_zero = lambda *cs: F.coalesce(*cs, F.lit(0.0))
     found = lambda f: F.struct(F.coalesce(f["code"], F.lit("")).alias("code"), or_zero(f["confidence"]).alias("confidence"), or_zero(f["risk_score"], f["riskScore"]).alias("risk_score"))
     none = F.array().cast("array<struct<code:string,confidence:double,risk_score:double>>")
     module = lambda m: F.struct(F.coalesce(m["module_name"], m["moduleName"], F.lit("")).alias("name"), or_zero(m["risk_score"], m["riskScore"]).alias("risk_score"), F.coalesce(F.transform(m["findings"], found), none).alias("findings"))
-    modules = F.filter(F.transform(r["modules"], module), lambda m: m["name"] != "")
-    last = F.filter(modules, lambda m, i: ~F.exists(F.slice(modules, i + 2, F.size(modules)), lambda o: o["name"] == m["name"]))
     empty = F.array().cast("array<struct<name:string,risk_score:double,findings:array<struct<code:string,confidence:double,risk_score:double>>>>")
-    return F.struct(or_zero(r["overall_risk_score"], r["overallRiskScore"]).alias("overall"), F.coalesce(last, empty).alias("modules"))
+
+    def last(modules: Column) -> Column:
+        names = lambda ms: F.filter(ms, lambda m, i: ~F.array_contains(F.slice(ms["name"], i + 2, F.size(ms)), m["name"]))
+        return F.transform(F.array(F.filter(F.transform(modules, module), lambda m: m["name"] != "")), names)[0]
+
+    # One parse: the report is bound as the element of an array, where each use of it as a column would parse it again.
+    row = lambda r: F.struct(or_zero(r["overall_risk_score"], r["overallRiskScore"]).alias("overall"), F.coalesce(last(r["modules"]), empty).alias("modules"))
+    return F.transform(F.array(F.from_json(report, kind)), row)[0]
 
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,8 +222,10 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     module = F.concat(F.lit("{"), key("module_name", "moduleName"), F.lit('"'), F.col("l_returnflag"), F.lit('",'), key("risk_score", "riskScore"), risk, F.lit(',"findings":[{"code":"x",'), key("risk_score", "riskScore"), risk, F.lit("}]}"))
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", module.alias("m")))), lambda x: x["m"]), ",").alias("ms"), F.round(F.max("l_tax"), 2).cast("string").alias("top"))
     report = F.concat(F.lit("{"), key("overall_risk_score", "overallRiskScore"), "top", F.lit(',"modules":['), "ms", F.lit("]"), F.when(F.col("l_orderkey") % 10 == 3, "").otherwise("}"))
-    rows = g.select("l_orderkey", training_row(report).alias("r"))
-    return rows.select("l_orderkey", F.col("r.overall").alias("overall"), F.size("r.modules").alias("n"), F.array_join(F.array_sort(F.transform("r.modules", lambda m: F.concat(m["name"], F.lit("="), F.format_string("%.2f", m["risk_score"]), F.lit("/"), F.size(m["findings"]).cast("string")))), ",").alias("modules"))
+    text = lambda m: F.concat(m["name"], F.lit("="), F.format_string("%.2f", m["risk_score"]), F.lit("/"), F.size(m["findings"]).cast("string"))
+    shown = lambda r: F.struct(r["overall"].alias("overall"), F.size(r["modules"]).alias("n"), F.array_join(F.array_sort(F.transform(r["modules"], text)), ",").alias("modules"))
+    rows = g.select("l_orderkey", F.transform(F.array(training_row(report)), shown)[0].alias("r"))
+    return rows.select("l_orderkey", "r.overall", "r.n", "r.modules")
 
 
 def half_floats(encoded: Column) -> Column:

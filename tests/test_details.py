@@ -142,3 +142,8 @@ def test_software_rules_are_dealt_out(spark):
     from claimlens.plans import metadata
 
     assert table(spark, SF, "part").rdd.getNumPartitions() == 1 < metadata.editing_software(spark, SF).rdd.getNumPartitions()
+
+
+def test_reports_are_parsed_once(spark):
+    plan = d.training_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") + plan.count("jsontostructs") == 1
