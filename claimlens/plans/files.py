@@ -9,12 +9,11 @@ from __future__ import annotations
 from xml.sax.saxutils import escape, quoteattr
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimlens.plans.metadata import SOFTWARE
 from claimlens.sources import compound, office, packages, revisions
-from claimlens.sources.tables import table
+from claimlens.sources.tables import spread, table
 
 
 def lines(text: str) -> list[tuple[int, bytes]]:
@@ -53,7 +52,7 @@ def chunks_of(doc_id: int, text: str) -> bytes:
 
 def png_text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text chunks of each picture: how many, their characters, those whose checksum is wrong, and findings by keyword and by words."""
-    found = packages.text_chunks(packages.built(table(spark, sf_dir, "documents"), "doc_id", "text", chunks_of))
+    found = packages.text_chunks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", chunks_of)
     found = found.withColumn("finding", packages.generator_finding(F.col("keyword"), F.col("text")))
     count = lambda code: F.count_if(F.col("finding.code") == code).alias(code.lower())
     return found.groupBy("doc_id").agg(
@@ -121,24 +120,27 @@ def office_of(key: str, text: str) -> bytes:
 
 def office_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph and findings of each document's package, and its kind by the names in the directory alone."""
-    docs = table(spark, sf_dir, "documents").select(F.concat_ws("|", "doc_id", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("key"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.concat_ws("|", "doc_id", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))).alias("key"), "text")
     files = packages.built(docs, "key", "text", lambda key, text: office_of(key.split("|", 1)[1], text))
     facts = office.package_facts(files.withColumn("kind_by_names", office.package_kind(F.col("content")))).withColumnRenamed("kind_by_names", "triage")
-    found = office.package_findings(facts, "key")
-    triage = facts.where("kind = 'type'").select("key", F.coalesce("triage", F.lit("unknown")).alias("triage"))
-    out = found.join(triage, "key")
+    triage = F.coalesce(F.max(F.when(F.col("kind") == "type", F.col("triage"))), F.lit("unknown")).alias("triage")
+    out = office.package_findings(facts, "key", triage).where("type is not null")
     return out.select(F.split("key", "\\|")[0].cast("long").alias("doc_id"), "type", "triage", "n_parts", "n_dangling", "n_external", "n_orphans", F.array_join(F.transform("findings", lambda f: f["code"]), ",").alias("codes"), "risk")
 
 
 def pdf_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per document, an update per line: end marks, length of the chain of tables, whether it ends well, gaps of the marks, finding."""
-    files = packages.built(table(spark, sf_dir, "documents"), "doc_id", "text", lambda _, text: revisions.written([x for _, x in lines(text)] or [b""]))
-    chain = revisions.revisions(files).groupBy("doc_id").agg(F.count("*").alias("n_tables"), F.max_by("state", "number").alias("state"), F.min("xref").alias("first_table"))
-    at = revisions.marks(files, "%%EOF")
-    gap = F.col("offset") - F.coalesce(F.lag("offset").over(W.partitionBy("doc_id").orderBy("number")), F.lit(0))
-    g = at.withColumn("gap", gap).groupBy("doc_id").agg(F.count("*").alias("n_eof"), F.min("gap").alias("least_gap"), F.max("gap").alias("largest_gap"))
+    docs = spread(table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text"))
+    build = lambda _, text: revisions.written([x for _, x in lines(text)] or [b""])
+    found = revisions.revisions_and_marks(docs, "%%EOF", "text", build)
+    is_ = lambda kind: F.col("kind") == kind
+    gap = F.col("offset") - F.col("before")
+    g = found.groupBy("doc_id").agg(
+        F.count_if(is_("mark")).alias("n_eof"), F.count_if(is_("table")).alias("n_tables"), F.max_by("state", F.when(is_("table"), F.col("number"))).alias("state"), F.min(F.when(is_("table"), F.col("offset"))).alias("first_table"),
+        F.min(F.when(is_("mark"), gap)).alias("least_gap"), F.max(F.when(is_("mark"), gap)).alias("largest_gap"),
+    )
     f = revisions.update_finding(F.col("n_eof"))
-    return g.join(chain, "doc_id").select("doc_id", "n_eof", "n_tables", "state", "first_table", "least_gap", "largest_gap", f["code"].alias("code"), f["risk"].alias("risk"))
+    return g.where("n_eof > 0 and n_tables > 0").select("doc_id", "n_eof", "n_tables", "state", "first_table", "least_gap", "largest_gap", f["code"].alias("code"), f["risk"].alias("risk"))
 
 
 def macros_of(_: int, text: str) -> bytes:
@@ -155,9 +157,8 @@ def macros_of(_: int, text: str) -> bytes:
 
 def macro_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules and findings of each document's macro container."""
-    files = packages.built(table(spark, sf_dir, "documents"), "doc_id", "text", macros_of)
-    modules = compound.macro_modules(files)
-    out = compound.macro_findings(modules, "doc_id").join(modules.groupBy("doc_id").agg(F.sum(F.octet_length(F.encode("code", "ISO-8859-1"))).alias("code_bytes")), "doc_id")
+    modules = compound.macro_modules(spread(table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text")), "text", macros_of)
+    out = compound.macro_findings(modules, "doc_id", F.sum(F.octet_length(F.encode("code", "ISO-8859-1"))).alias("code_bytes"))
     return out.select("doc_id", "n_modules", "n_broken", F.coalesce("code_bytes", F.lit(0)).alias("code_bytes"), F.array_join("codes", ",").alias("codes"), "risk")
 
 

@@ -16,6 +16,8 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlens.sources.packages import walked
+
 #: Extensions of parts that can be run.
 EXECUTABLE = ["exe", "bat", "cmd", "com", "scr", "pif", "vbs", "js", "jse", "wsf", "wsh", "ps1", "psm1", "dll", "sys", "drv", "msi", "jar"]
 FACTS = "kind string, source string, name string, detail string, flag boolean"
@@ -95,11 +97,12 @@ def _all(root, *tags: str):
 
 def package_facts(df: DataFrame, content: str = "content") -> DataFrame:
     """df without its content, a row per fact of each package."""
-    return df.lateralJoin(F.udtf(_Facts, returnType=FACTS)(F.col(content).outer())).drop(content)
+    return walked(df, _Facts, FACTS, content)
 
 
-def package_findings(facts: DataFrame, key: str) -> DataFrame:
-    """key, type, n_parts, n_dangling, n_external, n_orphans, findings (code and risk, in the order of the rules) and risk, the largest."""
+def package_findings(facts: DataFrame, key: str, *also: Column) -> DataFrame:
+    """key, type, n_parts, n_dangling, n_external, n_orphans, findings (code and risk, in the order of the rules) and risk, the largest; also: more
+    aggregates of the package's facts, by name."""
     is_ = lambda kind: F.col("kind") == kind
     n = lambda *cs: F.count_if(_and(*cs)).cast("int")
     prop = lambda p: F.max(F.when(is_("property") & (F.col("name") == p), F.col("detail")))
@@ -109,6 +112,7 @@ def package_findings(facts: DataFrame, key: str) -> DataFrame:
         n(is_("external"), F.col("flag")).alias("n_external"), n(is_("part"), ~F.col("flag")).alias("n_orphans"), n(is_("part"), F.col("detail").isin(EXECUTABLE)).alias("run"),
         n(is_("part"), F.contains("name", F.lit("vbaProject.bin"))).alias("vba"), n(is_("sheet"), F.col("detail") == "veryHidden").alias("very"), n(is_("sheet"), F.col("detail") == "hidden").alias("hidden"),
         n(is_("change")).alias("changes"), n(is_("change"), F.col("name") == "del", F.col("detail") != "").alias("deleted"), *(prop(p).alias(p) for p in ("creator", "lastModifiedBy", "Template", "TotalTime")),
+        *also,
     )
     some = lambda c: F.col(c) > 0
     rules = [
@@ -124,8 +128,9 @@ def package_findings(facts: DataFrame, key: str) -> DataFrame:
         ("OFFICE_EXTERNAL_REFS", some("n_external"), F.lit(0.30)),
     ]
     found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), r.alias("risk"))) for code, c, r in rules)))
+    more = g.columns[len(g.columns) - len(also) :]
     g = g.withColumn("findings", found)
-    return g.select(key, "type", "n_parts", "n_dangling", "n_external", "n_orphans", "findings", F.coalesce(F.array_max(F.transform("findings", lambda f: f["risk"])), F.lit(0.0)).alias("risk"))
+    return g.select(key, "type", "n_parts", "n_dangling", "n_external", "n_orphans", "findings", F.coalesce(F.array_max(F.transform("findings", lambda f: f["risk"])), F.lit(0.0)).alias("risk"), *more)
 
 
 def _and(*conditions: Column) -> Column:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PNG = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a picture that its size is looked for in.
@@ -135,14 +136,56 @@ def _called(walker: type, schema: str, df: DataFrame, content: str) -> DataFrame
     return df.lateralJoin(F.udtf(walker, returnType=schema)(F.col(content).outer())).drop(content)
 
 
+#: Rows and characters of found texts that a walker gathers before they leave.
+WALKED_ROWS, WALKED_CHARS = 4096, 1 << 21
+
+
+def walked(df: DataFrame, walker: type, schema: str, content: str, build=None, args: tuple = ()) -> DataFrame:
+    """df without its content, a row per row that the walker finds in each file; files without any give none.
+
+    With build, content is a text (null texts are empty), and its file is build(first column, text), made and walked one at a time in one
+    worker. A worker holds a batch of inputs, one file and a bounded number of rows.
+    """
+    keep, key = [c for c in df.columns if c != content], df.columns[0]
+    found = T.StructType.fromDDL(schema)
+    kinds = [{"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[f.dataType.simpleString()] for f in found]
+    names = [*keep, *found.names]
+    kind = T.StructType([*df.select(*keep).schema, *found])
+
+    def run(batches):
+        for batch in batches:
+            others, files = batch.select(keep), batch.column(content)
+            at, rows, chars = [], [], 0
+
+            def gathered():
+                parts = zip(*rows) if rows else [()] * len(kinds)
+                return pa.RecordBatch.from_arrays([*others.take(pa.array(at, pa.int64())).columns, *(pa.array(x, k) for x, k in zip(parts, kinds))], names=names)
+
+            for i in range(batch.num_rows):
+                file = files[i].as_py()
+                if build:
+                    file = build(batch.column(key)[i].as_py(), file or "")
+                for row in walker().eval(file, *args):
+                    at.append(i)
+                    rows.append(tuple(None if type(x) is int and x >> 63 not in (0, -1) else x for x in row))
+                    chars += sum(len(x) for x in row if type(x) is str)
+                    if len(at) >= WALKED_ROWS or chars >= WALKED_CHARS:
+                        yield gathered()
+                        at, rows, chars = [], [], 0
+            if at:
+                yield gathered()
+
+    return df.mapInArrow(run, kind)
+
+
 def pictures(df: DataFrame, content: str = "content") -> DataFrame:
     """df without its content, a row per picture of each package."""
     return _called(_Pictures, "name string, form string, width int, height int, n_bytes long", df, content)
 
 
-def text_chunks(df: DataFrame, content: str = "content") -> DataFrame:
-    """df without its content, a row per text chunk, and per broken chunk, of its PNG pictures."""
-    return _called(_Chunks, "picture string, number int, kind string, keyword string, text string, intact boolean", df, content)
+def text_chunks(df: DataFrame, content: str = "content", build=None) -> DataFrame:
+    """df without its content, a row per text chunk, and per broken chunk, of its PNG pictures; build: as for walked()."""
+    return walked(df, _Chunks, "picture string, number int, kind string, keyword string, text string, intact boolean", content, build)
 
 
 def largest_pictures(found: DataFrame, key: str, least_side: int = 100, least_bytes: int = 500, most: int = 10) -> DataFrame:
@@ -240,8 +283,8 @@ def built(df: DataFrame, key: str, text: str, build) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, (k, t) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+            for i in range(batch.num_rows):
+                k, t = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([build(k, t or "")], pa.binary())], names=[key, "content"])
 
     rows = df.select(key, text)
