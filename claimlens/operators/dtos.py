@@ -6,8 +6,15 @@ are in camel case.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Makes a column of another one and its type.
+Shape = Callable[[Column, T.DataType], Column]
 
 #: Names of the codes, in the order of their numbers.
 ENUMS = {
@@ -56,8 +63,12 @@ def name_of(code: Column, names: list[str]) -> Column:
 
 
 def parsed(text: Column, kind: str, empty: bool) -> Column:
-    """A JSON text as its type. A broken one, and one of another kind, are null, or an empty list."""
-    valid = F.when(F.try_parse_json(text).isNotNull() & F.startswith(F.ltrim(text), F.lit("[" if kind.startswith("array") else "{")), F.from_json(text, kind))
+    """A JSON text as its type. A broken one, and one of another kind, are null, or an empty list.
+
+    The first characters are looked at before it is parsed: a parser that gives up makes an exception, which takes longer than many good texts.
+    """
+    opens = r"^ *\[" if kind.startswith("array") else r"""^ *\{[ \t\r\n]*["'}]"""
+    valid = F.when(text.rlike(opens) & F.try_parse_json(text).isNotNull(), F.from_json(text, kind))
     return F.coalesce(valid, F.array().cast(kind)) if empty else valid
 
 
@@ -66,31 +77,53 @@ def _fields(columns: list[str], enums: list[str], json: dict) -> list[Column]:
     return [*map(F.col, columns), *(name_of(F.col(e), ENUMS[e]).alias(e) for e in enums), *(parsed(F.col(c), kind, empty).alias(name) for c, (name, kind, empty) in json.items())]
 
 
-def _children(df: DataFrame, name: str, order: list[str], fields: list[Column]) -> DataFrame:
-    """inspection_id and the children as an array, ordered by a key that isn't part of them."""
-    held = F.struct(F.struct(*order).alias("o"), F.to_json(F.struct(*fields)).alias("t"), F.struct(*fields).alias("x"))  # maps have no order, their JSON has
-    before = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).when(a["t"] < b["t"], -1).when(a["t"] > b["t"], 1).otherwise(0)
-    rows = df.groupBy("inspection_id").agg(F.array_sort(F.collect_list(held), before).alias("c"))
-    return rows.select(F.col("inspection_id").alias("id"), F.transform("c", lambda c: c["x"]).alias(name))
+def _child(df: DataFrame, name: str, order: list[str], fields: list[Column], shape: Shape) -> DataFrame:
+    """The inspection_id of each child, and in a column of this name its key of order, which isn't part of it, and what is made of it."""
+    rows = df.select("inspection_id", F.struct(*order).alias("o"), *fields)
+    return rows.select("inspection_id", F.struct("o", shape(F.struct(*rows.columns[2:]), T.StructType(rows.schema.fields[2:])).alias("x")).alias(name))
+
+
+def _in_order(children: str, kind: T.DataType) -> Column:
+    """What was made of the children, in their order. Ties go by their text: maps have no order, their JSON has."""
+    text = (lambda c: F.to_json(c["x"])) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else lambda c: c["x"]
+    before = lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).when(text(a) < text(b), -1).when(text(a) > text(b), 1).otherwise(0)
+    return F.transform(F.array_sort(children, before), lambda c: c["x"]).alias(children)
+
+
+def _gathered(kinds: list[DataFrame]) -> DataFrame:
+    """An inspection's children of all kinds in one row under its id, each kind as an array in its order: one shuffle and one grouping for all of them.
+
+    Rows are moved before they are grouped, since an inspection has too few children of a kind for lists of them to be moved instead.
+    """
+    made = {k.columns[1]: k.schema[1].dataType["x"].dataType for k in kinds}
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    lists = rows.repartition("inspection_id").groupBy(F.col("inspection_id").alias("id")).agg(*(F.collect_list(n).alias(n) for n in made))
+    return lists.select("id", *(_in_order(n, kind) for n, kind in made.items()))
 
 
-def inspection_dto(inspections: DataFrame, users: DataFrame, results: DataFrame, images: DataFrame, damages: DataFrame, overrides: DataFrame) -> DataFrame:
+def inspection_dto(
+    inspections: DataFrame, users: DataFrame, results: DataFrame, images: DataFrame, damages: DataFrame, overrides: DataFrame, shape: Shape = lambda column, kind: column
+) -> DataFrame:
     """A row per inspection. Owner fields are null without a user, lists of children are empty without any, forensic_result is the first file's.
 
-    Damages and overrides are in the order of their ids, pictures and results in that of sort_order; ties go by the fields.
+    Damages and overrides are in the order of their ids, pictures and results in that of sort_order; ties go by the fields. shape makes of each child,
+    and of an inspection's parsed JSON, what is returned of it; it is applied to single rows, before they are moved.
     """
     own = inspections.select(
         *_fields(INSPECTION, ["status", "capture_source", "urgency_level", "decision_outcome", "fraud_risk_level"], INSPECTION_JSON),
         "user_id", F.col("timestamp_token").isNotNull().alias("has_timestamp"), F.date_format("timestamped_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamped_at"),
     )
-    lists = {
-        "damages": _children(damages, "damages", ["id"], _fields(DAMAGE, ["severity", "safety_rating", "repair_category"], DAMAGE_JSON)),
-        "additional_images": _children(images, "additional_images", ["sort_order", "id"], _fields(IMAGE, [], {})),
-        "decision_overrides": _children(overrides, "decision_overrides", ["id"], _fields(OVERRIDE, [], {})),
-        "file_forensic_results": _children(results, "file_forensic_results", ["sort_order", "file_name"], _fields(RESULT, [], RESULT_JSON)),
-    }
-    out = own.join(users.select(F.col("id").alias("user_id"), F.col("email").alias("owner_email"), F.col("full_name").alias("owner_full_name")), "user_id", "left").drop("user_id")
-    for name, children in lists.items():
-        kind = children.schema[name].dataType
-        out = out.join(children, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(kind)))
-    return out.withColumn("forensic_result", F.try_element_at("file_forensic_results", F.lit(1)))
+    nested = {name: shape(F.col(name), own.schema[name].dataType) for name, _, _ in INSPECTION_JSON.values()}
+    lists = _gathered([
+        _child(damages, "damages", ["id"], _fields(DAMAGE, ["severity", "safety_rating", "repair_category"], DAMAGE_JSON), shape),
+        _child(images, "additional_images", ["sort_order", "id"], _fields(IMAGE, [], {}), shape),
+        _child(overrides, "decision_overrides", ["id"], _fields(OVERRIDE, [], {}), shape),
+        _child(results, "file_forensic_results", ["sort_order", "file_name"], _fields(RESULT, [], RESULT_JSON), shape),
+    ])
+    # Inspections without a user are dealt out by their ids; as one key they would be one task's.
+    key = F.coalesce(F.col("user_id").cast("string"), F.xxhash64("id").cast("string"))
+    owners = users.select(F.col("id").cast("string").alias("_owner"), F.col("email").alias("owner_email"), F.col("full_name").alias("owner_full_name"))
+    owned = own.withColumns(nested | {"_key": key}).join(owners, (F.col("_key") == F.col("_owner")) & F.col("user_id").isNotNull(), "left").drop("user_id", "_key", "_owner")
+    out = owned.join(lists, "id", "left")
+    empty = {name: F.coalesce(name, F.array().cast(lists.schema[name].dataType)) for name in lists.columns[1:]}
+    return out.withColumns(empty).withColumn("forensic_result", F.try_element_at("file_forensic_results", F.lit(1)))

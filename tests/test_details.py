@@ -137,6 +137,49 @@ def test_dto_children_are_structs_in_order(spark):
     assert (alone.damages, alone.file_forensic_results, alone.forensic_result, alone.owner_email) == ([], [], None, None)
 
 
+def test_dtos_are_shaped_before_they_move(spark):
+    """Children of all kinds take one shuffle and are text by then; an order's fields are made in more tasks than its file has splits."""
+    from claimlens.operators import dtos
+    from claimlens.plans.dtos import ENTITIES, entity_frame, flat, inspection_dtos_whole
+
+    plan = inspection_dtos_whole(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(inspection_id") == 1 and "partial_collect_list" not in plan.split("Exchange hashpartitioning(inspection_id")[1]
+    assert table(spark, SF, "orders").rdd.getNumPartitions() == 1 < entity_frame(spark, SF, "inspections").rdd.getNumPartitions()
+    frames = [entity_frame(spark, SF, n).where(F.col(k) < 40) for n, k in zip(ENTITIES, ["id", "id", *["inspection_id"] * 4])]
+    frames = [frames[0].withColumn("user_id", F.when(F.col("id") % 3 > 0, F.col("id") % 50)), *(f.unionAll(f.limit(5)) for f in frames[1:])]  # rows that are there twice; users that aren't
+    rows = dtos.inspection_dto(*frames)
+    want = rows.select("id", *(flat(F.col(f.name), f.dataType).alias(f.name) for f in rows.schema if f.name != "id"))
+    got = dtos.inspection_dto(*frames, shape=flat)
+    got = got.select(want.columns[0], *(flat(F.col(f.name), f.dataType).alias(f.name) for f in got.schema if f.name != "id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 40
+
+
+def test_inspections_without_a_user_are_dealt_out(spark):
+    """They are rows of many join keys, not of one that a single task would get."""
+    from claimlens.operators import dtos
+    from claimlens.plans.dtos import ENTITIES, entity_frame
+
+    frames = [entity_frame(spark, SF, n) for n in ENTITIES]
+    frames[0] = frames[0].withColumn("user_id", F.when(F.col("id") < 0, F.col("id")))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dtos.inspection_dto(*frames)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(user_id" not in plan and "Exchange hashpartitioning(_key" in plan
+        assert out.where("owner_email is null and owner_full_name is null").count() == frames[0].count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_texts_that_are_no_json(spark):
+    from claimlens.operators import dtos
+
+    texts = ['{"outcome":"x"}', ' { "outcome":"x"}', '{\n\t"outcome":"x"}', "{}", "{ }", "{'outcome':'x'}", "{outcome:1}", '{"outcome":', "{broken", '\n{"outcome":"x"}', '{"outcome":"x","outcome":"y"}', "[]", "{", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(dtos.parsed(F.col("t"), dtos.INSPECTION_JSON["agent_decision_json"][1], False).alias("p")).collect()
+    assert [r.p and (r.p.outcome or "-") for r in got] == ["x", "x", "x", "-", "-"] + [None] * 10
+
+
 def test_software_rules_are_dealt_out(spark):
     """A part's rules are much work for few bytes: a file of one split isn't one task."""
     from claimlens.plans import metadata
