@@ -70,3 +70,35 @@ def test_pairs_are_dealt_out(spark):
     plan = crossfile.text_layer_similarity(spark, SF)._jdf.queryExecution().executedPlan().toString()
     above = plan[plan.index("MapInArrow") :]
     assert "REPARTITION_BY_NUM" in above[: above.index("Join")]
+
+
+def test_texts_of_a_cell_are_compared_as_the_standard_does():
+    r = random.Random(3)
+    base = "".join(r.choices("eeeettttaaaaooiinnsshhrrddlluqxz019   ", k=700))
+    texts = {k: [changed(r, base).encode()] for k in range(12)} | {20: [b""], 21: [b""], 22: [base[:150].encode()], 23: [changed(r, base[:150]).encode()], 24: [b"x" * 500]}
+    pairs = [(a, b, a + b) for a in texts for b in texts if a < b]
+    got = list(blocks.compared(texts, iter(pairs)))
+    assert sorted(x[:3] for x in got) == pairs
+    for a, b, _, similarity, only_left, only_right in got:
+        (left,), (right,) = texts[a], texts[b]
+        assert abs(similarity - difflib.SequenceMatcher(None, left.decode(), right.decode()).ratio()) < 1e-12
+        left, right = set(left.split()), set(right.split())
+        assert only_left == len({w for w in left - right if len(w) > 3}) and only_right == len({w for w in right - left if len(w) > 3 and w.isalpha()})
+
+
+def test_a_text_moves_once_a_cell(spark):
+    """Of a group of near copies all pairs are asked for, but its texts aren't moved with each pair."""
+    from claimlens.operators import pairs
+
+    near = spark.range(200).selectExpr("id as key_i").crossJoin(spark.range(200).selectExpr("id as key_j")).where("key_i < key_j").selectExpr("*", "key_i + key_j as distance")
+    texts = spark.range(300).selectExpr("id as key", "concat('t', id) as t")
+
+    def compare(held, own):
+        for n, (i, j, d) in enumerate(own):
+            yield i, j, d, 0 if n else len(held), (held[i][0] + held[j][0]).decode()
+
+    got = pairs.compare_in_cells(near, texts, compare, "moved int, both string").collect()
+    assert sorted((x.key_i, x.key_j, x.distance, x.both) for x in got) == [(i, j, i + j, f"t{i}t{j}") for i in range(200) for j in range(i + 1, 200)]
+    assert sum(x.moved for x in got) <= 16 * 200 < 2 * len(got) / 10
+    plan = crossfile.text_layer_similarity(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert " a#" not in plan and " b#" not in plan  # no row has two texts
