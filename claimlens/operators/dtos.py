@@ -7,6 +7,7 @@ are in camel case.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -72,9 +73,20 @@ def parsed(text: Column, kind: str, empty: bool) -> Column:
     return F.coalesce(valid, F.array().cast(kind)) if empty else valid
 
 
-def _fields(columns: list[str], enums: list[str], json: dict) -> list[Column]:
-    """The fields of a table's DTO in the order: copied ones, names of codes, parsed JSON."""
-    return [*map(F.col, columns), *(name_of(F.col(e), ENUMS[e]).alias(e) for e in enums), *(parsed(F.col(c), kind, empty).alias(name) for c, (name, kind, empty) in json.items())]
+#: Of children by the list that they become: what is copied, their codes and JSON, and their order.
+CHILDREN = {
+    "damages": (DAMAGE, ["severity", "safety_rating", "repair_category"], DAMAGE_JSON, ["id"]),
+    "additional_images": (IMAGE, [], {}, ["sort_order", "id"]),
+    "decision_overrides": (OVERRIDE, [], {}, ["id"]),
+    "file_forensic_results": (RESULT, [], RESULT_JSON, ["sort_order", "file_name"]),
+}
+#: Children's rows that a task groups, on average: as text they are some 60 MB, which are sorted in memory.
+ROWS = 100_000
+
+
+def _fields(columns: list[str], enums: list[str], json: dict, col: Callable[[str], Column] = F.col) -> list[Column]:
+    """The fields of a table's DTO in the order: copied ones, names of codes, parsed JSON. col makes a column of its name."""
+    return [*(col(c).alias(c) for c in columns), *(name_of(col(e), ENUMS[e]).alias(e) for e in enums), *(parsed(col(c), kind, empty).alias(name) for c, (name, kind, empty) in json.items())]
 
 
 def _child(df: DataFrame, name: str, order: list[str], fields: list[Column], shape: Shape) -> DataFrame:
@@ -90,6 +102,12 @@ def _in_order(children: str, kind: T.DataType) -> Column:
     return F.transform(F.array_sort(children, before), lambda c: c["x"]).alias(children)
 
 
+def _lists(rows: DataFrame, made: dict[str, T.DataType]) -> DataFrame:
+    """A row per inspection_id of rows that are dealt out by it, as id: its children of each kind as an array in their order."""
+    lists = rows.groupBy(F.col("inspection_id").alias("id")).agg(*(F.collect_list(n).alias(n) for n in made))
+    return lists.select("id", *(_in_order(n, kind) for n, kind in made.items()))
+
+
 def _gathered(kinds: list[DataFrame]) -> DataFrame:
     """An inspection's children of all kinds in one row under its id, each kind as an array in its order: one shuffle and one grouping for all of them.
 
@@ -97,8 +115,26 @@ def _gathered(kinds: list[DataFrame]) -> DataFrame:
     """
     made = {k.columns[1]: k.schema[1].dataType["x"].dataType for k in kinds}
     rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
-    lists = rows.repartition("inspection_id").groupBy(F.col("inspection_id").alias("id")).agg(*(F.collect_list(n).alias(n) for n in made))
-    return lists.select("id", *(_in_order(n, kind) for n, kind in made.items()))
+    return _lists(rows.repartition("inspection_id"), made)
+
+
+def _owned(inspections: DataFrame, users: DataFrame) -> DataFrame:
+    """inspections with owner_email and owner_full_name. Those without a user are dealt out by their ids; as one key they would be one task's."""
+    key = F.coalesce(F.col("user_id").cast("string"), F.xxhash64("id").cast("string"))
+    owners = users.select(F.col("id").cast("string").alias("_owner"), F.col("email").alias("owner_email"), F.col("full_name").alias("owner_full_name"))
+    return inspections.withColumn("_key", key).join(owners, (F.col("_key") == F.col("_owner")) & F.col("user_id").isNotNull(), "left").drop("user_id", "_key", "_owner")
+
+
+def _own_fields(col: Callable[[str], Column] = F.col) -> list[Column]:
+    return [
+        *_fields(INSPECTION, ["status", "capture_source", "urgency_level", "decision_outcome", "fraud_risk_level"], INSPECTION_JSON, col),
+        col("timestamp_token").isNotNull().alias("has_timestamp"), F.date_format(col("timestamped_at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamped_at"),
+    ]
+
+
+def _with_lists(own: DataFrame, lists: DataFrame) -> DataFrame:
+    empty = {name: F.coalesce(name, F.array().cast(lists.schema[name].dataType)) for name in lists.columns[1:]}
+    return own.join(lists, "id", "left").withColumns(empty).withColumn("forensic_result", F.try_element_at("file_forensic_results", F.lit(1)))
 
 
 def inspection_dto(
@@ -109,21 +145,39 @@ def inspection_dto(
     Damages and overrides are in the order of their ids, pictures and results in that of sort_order; ties go by the fields. shape makes of each child,
     and of an inspection's parsed JSON, what is returned of it; it is applied to single rows, before they are moved.
     """
-    own = inspections.select(
-        *_fields(INSPECTION, ["status", "capture_source", "urgency_level", "decision_outcome", "fraud_risk_level"], INSPECTION_JSON),
-        "user_id", F.col("timestamp_token").isNotNull().alias("has_timestamp"), F.date_format("timestamped_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamped_at"),
-    )
+    own = inspections.select(*_own_fields(), "user_id")
     nested = {name: shape(F.col(name), own.schema[name].dataType) for name, _, _ in INSPECTION_JSON.values()}
-    lists = _gathered([
-        _child(damages, "damages", ["id"], _fields(DAMAGE, ["severity", "safety_rating", "repair_category"], DAMAGE_JSON), shape),
-        _child(images, "additional_images", ["sort_order", "id"], _fields(IMAGE, [], {}), shape),
-        _child(overrides, "decision_overrides", ["id"], _fields(OVERRIDE, [], {}), shape),
-        _child(results, "file_forensic_results", ["sort_order", "file_name"], _fields(RESULT, [], RESULT_JSON), shape),
-    ])
-    # Inspections without a user are dealt out by their ids; as one key they would be one task's.
-    key = F.coalesce(F.col("user_id").cast("string"), F.xxhash64("id").cast("string"))
-    owners = users.select(F.col("id").cast("string").alias("_owner"), F.col("email").alias("owner_email"), F.col("full_name").alias("owner_full_name"))
-    owned = own.withColumns(nested | {"_key": key}).join(owners, (F.col("_key") == F.col("_owner")) & F.col("user_id").isNotNull(), "left").drop("user_id", "_key", "_owner")
-    out = owned.join(lists, "id", "left")
-    empty = {name: F.coalesce(name, F.array().cast(lists.schema[name].dataType)) for name in lists.columns[1:]}
-    return out.withColumns(empty).withColumn("forensic_result", F.try_element_at("file_forensic_results", F.lit(1)))
+    frames = {"damages": damages, "additional_images": images, "decision_overrides": overrides, "file_forensic_results": results}
+    lists = _gathered([_child(frames[name], name, order, _fields(*what), shape) for name, (*what, order) in CHILDREN.items()])
+    return _with_lists(_owned(own.withColumns(nested), users), lists)
+
+
+def inspection_dto_of_rows(
+    orders: DataFrame, inspection: list[str], users: DataFrame, lines: DataFrame, children: dict[str, tuple[list[str], str]], shape: Shape = lambda column, kind: column
+) -> DataFrame:
+    """inspection_dto of entities that are made of shorter rows by expressions: the rows are moved, and columns and texts are made where they arrive.
+
+    Inspections are made of orders, which have their id and user_id besides what the expressions need; children of lines, which have inspection_id,
+    each kind by its expressions and condition. Joins and sorts are of rows; texts of children are grouped in as many tasks as let
+    them stay in memory (ROWS), and an inspection's own are made last.
+    """
+    n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / ROWS))
+    moved = lines.repartition(n, "inspection_id")
+    rows, made = ["inspection_id"], {}
+    for name, (*what, order) in CHILDREN.items():
+        columns, condition = children[name]
+        of = _by_name(columns)
+        fields = F.struct(*_fields(*what, of))
+        x = shape(fields, moved.select(fields.alias(name)).schema[name].dataType)
+        rows.append(F.when(F.expr(condition), F.struct(F.struct(*(of(c).alias(c) for c in order)).alias("o"), x.alias("x"))).alias(name))
+        made[name] = moved.select(x.alias(name)).schema[name].dataType
+    lists = _lists(moved.select(*rows), made).hint("merge")  # they are far larger than the rows by which their size would be guessed
+    out = _with_lists(_owned(orders, users), lists)
+    own = out.select(*_own_fields(_by_name(inspection)), *(c for c in out.columns if c not in orders.columns))
+    return own.withColumns({name: shape(F.col(name), own.schema[name].dataType) for name, _, _ in INSPECTION_JSON.values()})
+
+
+def _by_name(columns: list[str]) -> Callable[[str], Column]:
+    """The columns of a select list, each "expression AS name", by their names. They are written into what is made of them, so that one projection makes a text of a row."""
+    made = {name: sql for sql, name in (c.rsplit(" AS ", 1) for c in columns)}
+    return lambda name: F.expr(made[name])

@@ -190,3 +190,25 @@ def test_software_rules_are_dealt_out(spark):
 def test_reports_are_parsed_once(spark):
     plan = d.training_rows(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") + plan.count("jsontostructs") == 1
+
+
+def test_rows_move_and_texts_stay(spark):
+    """What is moved is the rows that children and inspections are made of, in a number of tasks that keeps the texts in memory; the results are those of the entities."""
+    import re
+
+    from claimlens.operators import dtos
+    from claimlens.plans.dtos import ENTITIES, entity_frame, flat, inspection_dtos_whole
+
+    held = dtos.ROWS
+    dtos.ROWS = 500
+    try:
+        out = inspection_dtos_whole(spark, SF)
+    finally:
+        dtos.ROWS = held
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line + "\n" + below for line, below in zip(plan.split("\n"), plan.split("\n")[1:]) if "Exchange hashpartitioning" in line]
+    assert len(moved) >= 2 and not any(re.search("concat_ws|from_json|repair_method|image_url", x) for x in moved)
+    assert f", {-(-table(spark, SF, 'lineitem').count() // 500)}), REPARTITION_BY_NUM" in plan
+    want = dtos.inspection_dto(*(entity_frame(spark, SF, n) for n in ENTITIES), shape=flat)
+    want = want.select("id", *(flat(F.col(f.name), f.dataType).alias(f.name) for f in want.schema if f.name != "id"))
+    assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
